@@ -5,8 +5,21 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "timestamp": T.TimestampType(),
+    "timestamp_ntz": T.TimestampNTZType(),
+    "string": T.StringType(),
+    "bigint": T.LongType(),
+    "int": T.IntegerType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+}
+
+
+def layout(columns: str) -> T.StructType:
+    """`'name type, name type'` as a schema; needs no running session, so modules can declare layouts."""
+    fields = (column.split() for column in columns.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields])
 
 
 # --- fixed values: table names and columns -------------------------------------------------------------------------
@@ -20,35 +33,35 @@ ACTION = "action_events"
 STATIONS = "stations"
 
 TABLE_SCHEMAS = {
-    RAW: _schema(
+    RAW: layout(
         "event_time timestamp, event_id string, event_name string, entity_type string, entity_id string, "
         "order_id string, station_id string, ingredient_id string, channel string, severity string, payload string"
     ),
-    ORDERS: _schema(
+    ORDERS: layout(
         "event_time timestamp, event_id string, order_id string, channel string, event_name string, "
         "order_status string, station_id string, delay_minutes double, severity string, payload string"
     ),
-    KITCHEN: _schema(
+    KITCHEN: layout(
         "event_time timestamp, event_id string, station_id string, capacity bigint, severity string, payload string"
     ),
-    INVENTORY: _schema(
+    INVENTORY: layout(
         "event_time timestamp, event_id string, ingredient_id string, stock_pct double, threshold_pct double, "
         "severity string, payload string"
     ),
-    AGENT: _schema(
+    AGENT: layout(
         "event_time timestamp, event_id string, recommendation_id string, order_id string, priority int, "
         "confidence double, severity string, payload string"
     ),
-    APPROVAL: _schema(
+    APPROVAL: layout(
         "event_time timestamp, event_id string, recommendation_id string, approver string, approval_status string, "
         "severity string, payload string"
     ),
-    ACTION: _schema(
+    ACTION: layout(
         "event_time timestamp, event_id string, action_id string, action_type string, action_status string, "
         "severity string, payload string"
     ),
 }
-STATIONS_SCHEMA = _schema(
+STATIONS_SCHEMA = layout(
     "station_id string, display_name string, specialization string, max_capacity bigint, avg_prep_minutes double, "
     "is_active boolean"
 )

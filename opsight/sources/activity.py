@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from opsight.schemas import (
     INVENTORY_CHANGED,
@@ -19,9 +18,10 @@ from opsight.schemas import (
     ORDER_PAID,
     RAW_COLUMNS,
     SENTIMENT,
+    layout,
 )
 
-ACTIVITY_SCHEMA = T.StructType.fromDDL(
+ACTIVITY_SCHEMA = layout(
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 )
 

@@ -10,7 +10,7 @@ from opsight.schemas import RAW, RAW_COLUMNS, TABLE_SCHEMAS
 
 CORRUPT = "_corrupt_record"
 _JSON_LAYOUT = T.StructType([*TABLE_SCHEMAS[RAW].fields, T.StructField(CORRUPT, T.StringType())])
-_JSON_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "encoding": "UTF-8"}
+_JSON_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
 
 
 def _landed(parsed: DataFrame) -> DataFrame:

@@ -77,10 +77,9 @@ def stream_delay_sentiment(raw: DataFrame, within: str = "1h", late: str = "10m"
     """Delayed orders with a negative signal at most `within` before or after the delay.
 
     Rows without a signal come out once both event kinds have moved past the time limit, so a closing event of each
-    kind is needed to see the last ones.
+    kind is needed to see the last ones. Each side has a watermark of its own, and the slower one counts.
     """
-    events = route_orders(_watched(raw, late))
-    delayed = delayed_with_queue(events).select(
+    delayed = delayed_with_queue(route_orders(_watched(raw, late))).select(
         F.col("event_time").alias("delay_time"),
         F.col("order_id").alias("delayed_order"),
         "channel",
@@ -88,7 +87,9 @@ def stream_delay_sentiment(raw: DataFrame, within: str = "1h", late: str = "10m"
         "delay_minutes",
         "queue_size",
     )
-    signals = negative_signals(events).select(F.col("event_time").alias("signal_time"), "order_id", "reason")
+    signals = negative_signals(route_orders(_watched(raw, late))).select(
+        F.col("event_time").alias("signal_time"), "order_id", "reason"
+    )
     near = F.expr(f"INTERVAL {_interval(within)}")
     same_order = F.col("order_id") == F.col("delayed_order")
     in_time = (F.col("signal_time") >= F.col("delay_time") - near) & (
@@ -108,13 +109,12 @@ def stream_delay_sentiment(raw: DataFrame, within: str = "1h", late: str = "10m"
 
 def stream_alerts_once(raw: DataFrame, late: str = "10m") -> DataFrame:
     """Event-level alerts, each event reported once even if it is delivered again within the watermark."""
-    watched = _watched(raw, late)
 
     def hits(df: DataFrame, rule: str, key: str) -> DataFrame:
         return df.select("event_time", "event_id", F.lit(rule).alias("rule"), F.col(key).alias("key"))
 
-    delayed = hits(delayed_with_queue(route_orders(watched)), "DelayedOrderHighQueue", "order_id")
-    stock = hits(low_stock(route_inventory(watched)), "CriticalInventory", "ingredient_id")
+    delayed = hits(delayed_with_queue(route_orders(_watched(raw, late))), "DelayedOrderHighQueue", "order_id")
+    stock = hits(low_stock(route_inventory(_watched(raw, late))), "CriticalInventory", "ingredient_id")
     return delayed.unionByName(stock).dropDuplicatesWithinWatermark(["event_id"])
 
 
