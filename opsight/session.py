@@ -8,10 +8,19 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+_SETTINGS = {
+    # event times, buckets and day starts are defined in UTC
+    "spark.sql.session.timeZone": "UTC",
+    # the JVM does not compile methods above 8000 bytes; beyond that Spark's split projections are faster
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the session to UTC; event times, buckets and day starts are defined there."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Set what the operators rely on; everything else is left to the cluster's configuration."""
+    for key, value in _SETTINGS.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 

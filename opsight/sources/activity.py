@@ -6,15 +6,13 @@ those. Everything is a projection of one row, so the adapter adds no shuffle and
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from opsight.schemas import (
     INVENTORY_CHANGED,
     KITCHEN_UPDATED,
     ORDER_CREATED,
     ORDER_DELAYED,
-    ORDER_EVENT_NAMES,
     ORDER_PAID,
     RAW_COLUMNS,
     SENTIMENT,
@@ -50,169 +48,134 @@ def stream_activity(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(ACTIVITY_SCHEMA).parquet(f"{folder}/events.parque[t]")
 
 
-def _pick(values: list[str], index: Column) -> Column:
-    return F.element_at(F.lit(values), index.cast("int") + 1)
+def _pick(values: list[str], index: str) -> str:
+    """SQL for the value at a zero-based position."""
+    return f"array({', '.join(repr(v) for v in values)})[CAST({index} AS INT)]"
 
 
-def _obj(*pairs: tuple[str, Column, bool]) -> Column:
-    """JSON object text from (key, value, quoted) in the given order, without spaces."""
-    parts: list[Column] = [F.lit("{")]
-    for i, (key, value, quoted) in enumerate(pairs):
-        mark = '"' if quoted else ""
-        parts += [F.lit(f'{"," if i else ""}"{key}":{mark}'), value.cast("string"), F.lit(mark)]
-    return F.concat(*parts, F.lit("}"))
+def _json(**pairs: str) -> str:
+    """SQL for JSON object text without spaces, keys in the given order; each value is SQL that yields JSON text."""
+    parts = [f"""'{"," if i else "{"}"{key}":', {value}""" for i, (key, value) in enumerate(pairs.items())]
+    return f"concat({', '.join(parts)}, '}}')"
+
+
+def _quoted(value: str) -> str:
+    return f"""'"', {value}, '"'"""
+
+
+# Kinds of raw events in the order of their code, with the type of thing each is about.
+_KINDS = [
+    (ORDER_CREATED, "order"),
+    (ORDER_DELAYED, "order"),
+    (ORDER_PAID, "order"),
+    (SENTIMENT, "order"),
+    (KITCHEN_UPDATED, "station"),
+    (INVENTORY_CHANGED, "ingredient"),
+    ("agent.recommendation", "recommendation"),
+    ("approval.decision", "recommendation"),
+    *[(name, "action") for name in ACTION_EVENTS],
+]
+_CREATED, _DELAYED, _PAID, _SENTIMENT, _KITCHEN, _STOCK, _AGENT, _APPROVAL, _FIRST_ACTION = range(9)
+
+_KIND = f"""CASE event_type
+    WHEN 'signup' THEN {_CREATED}
+    WHEN 'error' THEN {_DELAYED}
+    WHEN 'purchase' THEN {_PAID}
+    WHEN 'view' THEN IF(event_id % 2 = 0, {_KITCHEN}, {_STOCK})
+    ELSE CASE event_id % 4 WHEN 0 THEN {_SENTIMENT} WHEN 1 THEN {_AGENT} WHEN 2 THEN {_APPROVAL}
+         ELSE {_FIRST_ACTION} + (user_id div 12) % 4 END
+  END"""
+
+_CUSTOMER = {
+    "is_premium": "IF(k % 5 = 0, 'true', 'false')",
+    "cancellation_history": _quoted(_pick(CANCELLATIONS, "k % 4")),
+    "feedback": _quoted(_pick(FEEDBACK, "(k div 4) % 4")),
+    "sla_remaining": "k % 19",
+}
+_OUTCOME = {
+    "action_id": _quoted("act"),
+    "action_status": _quoted("IF(k % 10 = 0, 'failed', 'completed')"),
+}
+_PAYLOADS = {
+    _CREATED: _json(order_status=_quoted("'created'"), **_CUSTOMER, items="1 + k % 4"),
+    _DELAYED: _json(
+        order_status=_quoted("'in_prep'"), delay_minutes="k % 13, '.0'", queue_size="k % 11", **_CUSTOMER
+    ),
+    _PAID: _json(order_status=_quoted("'completed'"), amount="k, '.5'", payment_method=_quoted("'card'")),
+    _SENTIMENT: _json(
+        sentiment=_quoted("IF(k % 2 = 0, 'negative', 'positive')"), reason=_quoted("'delivery_delay_risk'")
+    ),
+    _KITCHEN: _json(
+        station_status=_quoted("IF(k % 3 = 0, 'saturated', 'normal')"), queue_size="k % 11", capacity="4 + k % 3"
+    ),
+    _STOCK: _json(stock_pct="k, '.0'", threshold_pct="IF(k % 2 = 0, '20.0', '15.0')", delta="'-2.5'"),
+    _AGENT: _json(recommendation_id=_quoted("rec"), priority="1 + k % 5", confidence="'0.', 70 + k % 30"),
+    _APPROVAL: _json(
+        recommendation_id=_quoted("rec"),
+        approver=_quoted(_pick(APPROVERS, "k % 3")),
+        approval_status=_quoted("CASE k % 5 WHEN 0 THEN 'rejected' WHEN 1 THEN 'pending' ELSE 'approved' END"),
+    ),
+}
+_ACTION_PAYLOAD = f"""IF(k % 10 = 1, {_json(**_OUTCOME)}, {_json(**_OUTCOME, recommendation_id=_quoted("rec"))})"""
 
 
 def raw_from_activity(log: DataFrame) -> DataFrame:
-    n, u = F.col("event_id"), F.col("user_id")
-    base = log.select(
-        F.col("ts").alias("event_time"),
-        n.alias("n"),
-        u.alias("u"),
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
-        F.date_format("ts", "yyyyMMdd").alias("d"),
-        F.when(F.col("event_type") == "signup", ORDER_CREATED)
-        .when(F.col("event_type") == "purchase", ORDER_PAID)
-        .when(F.col("event_type") == "error", ORDER_DELAYED)
-        .when(F.col("event_type") == "view", F.when(n % 2 == 0, KITCHEN_UPDATED).otherwise(INVENTORY_CHANGED))
-        .when(n % 4 == 0, SENTIMENT)
-        .when(n % 4 == 1, "agent.recommendation")
-        .when(n % 4 == 2, "approval.decision")
-        .otherwise(_pick(ACTION_EVENTS, F.floor(u / 12) % 4))
-        .alias("event_name"),
-    )
-    name, k = F.col("event_name"), F.col("k")
-    n, u, rec, act = F.col("n"), F.col("u"), F.concat(F.lit("REC-"), "d", F.lit("-"), F.col("u") % 25), None
-    act = F.concat(F.lit("ACT-"), n)
-    kitchen, stock = name == KITCHEN_UPDATED, name == INVENTORY_CHANGED
-    order_id = F.when(kitchen | stock, "").otherwise(F.concat(F.lit("ORD-"), "d", F.lit("-"), u))
-    station_id = F.when(stock | (name == SENTIMENT), "").otherwise(_pick(STATION_IDS, F.floor(u / 3) % 4))
-    ingredient_id = F.when(stock, _pick(INGREDIENTS, u % 5)).otherwise("")
-    channel = F.when(kitchen | stock, "").otherwise(_pick(CHANNELS, u % 3))
-    severity = F.when(k < 50, "info").when(k < 85, "warning").otherwise("critical")
-    is_order, is_decision = name.isin(*ORDER_EVENT_NAMES), name.isin("agent.recommendation", "approval.decision")
-    entity_type = (
-        F.when(is_order, "order")
-        .when(kitchen, "station")
-        .when(stock, "ingredient")
-        .when(is_decision, "recommendation")
-        .otherwise("action")
-    )
-    entity_id = (
-        F.when(is_order, order_id).when(kitchen, station_id).when(stock, ingredient_id).when(is_decision, rec).otherwise(act)
-    )
-    customer = [
-        ("is_premium", F.when(k % 5 == 0, "true").otherwise("false"), False),
-        ("cancellation_history", _pick(CANCELLATIONS, k % 4), True),
-        ("feedback", _pick(FEEDBACK, F.floor(k / 4) % 4), True),
-        ("sla_remaining", k % 19, False),
-    ]
-    outcome = [
-        ("action_id", act, True),
-        ("action_status", F.when(k % 10 == 0, "failed").otherwise("completed"), True),
-    ]
-    payload = (
-        F.when(
-            name == ORDER_CREATED,
-            _obj(("order_status", F.lit("created"), True), *customer, ("items", k % 4 + 1, False)),
-        )
-        .when(
-            name == ORDER_DELAYED,
-            _obj(
-                ("order_status", F.lit("in_prep"), True),
-                ("delay_minutes", F.concat(k % 13, F.lit(".0")), False),
-                ("queue_size", k % 11, False),
-                *customer,
-            ),
+    payload = " ".join(f"WHEN {kind} THEN {text}" for kind, text in _PAYLOADS.items())
+    columns = {
+        "event_name": _pick([name for name, _ in _KINDS], "kind"),
+        "entity_type": _pick([about for _, about in _KINDS], "kind"),
+        "entity_id": f"""CASE WHEN kind <= {_SENTIMENT} THEN ord WHEN kind = {_KITCHEN} THEN station
+            WHEN kind = {_STOCK} THEN ingredient WHEN kind <= {_APPROVAL} THEN rec ELSE act END""",
+        "order_id": f"IF(kind IN ({_KITCHEN}, {_STOCK}), '', ord)",
+        "station_id": f"IF(kind IN ({_STOCK}, {_SENTIMENT}), '', station)",
+        "ingredient_id": f"IF(kind = {_STOCK}, ingredient, '')",
+        "channel": f"IF(kind IN ({_KITCHEN}, {_STOCK}), '', {_pick(CHANNELS, 'u % 3')})",
+        "severity": "CASE WHEN k < 50 THEN 'info' WHEN k < 85 THEN 'warning' ELSE 'critical' END",
+        "payload": f"CASE kind {payload} ELSE {_ACTION_PAYLOAD} END",
+    }
+    return (
+        log.selectExpr(
+            "ts AS event_time",
+            "event_id AS n",
+            "user_id AS u",
+            """CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INT) AS k""",
+            "date_format(ts, 'yyyyMMdd') AS d",
+            f"{_KIND} AS kind",
         )
-        .when(
-            name == ORDER_PAID,
-            _obj(
-                ("order_status", F.lit("completed"), True),
-                ("amount", F.concat(k, F.lit(".5")), False),
-                ("payment_method", F.lit("card"), True),
-            ),
+        .selectExpr(
+            "*",
+            "concat('ORD-', d, '-', u) AS ord",
+            "concat('REC-', d, '-', u % 25) AS rec",
+            "concat('ACT-', n) AS act",
+            f"{_pick(STATION_IDS, '(u div 3) % 4')} AS station",
+            f"{_pick(INGREDIENTS, 'u % 5')} AS ingredient",
         )
-        .when(
-            name == SENTIMENT,
-            _obj(
-                ("sentiment", F.when(k % 2 == 0, "negative").otherwise("positive"), True),
-                ("reason", F.lit("delivery_delay_risk"), True),
-            ),
-        )
-        .when(
-            kitchen,
-            _obj(
-                ("station_status", F.when(k % 3 == 0, "saturated").otherwise("normal"), True),
-                ("queue_size", k % 11, False),
-                ("capacity", k % 3 + 4, False),
-            ),
-        )
-        .when(
-            stock,
-            _obj(
-                ("stock_pct", F.concat(k, F.lit(".0")), False),
-                ("threshold_pct", F.when(k % 2 == 0, "20.0").otherwise("15.0"), False),
-                ("delta", F.lit("-2.5"), False),
-            ),
-        )
-        .when(
-            name == "agent.recommendation",
-            _obj(
-                ("recommendation_id", rec, True),
-                ("priority", k % 5 + 1, False),
-                ("confidence", F.concat(F.lit("0."), k % 30 + 70), False),
-            ),
-        )
-        .when(
-            name == "approval.decision",
-            _obj(
-                ("recommendation_id", rec, True),
-                ("approver", _pick(APPROVERS, k % 3), True),
-                (
-                    "approval_status",
-                    F.when(k % 5 == 0, "rejected").when(k % 5 == 1, "pending").otherwise("approved"),
-                    True,
-                ),
-            ),
-        )
-        .when(k % 10 == 1, _obj(*outcome))
-        .otherwise(_obj(*outcome, ("recommendation_id", rec, True)))
+        .selectExpr("event_time", "concat('evt-', n) AS event_id", *[f"{sql} AS {c}" for c, sql in columns.items()])
+        .select(*RAW_COLUMNS)
     )
-    return base.select(
-        "event_time",
-        F.concat(F.lit("evt-"), n).alias("event_id"),
-        name,
-        entity_type.alias("entity_type"),
-        entity_id.alias("entity_id"),
-        order_id.alias("order_id"),
-        station_id.alias("station_id"),
-        ingredient_id.alias("ingredient_id"),
-        channel.alias("channel"),
-        severity.alias("severity"),
-        payload.alias("payload"),
-    ).select(*RAW_COLUMNS)
+
+
+_REQUEST = {
+    "request_time": "ts",
+    "request_id": "concat('req-', event_id)",
+    "action": _pick(["ReprioritizeOrder", "TriggerRestock", "ThrottleChannel", "IssueCompensation"], "kind"),
+    "orderId": "IF(kind IN (0, 3), IF(k % 17 = 0, '  ', concat(' ORD-', user_id)), NULL)",
+    "stationId": f"IF(kind = 0, {_pick([*STATION_IDS, 'oven', ''], 'user_id % 6')}, NULL)",
+    "priority": f"IF(kind = 0, {_pick(['normal', 'urgent', 'critical', 'later'], 'k % 4')}, NULL)",
+    "reason": "IF(k % 13 <> 0, 'delivery_delay_risk', NULL)",
+    "approvedBy": f"IF(kind = 0, {_pick(APPROVERS, 'k % 3')}, NULL)",
+    "channel": f"IF(kind IN (0, 2) AND k % 7 <> 0, {_pick(CHANNELS, 'user_id % 3')}, NULL)",
+    "severity": f"IF(kind IN (0, 1) AND k % 11 <> 0, {_pick(['info', 'warning', 'critical'], 'k % 3')}, NULL)",
+    "ingredientId": f"IF(kind = 1, {_pick([*INGREDIENTS, 'tomato'], 'user_id % 6')}, NULL)",
+    "stockPct": "IF(kind = 1, IF(k % 19 = 0, 'low', concat(k * 2, '.5')), NULL)",
+    "durationMinutes": "IF(kind = 2, IF(k % 19 = 0, 'soon', CAST(k % 70 AS STRING)), NULL)",
+    "compensationType": f"IF(kind = 3, {_pick(['discount', 'voucher', 'free_item', 'refund'], 'k % 4')}, NULL)",
+    "recommendationId": "IF(k % 10 < 5, concat('REC-', user_id % 25), NULL)",
+}
 
 
 def requests_from_activity(log: DataFrame) -> DataFrame:
     """One action request per log row, some of them invalid on purpose; all values are text, as in a request body."""
-    n, u = F.col("event_id"), F.col("user_id")
-    k = F.get_json_object("props", "$.k").cast("int")
-    kind = n % 4
-    return log.select(
-        F.col("ts").alias("request_time"),
-        F.concat(F.lit("req-"), n).alias("request_id"),
-        _pick(["ReprioritizeOrder", "TriggerRestock", "ThrottleChannel", "IssueCompensation"], kind).alias("action"),
-        F.when(kind.isin(0, 3), F.when(k % 17 == 0, "  ").otherwise(F.concat(F.lit(" ORD-"), u))).alias("orderId"),
-        F.when(kind == 0, _pick([*STATION_IDS, "oven", ""], u % 6)).alias("stationId"),
-        F.when(kind == 0, _pick(["normal", "urgent", "critical", "later"], k % 4)).alias("priority"),
-        F.when(k % 13 != 0, F.lit("delivery_delay_risk")).alias("reason"),
-        F.when(kind == 0, _pick(APPROVERS, k % 3)).alias("approvedBy"),
-        F.when(kind.isin(0, 2) & (k % 7 != 0), _pick(CHANNELS, u % 3)).alias("channel"),
-        F.when(kind.isin(0, 1) & (k % 11 != 0), _pick(["info", "warning", "critical"], k % 3)).alias("severity"),
-        F.when(kind == 1, _pick([*INGREDIENTS, "tomato"], u % 6)).alias("ingredientId"),
-        F.when(kind == 1, F.when(k % 19 == 0, "low").otherwise(F.concat(k * 2, F.lit(".5")))).alias("stockPct"),
-        F.when(kind == 2, F.when(k % 19 == 0, "soon").otherwise((k % 70).cast("string"))).alias("durationMinutes"),
-        F.when(kind == 3, _pick(["discount", "voucher", "free_item", "refund"], k % 4)).alias("compensationType"),
-        F.when(k % 10 < 5, F.concat(F.lit("REC-"), u % 25)).alias("recommendationId"),
-    )
+    return log.selectExpr(
+        "*", "event_id % 4 AS kind", """CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INT) AS k"""
+    ).selectExpr(*[f"{sql} AS {name}" for name, sql in _REQUEST.items()])
