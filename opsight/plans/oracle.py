@@ -718,7 +718,8 @@ def oracle_queries() -> dict[str, str]:
                 FROM delayed_queue q LEFT JOIN negative n ON q.order_id = n.order_id
                   AND n.event_time BETWEEN q.event_time - INTERVAL '6 hours' AND q.event_time + INTERVAL '6 hours'
                 WHERE n.order_id IS NOT NULL OR q.event_time + INTERVAL '6 hours' < least(
-                  {_watermark('delayed_queue')}, {_watermark('negative')})""",
+                  {_watermark("order_events WHERE event_name = 'order.prep.delayed' AND delay_minutes >= 5")},
+                  {_watermark("order_events WHERE event_name = 'customer.sentiment.signal'")})""",
             _DELAYED_QUEUE,
             _NEGATIVE,
         ),
