@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,20 +13,29 @@ _JSON_LAYOUT = T.StructType([*TABLE_SCHEMAS[RAW].fields, T.StructField(CORRUPT,
 _JSON_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
 
 
+def _fits() -> Column:
+    """A whole JSON object with a readable time; testing the time keeps it parsed when later columns are pruned."""
+    return F.col(CORRUPT).isNull() & F.col("event_time").isNotNull()
+
+
 def _landed(parsed: DataFrame) -> DataFrame:
-    return parsed.where(F.col(CORRUPT).isNull()).select(*RAW_COLUMNS)
+    return parsed.where(_fits()).select(*RAW_COLUMNS)
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON event per line; the nested payload stays JSON text. Lines that do not fit are left out, see below."""
+    """One JSON event per line (UTF-8); the nested payload stays JSON text. Lines that do not fit are left out."""
     return _landed(spark.read.schema(_JSON_LAYOUT).options(**_JSON_OPTIONS).json(path))
 
 
 def read_malformed(spark: SparkSession, path: str) -> DataFrame:
     """The lines `read_raw` leaves out, with their file."""
-    parsed = spark.read.schema(_JSON_LAYOUT).options(**_JSON_OPTIONS).json(path)
-    return parsed.where(F.col(CORRUPT).isNotNull()).select(
-        F.input_file_name().alias("file"), "event_id", F.col(CORRUPT).alias("line")
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = F.from_json("value", _JSON_LAYOUT, _JSON_OPTIONS)
+    return (
+        lines.select(F.input_file_name().alias("file"), F.col("value").alias("line"), parsed.alias("event"))
+        .select("file", "line", "event.*")
+        .where(~_fits())
+        .select("file", "line")
     )
 
 
