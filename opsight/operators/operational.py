@@ -19,7 +19,11 @@ _FAN_OUT_CHUNKS = 256
 
 
 def newest_first(df: DataFrame, time: str = "event_time", *ties: str) -> DataFrame:
-    """Total order; the tie columns also let the range partitioning cut a run of equal times."""
+    """Total order; the tie columns also let the range partitioning cut a run of equal times.
+
+    A global order costs a range shuffle and a sampling pass. Bulk consumers of the same rows can take the unordered
+    forms instead: `delayed_with_queue`, `low_stock`, the alert queries.
+    """
     return df.orderBy(F.col(time).desc(), *[F.col(t).desc() for t in ties])
 
 
@@ -107,6 +111,19 @@ def negative_signals(orders: DataFrame) -> DataFrame:
     )
 
 
+def _delays_with_signal_counts(
+    orders: DataFrame, signals: DataFrame, min_delay: float, min_queue: int, review_delay: float
+) -> DataFrame:
+    """Delayed orders to review, joined to `signals` (order_id, reason, copies)."""
+    delayed = delayed_with_queue(orders, min_delay, min_queue).withColumnRenamed("event_time", "delay_time")
+    return delayed.join(signals, "order_id", "left").where(
+        F.col("copies").isNotNull() | (F.col("delay_minutes") >= review_delay)
+    )
+
+
+_REVIEW = ("delay_time", "order_id", "channel", "station_id", "delay_minutes", "queue_size")
+
+
 def agent_review(
     orders: DataFrame,
     min_delay: float = MIN_DELAY,
@@ -117,29 +134,36 @@ def agent_review(
 
     An order shows once per negative signal. Signals are counted per order before the join and multiplied out after
     it, so an order with very many signals sends a bounded number of rows through the shuffle; the counts are kept in
-    chunks so that no single row has to hold them all.
+    chunks so that no single row has to hold them all. Where the repetition is not needed, `agent_review_counts` gives
+    the same orders without it.
     """
-    delayed = delayed_with_queue(orders, min_delay, min_queue).withColumnRenamed("event_time", "delay_time")
     signals = (
         negative_signals(orders)
         .groupBy("order_id", "reason", F.pmod(F.xxhash64("event_id"), F.lit(_FAN_OUT_CHUNKS)).alias("chunk"))
         .agg(F.count("*").cast("int").alias("copies"))
         .drop("chunk")
     )
-    flagged = F.col("copies").isNotNull()
+    repeated = F.explode(F.sequence(F.lit(1), F.coalesce("copies", F.lit(1))))
     return newest_first(
-        delayed.join(signals, "order_id", "left")
-        .where(flagged | (F.col("delay_minutes") >= review_delay))
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.coalesce("copies", F.lit(1)))))
-        .select(
-            "delay_time",
-            "order_id",
-            "channel",
-            "station_id",
-            "delay_minutes",
-            "queue_size",
-            F.when(flagged, F.lit("negative")).alias("sentiment"),
-            "reason",
+        _delays_with_signal_counts(orders, signals, min_delay, min_queue, review_delay)
+        .withColumn("copy", repeated)
+        .select(*_REVIEW, F.when(F.col("copies").isNotNull(), F.lit("negative")).alias("sentiment"), "reason"),
+        "delay_time",
+        "order_id",
+    )
+
+
+def agent_review_counts(
+    orders: DataFrame,
+    min_delay: float = MIN_DELAY,
+    min_queue: int = MIN_QUEUE,
+    review_delay: float = REVIEW_DELAY,
+) -> DataFrame:
+    """`agent_review` with a count in place of repetition: one row per delay event and reason."""
+    signals = negative_signals(orders).groupBy("order_id", "reason").agg(F.count("*").alias("copies"))
+    return newest_first(
+        _delays_with_signal_counts(orders, signals, min_delay, min_queue, review_delay).select(
+            *_REVIEW, "reason", F.coalesce("copies", F.lit(0)).alias("negative_signals")
         ),
         "delay_time",
         "order_id",

@@ -194,6 +194,7 @@ QUERIES: dict[str, Query] = {
     "O3_critical_inventory": _on_tables(lambda t: operational.critical_inventory(t.inventory)),
     "O4_station_saturation": _on_tables(lambda t: operational.station_saturation(t.kitchen)),
     "O5_agent_review": _on_tables(lambda t: operational.agent_review(t.orders)),
+    "O5_agent_review_counts": _on_tables(lambda t: operational.agent_review_counts(t.orders)),
     "O6_trace_union": _on_tables(lambda t: operational.decision_trace(t.agent, t.approval, t.action)),
     "D1_orders_today": _on_tables(lambda t: dashboard.orders_today(t.orders, AS_OF)),
     "D2_active_orders": _on_tables(lambda t: dashboard.active_orders(t.orders, AS_OF)),

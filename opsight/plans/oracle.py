@@ -369,6 +369,15 @@ def oracle_queries() -> dict[str, str]:
             _DELAYED_QUEUE,
             _NEGATIVE,
         ),
+        "O5_agent_review_counts": _q(
+            """SELECT q.event_time AS delay_time, q.order_id, channel, station_id, delay_minutes, queue_size, reason,
+                 coalesce(signals, 0) AS negative_signals
+               FROM delayed_queue q LEFT JOIN
+                 (SELECT order_id, reason, count(*) AS signals FROM negative GROUP BY ALL) n ON q.order_id = n.order_id
+               WHERE signals IS NOT NULL OR delay_minutes >= 8""",
+            _DELAYED_QUEUE,
+            _NEGATIVE,
+        ),
         "O6_trace_union": _q("SELECT * EXCLUDE (event_id) FROM trace", _TRACE),
         # dashboard
         "D1_orders_today": _q(

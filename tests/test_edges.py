@@ -108,6 +108,22 @@ def test_review_repeats_an_order_per_signal(raw):
     assert found == sorted([("o1", "negative", r) for r in ("cold", "cold", "slow")] * 2, key=repr)
 
 
+def test_review_of_an_order_with_very_many_signals(spark, raw):
+    hot = spark.range(3000).selectExpr(
+        "timestamp'2024-01-01 12:00:00' AS event_time", "concat('s', id) AS event_id",
+        "'customer.sentiment.signal' AS event_name", "'' AS entity_type", "'' AS entity_id", "'hot' AS order_id",
+        "'' AS station_id", "'' AS ingredient_id", "'' AS channel", "'info' AS severity",
+        """concat('{"sentiment":"negative","reason":"', IF(id % 3 = 0, 'a', 'b'), '"}') AS payload""",
+    )
+    t = OpsTables.from_raw(raw(late(0, order="hot"), late(1, order="hot"), late(2, order="calm")).unionByName(hot))
+    found = operational.agent_review(t.orders).groupBy("order_id", "reason").count()
+    assert rows(found) == [("calm", None, 1), ("hot", "a", 2000), ("hot", "b", 4000)]
+    counted = operational.agent_review_counts(t.orders)
+    assert rows(counted, "order_id", "reason", "negative_signals") == sorted(
+        [("calm", None, 0), ("hot", "a", 1000), ("hot", "a", 1000), ("hot", "b", 2000), ("hot", "b", 2000)], key=repr
+    )
+
+
 def test_blank_and_missing_approvals(raw):
     def reco(at, rec):
         return event("agent.recommendation", at, order="o", payload={"recommendation_id": rec})
