@@ -3,7 +3,7 @@
 from opsight.functions.latest import latest_by
 from opsight.functions.lookup import bounded_broadcast, lookup
 from opsight.functions.payload import payload_fields
-from opsight.functions.timebox import bucketed, instant, recent, span, start_of_day
+from opsight.functions.timebox import bucketed, instant, newest_days, recent, span, start_of_day
 from opsight.functions.values import (
     as_double,
     as_int,
@@ -27,6 +27,7 @@ __all__ = [
     "is_open",
     "latest_by",
     "lookup",
+    "newest_days",
     "not_blank",
     "or_default",
     "payload_fields",

@@ -59,6 +59,21 @@ def recent(
     return df.where(kept)
 
 
+def newest_days(df: DataFrame, rows: int, as_of: str | dt.datetime | None) -> DataFrame:
+    """The latest days of a table stored by day that are sure to hold its newest `rows` rows, or all of it.
+
+    A report of the newest few rows then reads a day or a week instead of the whole history. Each step only checks
+    whether that many rows exist, and if no step has enough the table is returned as it is.
+    """
+    if as_of is None or "event_date" not in df.columns:
+        return df
+    for days in (1, 7, 30):
+        latest = df.where(F.col("event_date") >= F.lit((moment(as_of) - dt.timedelta(days=days)).date()))
+        if latest.limit(rows).count() >= rows:
+            return latest
+    return df
+
+
 def bucketed(
     df: DataFrame, width: str | dt.timedelta, keys: list[str], *aggs: Column, slide: str | dt.timedelta | None = None
 ) -> DataFrame:

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsight.functions import bucketed, is_open, latest_by, not_blank, ratio, recent, start_of_day
+from opsight.functions import bucketed, is_open, latest_by, newest_days, not_blank, ratio, recent, start_of_day
 from opsight.operators.operational import decision_trace, low_stock, newest_first
 from opsight.schemas import ORDER_CREATED, ORDER_DELAYED, ORDER_PAID
 
@@ -81,8 +81,9 @@ def delayed_orders(orders: DataFrame, as_of: When, lookback: str = "10m", top: i
     The load has one row per station, so cutting to `top` before the join gives the same rows and leaves the join a
     handful of rows instead of all delay events.
     """
+    delays = newest_days(orders.where(F.col("event_name") == ORDER_DELAYED), top, as_of)
     newest = (
-        newest_first(orders.where(F.col("event_name") == ORDER_DELAYED), "event_time", "event_id")
+        newest_first(delays, "event_time", "event_id")
         .select("event_time", "event_id", "order_id", "channel", "station_id", "delay_minutes", "severity")
         .limit(top)
     )
@@ -165,6 +166,8 @@ def critical_inventory_last(inventory: DataFrame) -> DataFrame:
     )
 
 
-def newest_decisions(agent: DataFrame, approval: DataFrame, action: DataFrame, top: int = 100) -> DataFrame:
-    """The newest entries of the decision trace."""
-    return decision_trace(agent, approval, action, top=top)
+def newest_decisions(
+    agent: DataFrame, approval: DataFrame, action: DataFrame, as_of: When | None = None, top: int = 100
+) -> DataFrame:
+    """The newest entries of the decision trace; with `as_of`, stored tables are read from that day backwards."""
+    return decision_trace(*(newest_days(df, top, as_of) for df in (agent, approval, action)), top=top)

@@ -163,7 +163,8 @@ def fan_out(raw: DataFrame, root: str, batch_id: str | int, *, rebalance: bool =
     try:
         write(RAW, kept)
         with ThreadPoolExecutor(len(ROUTES)) as pool:
-            jobs = [pool.submit(inheritable_thread_target(write), name, route(kept)) for name, route in ROUTES.items()]
+            run = inheritable_thread_target(raw.sparkSession)(write)
+            jobs = [pool.submit(run, name, route(kept)) for name, route in ROUTES.items()]
         for job in jobs:
             job.result()
     finally:

@@ -58,22 +58,37 @@ def channel_saturation_sliding(
     """The same rule over the trailing window at every second that has a delay, so bursts across a bucket edge count.
 
     Delays are first counted per channel and second. Each count then serves its own bucket and, as history, the next
-    one; a frame looks back inside one bucket only, which holds at most two windows of seconds however many events
-    there are and however much of the data one channel has.
+    one, so a group holds at most two windows of seconds however many events there are and however much of the data one
+    channel has. The trailing window is what the own bucket holds up to a second plus what the history holds from one
+    window before it: two frames that only grow, hence linear work.
     """
     seconds = int(span(width).total_seconds())
     per_second = (
         _late_events(orders, channel, min_delay)
         .groupBy("channel", F.unix_seconds(F.col("event_time").cast("timestamp")).alias("second"))
         .agg(F.count("*").alias("n"), F.max("delay_minutes").alias("worst"))
+        .withColumn("home", F.floor(F.col("second") / seconds))
+        .withColumn("bucket", F.explode(F.array(F.col("home"), F.col("home") + 1)))
     )
-    home = F.floor(F.col("second") / seconds)
-    trailing = W.partitionBy("channel", "bucket").orderBy("second").rangeBetween(-(seconds - 1), 0)
+    own = F.col("bucket") == F.col("home")
+    group = W.partitionBy("channel", "bucket")
+    until_now = group.orderBy("second").rowsBetween(W.unboundedPreceding, W.currentRow)
+    since_start = group.orderBy(F.col("second").desc()).rangeBetween(W.unboundedPreceding, seconds - 1)
+
+    def trailing(aggregate: Callable[[Column], Column], value: str) -> tuple[Column, Column]:
+        here = aggregate(F.when(own, F.col(value))).over(until_now)
+        before = aggregate(F.when(~own, F.col(value))).over(since_start)
+        return here, before
+
+    count_here, count_before = trailing(F.sum, "n")
     return (
-        per_second.withColumn("home", home)
-        .withColumn("bucket", F.explode(F.array(F.col("home"), F.col("home") + 1)))
-        .withColumns({"delayed_count": F.sum("n").over(trailing), "max_delay": F.max("worst").over(trailing)})
-        .where((F.col("bucket") == F.col("home")) & (F.col("delayed_count") >= min_count))
+        per_second.withColumns(
+            {
+                "delayed_count": count_here + F.coalesce(count_before, F.lit(0)),
+                "max_delay": F.greatest(*trailing(F.max, "worst")),
+            }
+        )
+        .where(own & (F.col("delayed_count") >= min_count))
         .select(
             F.timestamp_seconds("second").cast(orders.schema["event_time"].dataType).alias("event_time"),
             "channel",

@@ -14,6 +14,7 @@ from opsight.functions import (
     lookup,
     payload_fields,
     recent,
+    span,
     text,
 )
 from opsight.operators.dashboard import station_load
@@ -146,16 +147,19 @@ def signal_correlation(
     stock_lookback: str = "60m",
     channel_width: str = "5m",
     min_delay: float = MIN_DELAY,
+    signal_lookback: str = "24h",
 ) -> DataFrame:
-    """Per delay event in the window: five signals and how many of them hold."""
+    """Per delay event in the window: five signals and how many of them hold.
+
+    Customer signals are looked for over `signal_lookback`, so the question reads recent days only.
+    """
     delayed = (
         recent(orders, as_of, lookback)
         .where(F.col("event_name") == ORDER_DELAYED)
         .select("event_time", "event_id", "order_id", "channel", "station_id", "delay_minutes")
     )
-    length = f"{channel_width}"
     crowded = (
-        channel_saturation(recent(orders, as_of, lookback), length, channel=None, min_delay=min_delay)
+        channel_saturation(recent(orders, as_of, lookback), channel_width, channel=None, min_delay=min_delay)
         .select(F.col("event_time").alias("bucket"), "channel")
         .withColumn("channel_accumulating", F.lit(True))
     )
@@ -164,12 +168,12 @@ def signal_correlation(
         .select("station_id")
         .withColumn("station_saturated", F.lit(True))
     )
-    placed = delayed.withColumn("bucket", _bucket_start(length)).join(
+    placed = delayed.withColumn("bucket", _bucket_start(channel_width)).join(
         bounded_broadcast(saturated, stations), "station_id", "left"
     )
     flags = ("is_delayed", "station_saturated", "low_stock", "channel_accumulating", "negative_sentiment")
     return (
-        _with_sentiment(lookup(placed, crowded, "channel", "bucket"), orders)
+        _with_sentiment(lookup(placed, crowded, "channel", "bucket"), recent(orders, as_of, signal_lookback))
         .withColumns(
             {
                 "is_delayed": F.coalesce(F.col("delay_minutes") >= min_delay, F.lit(False)),
@@ -194,8 +198,6 @@ def signal_correlation(
 
 def _bucket_start(width: str):
     """Start of the tumbling bucket of `event_time`, as `bucketed` computes it."""
-    from opsight.functions import span
-
     return F.window("event_time", f"{int(span(width).total_seconds())} seconds").getField("start")
 
 

@@ -173,7 +173,68 @@ def _hits(t: OpsTables) -> DataFrame:
     return rules.rule_hits(t, RULES)
 
 
-QUERIES: dict[str, Query] = {
+# Queries over the set of tables; it makes no difference to them whether tables are derived or stored.
+TABLE_QUERIES: dict[str, Callable[[OpsTables], DataFrame]] = {
+    "R1_route_order": lambda t: t.orders,
+    "R2_route_kitchen": lambda t: t.kitchen,
+    "R3_route_inventory": lambda t: t.inventory,
+    "R4_route_agent": lambda t: t.agent,
+    "R5_route_approval": lambda t: t.approval,
+    "R6_route_action": lambda t: t.action,
+    "R7_route_counts": lambda t: routing.route_counts(t.raw),
+    "O1_raw_timeline": lambda t: operational.raw_timeline(t.raw),
+    "O2_delayed_high_queue": lambda t: operational.delayed_high_queue(t.orders),
+    "O3_critical_inventory": lambda t: operational.critical_inventory(t.inventory),
+    "O4_station_saturation": lambda t: operational.station_saturation(t.kitchen),
+    "O5_agent_review": lambda t: operational.agent_review(t.orders),
+    "O5_agent_review_counts": lambda t: operational.agent_review_counts(t.orders),
+    "O6_trace_union": lambda t: operational.decision_trace(t.agent, t.approval, t.action),
+    "D1_orders_today": lambda t: dashboard.orders_today(t.orders, AS_OF),
+    "D2_active_orders": lambda t: dashboard.active_orders(t.orders, AS_OF),
+    "D3_completed_today": lambda t: dashboard.completed_today(t.orders, AS_OF),
+    "D4_completed_with_delay": lambda t: dashboard.completed_with_delay(t.orders, AS_OF),
+    "D5_throughput": lambda t: dashboard.throughput(t.raw),
+    "D6_delayed_orders": lambda t: dashboard.delayed_orders(t.orders, AS_OF, LOAD),
+    "D7_station_status": lambda t: dashboard.station_status(t.orders, t.stations, AS_OF, LOAD),
+    "D8_station_pressure": lambda t: dashboard.station_pressure(t.orders, AS_OF, HOUR),
+    "D9_critical_inventory_last": lambda t: dashboard.critical_inventory_last(t.inventory),
+    "D10_trace_top100": lambda t: dashboard.newest_decisions(t.agent, t.approval, t.action, AS_OF),
+    "A1_delayed_high_queue": lambda t: rules.delayed_order_alerts(t.orders),
+    "A2_critical_inventory": lambda t: rules.inventory_alerts(t.inventory),
+    "A3_channel_saturation": lambda t: rules.channel_saturation(t.orders, BURST),
+    "A3_channel_saturation_sliding": lambda t: rules.channel_saturation_sliding(t.orders, BURST),
+    "A4_rules_from_config": lambda t: _hits(t).drop("key_field"),
+    "A5_alert_actions": lambda t: rules.action_events_from_hits(_hits(t)),
+    "A6_alert_messages": lambda t: rules.alert_messages(_hits(t)),
+    "Q1_sla_risk": lambda t: questions.sla_risk(t.orders, t.stations, AS_OF, LOAD),
+    "Q2_saturated_stations": lambda t: questions.saturated_stations(t.orders, t.kitchen, t.stations, AS_OF, LOAD, STATE),
+    "Q3_critical_now": lambda t: questions.critical_now(t.inventory, AS_OF, STOCK),
+    "Q4_pending_recommendations": lambda t: questions.pending_recommendations(
+        t.agent, t.approval, t.orders, t.stations, AS_OF, DAY
+    ),
+    "Q5_full_trace": lambda t: questions.full_trace(t.agent, t.approval, t.action, t.orders, t.stations, AS_OF, DAY),
+    "Q6_completed_by_station": lambda t: questions.completed_by_station(t.orders, t.stations, AS_OF, HOUR),
+    "Q7_active_by_station": lambda t: questions.active_by_station(t.orders, t.stations, AS_OF, LOAD),
+    "Q8_active_count": lambda t: questions.active_count(t.orders, AS_OF, LOAD),
+    "C1_sla_risk_customer": lambda t: signals.sla_risk_with_customer_signal(t.orders),
+    "C2_station_bottleneck": lambda t: signals.station_bottlenecks(
+        t.orders, t.kitchen, t.inventory, t.stations, AS_OF, LOAD, STATE, STOCK
+    ),
+    "C3_signal_correlation": lambda t: signals.signal_correlation(
+        t.orders, t.kitchen, t.inventory, t.stations, AS_OF, LOAD, STATE, STOCK, BURST, signal_lookback=DAY
+    ),
+    "C4_delay_over_capacity": lambda t: signals.delay_over_capacity(t.orders, t.stations, AS_OF, LOAD),
+    "C5_compensation": lambda t: signals.compensation_candidates(t.orders),
+    "X3_human_gate": lambda t: actions.ungated_actions(t.action, t.approval),
+    "L1_lifecycle_violations": lambda t: quality.lifecycle_violations(t.orders),
+    "L2_open_orders": lambda t: quality.open_orders(t.orders, AS_OF),
+    "L3_state_summary": lambda t: quality.state_summary(t.raw, t.orders),
+    "L4_shift_summary": lambda t: quality.shift_summary(t.raw, AS_OF, SHIFT),
+    "L5_rule_log": lambda t: rules.rule_log(t, RULES),
+    "L6_chain_latency": lambda t: quality.chain_latency(t.agent, t.approval, t.action, AS_OF, DAY),
+}
+
+_FOLDER_QUERIES: dict[str, Query] = {
     "S1_read_raw": _read_raw,
     "S2_stream_raw": _stream_raw,
     "S3_write_tables": _write_tables,
@@ -181,78 +242,11 @@ QUERIES: dict[str, Query] = {
     "S5_conform_schema": _conform_schema,
     "S6_clear_tables": _clear_tables,
     "S7_retention": _retention,
-    "R1_route_order": _on_tables(lambda t: t.orders),
-    "R2_route_kitchen": _on_tables(lambda t: t.kitchen),
-    "R3_route_inventory": _on_tables(lambda t: t.inventory),
-    "R4_route_agent": _on_tables(lambda t: t.agent),
-    "R5_route_approval": _on_tables(lambda t: t.approval),
-    "R6_route_action": _on_tables(lambda t: t.action),
-    "R7_route_counts": _on_tables(lambda t: routing.route_counts(t.raw)),
     "R8_fan_out": _fan_out,
-    "O1_raw_timeline": _on_tables(lambda t: operational.raw_timeline(t.raw)),
-    "O2_delayed_high_queue": _on_tables(lambda t: operational.delayed_high_queue(t.orders)),
-    "O3_critical_inventory": _on_tables(lambda t: operational.critical_inventory(t.inventory)),
-    "O4_station_saturation": _on_tables(lambda t: operational.station_saturation(t.kitchen)),
-    "O5_agent_review": _on_tables(lambda t: operational.agent_review(t.orders)),
-    "O5_agent_review_counts": _on_tables(lambda t: operational.agent_review_counts(t.orders)),
-    "O6_trace_union": _on_tables(lambda t: operational.decision_trace(t.agent, t.approval, t.action)),
-    "D1_orders_today": _on_tables(lambda t: dashboard.orders_today(t.orders, AS_OF)),
-    "D2_active_orders": _on_tables(lambda t: dashboard.active_orders(t.orders, AS_OF)),
-    "D3_completed_today": _on_tables(lambda t: dashboard.completed_today(t.orders, AS_OF)),
-    "D4_completed_with_delay": _on_tables(lambda t: dashboard.completed_with_delay(t.orders, AS_OF)),
-    "D5_throughput": _on_tables(lambda t: dashboard.throughput(t.raw)),
-    "D6_delayed_orders": _on_tables(lambda t: dashboard.delayed_orders(t.orders, AS_OF, LOAD)),
-    "D7_station_status": _on_tables(lambda t: dashboard.station_status(t.orders, t.stations, AS_OF, LOAD)),
-    "D8_station_pressure": _on_tables(lambda t: dashboard.station_pressure(t.orders, AS_OF, HOUR)),
-    "D9_critical_inventory_last": _on_tables(lambda t: dashboard.critical_inventory_last(t.inventory)),
-    "D10_trace_top100": _on_tables(lambda t: dashboard.newest_decisions(t.agent, t.approval, t.action)),
-    "A1_delayed_high_queue": _on_tables(lambda t: rules.delayed_order_alerts(t.orders)),
-    "A2_critical_inventory": _on_tables(lambda t: rules.inventory_alerts(t.inventory)),
-    "A3_channel_saturation": _on_tables(lambda t: rules.channel_saturation(t.orders, BURST)),
-    "A3_channel_saturation_sliding": _on_tables(lambda t: rules.channel_saturation_sliding(t.orders, BURST)),
-    "A4_rules_from_config": _on_tables(lambda t: _hits(t).drop("key_field")),
-    "A5_alert_actions": _on_tables(lambda t: rules.action_events_from_hits(_hits(t))),
-    "A6_alert_messages": _on_tables(lambda t: rules.alert_messages(_hits(t))),
-    "Q1_sla_risk": _on_tables(lambda t: questions.sla_risk(t.orders, t.stations, AS_OF, LOAD)),
-    "Q2_saturated_stations": _on_tables(
-        lambda t: questions.saturated_stations(t.orders, t.kitchen, t.stations, AS_OF, LOAD, STATE)
-    ),
-    "Q3_critical_now": _on_tables(lambda t: questions.critical_now(t.inventory, AS_OF, STOCK)),
-    "Q4_pending_recommendations": _on_tables(
-        lambda t: questions.pending_recommendations(t.agent, t.approval, t.orders, t.stations, AS_OF, DAY)
-    ),
-    "Q5_full_trace": _on_tables(
-        lambda t: questions.full_trace(t.agent, t.approval, t.action, t.orders, t.stations, AS_OF, DAY)
-    ),
-    "Q6_completed_by_station": _on_tables(
-        lambda t: questions.completed_by_station(t.orders, t.stations, AS_OF, HOUR)
-    ),
-    "Q7_active_by_station": _on_tables(lambda t: questions.active_by_station(t.orders, t.stations, AS_OF, LOAD)),
-    "Q8_active_count": _on_tables(lambda t: questions.active_count(t.orders, AS_OF, LOAD)),
-    "C1_sla_risk_customer": _on_tables(lambda t: signals.sla_risk_with_customer_signal(t.orders)),
-    "C2_station_bottleneck": _on_tables(
-        lambda t: signals.station_bottlenecks(
-            t.orders, t.kitchen, t.inventory, t.stations, AS_OF, LOAD, STATE, STOCK
-        )
-    ),
-    "C3_signal_correlation": _on_tables(
-        lambda t: signals.signal_correlation(
-            t.orders, t.kitchen, t.inventory, t.stations, AS_OF, LOAD, STATE, STOCK, BURST
-        )
-    ),
-    "C4_delay_over_capacity": _on_tables(lambda t: signals.delay_over_capacity(t.orders, t.stations, AS_OF, LOAD)),
-    "C5_compensation": _on_tables(lambda t: signals.compensation_candidates(t.orders)),
     "X1_action_events": lambda spark, folder: actions.action_events(_requests(spark, folder)),
     "X2_validate_requests": lambda spark, folder: actions.validate_requests(_requests(spark, folder)).select(
         "request_id", "action", "valid", "errors"
     ),
-    "X3_human_gate": _on_tables(lambda t: actions.ungated_actions(t.action, t.approval)),
-    "L1_lifecycle_violations": _on_tables(lambda t: quality.lifecycle_violations(t.orders)),
-    "L2_open_orders": _on_tables(lambda t: quality.open_orders(t.orders, AS_OF)),
-    "L3_state_summary": _on_tables(lambda t: quality.state_summary(t.raw, t.orders)),
-    "L4_shift_summary": _on_tables(lambda t: quality.shift_summary(t.raw, AS_OF, SHIFT)),
-    "L5_rule_log": _on_tables(lambda t: rules.rule_log(t, RULES)),
-    "L6_chain_latency": _on_tables(lambda t: quality.chain_latency(t.agent, t.approval, t.action, AS_OF, DAY)),
     "T1_stream_route": _stream_route,
     "T2_stream_throughput": _on_stream(windows.stream_throughput, "throughput"),
     "T3_stream_saturation": _on_stream(windows.stream_saturation, "saturation"),
@@ -264,3 +258,5 @@ QUERIES: dict[str, Query] = {
     "T7_stream_alerts_once": _on_stream(windows.stream_alerts_once, "alerts"),
     "T8_stream_open_orders": _on_stream(lambda raw: windows.stream_open_orders(raw, LOAD), "open"),
 }
+
+QUERIES: dict[str, Query] = {**{name: _on_tables(query) for name, query in TABLE_QUERIES.items()}, **_FOLDER_QUERIES}

@@ -394,7 +394,9 @@ def oracle_queries() -> dict[str, str]:
                 WHERE {_DAY} AND event_name = 'payment.completed' AND order_id IN (
                   SELECT order_id FROM order_events WHERE {_DAY} AND event_name = 'order.created')"""
         ),
-        "D4_completed_with_delay": _q('SELECT count(*) AS "Total" FROM day WHERE created AND delayed AND paid', day_flags),
+        "D4_completed_with_delay": _q(
+            'SELECT count(*) AS "Total" FROM day WHERE created AND delayed AND paid', day_flags
+        ),
         "D5_throughput": _q(d5),
         "D6_delayed_orders": _q(
             """SELECT event_time, order_id, channel, o.station_id, delay_minutes,
@@ -562,7 +564,7 @@ def oracle_queries() -> dict[str, str]:
                         (SELECT count(*) > 0 FROM critical_now) AS low_stock,
                         EXISTS (SELECT 1 FROM crowd c WHERE c.bucket = {_bucket('6 hours', 'o.event_time')}
                                 AND c.channel = o.channel AND c.c >= 3) AS channel_accumulating,
-                        order_id IN (SELECT order_id FROM negative) AS negative_sentiment
+                        order_id IN (SELECT order_id FROM negative WHERE {_within('7 days')}) AS negative_sentiment
                       FROM order_events o WHERE event_name = 'order.prep.delayed' AND {_within('6 hours')})""",
             _SATURATED,
             _CRITICAL_NOW,

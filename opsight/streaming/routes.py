@@ -21,7 +21,7 @@ def stream_order_states(orders: DataFrame, root: str, checkpoint: str, every: st
     """Keep a change log with the newest event per order and micro-batch.
 
     Each batch is reduced on its own, so the query holds no state that would grow with the number of orders;
-    `current_orders` merges the log on read.
+    `current_orders` merges the log on read. The log is stored by day, and `expire` bounds it like any other table.
     """
     return each_batch(
         orders,

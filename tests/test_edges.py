@@ -53,7 +53,8 @@ def test_prefix_ignores_case_and_equality_does_not(raw):
 
 
 def test_missing_strings_become_blank(raw):
-    row = routing.route_orders(raw((NOON, None, "order.created", None, None, None, None, None, None, None, None))).first()
+    bare = (NOON, None, "order.created", *[None] * 8)
+    row = routing.route_orders(raw(bare)).first()
     assert (row.event_id, row.order_id, row.channel, row.order_status, row.station_id, row.severity) == ("",) * 6
 
 
@@ -81,12 +82,14 @@ def test_burst_over_a_bucket_edge(raw):
 
 def test_sliding_against_brute_force(raw):
     times = [0, 10, 10, 250, 299, 300, 301, 480, 600, 601, 900, 901, 902, 1300]
-    t = OpsTables.from_raw(raw(*[late(x) for x in times]))
-    expected = sorted(
-        (NOON + dt.timedelta(seconds=s), sum(1 for x in times if s - 300 < x <= s)) for s in set(times)
-    )
-    found = rules.channel_saturation_sliding(t.orders, min_count=1).select("event_time", "delayed_count").collect()
-    assert sorted(tuple(r) for r in found) == expected
+    delays = [5 + (7 * i) % 11 for i in range(len(times))]
+    t = OpsTables.from_raw(raw(*[late(x, delay=d) for x, d in zip(times, delays)]))
+    expected = []
+    for s in sorted(set(times)):
+        inside = [d for x, d in zip(times, delays) if s - 300 < x <= s]
+        expected.append((NOON + dt.timedelta(seconds=s), len(inside), float(max(inside))))
+    found = rules.channel_saturation_sliding(t.orders, min_count=1)
+    assert sorted(tuple(r) for r in found.select("event_time", "delayed_count", "max_delay").collect()) == expected
 
 
 def test_any_channel(raw):

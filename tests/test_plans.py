@@ -34,11 +34,23 @@ def test_no_python_no_cartesian(spark, name):
         assert node not in text, node
 
 
-@pytest.mark.parametrize("name", ["R2_route_kitchen", "R1_route_order", "O2_delayed_high_queue", "A1_delayed_high_queue",
-                                  "R5_route_approval", "X1_action_events", "X2_validate_requests"])
+ROW_WISE = ["R1_route_order", "R2_route_kitchen", "R3_route_inventory", "R4_route_agent", "R5_route_approval",
+            "R6_route_action", "A1_delayed_high_queue", "A2_critical_inventory", "X1_action_events",
+            "X2_validate_requests"]
+
+
+@pytest.mark.parametrize("name", ROW_WISE)
 def test_row_wise_queries_do_not_shuffle(spark, name):
+    assert "Exchange" not in plan(QUERIES[name](spark, FOLDER))
+
+
+@pytest.mark.parametrize("name", ["D2_active_orders", "D5_throughput", "C5_compensation", "L1_lifecycle_violations",
+                                  "L2_open_orders", "O4_station_saturation", "R7_route_counts"])
+def test_one_pre_aggregated_pass(spark, name):
+    """Partial and final hash aggregation over one scan, without a join."""
     text = plan(QUERIES[name](spark, FOLDER))
-    assert ("Exchange" in text) == name.startswith("O")
+    assert text.count("FileScan") == 1 and "Join" not in text and "SortAggregate" not in text
+    assert "partial_" in text
 
 
 def test_time_filters_reach_the_scan(spark):

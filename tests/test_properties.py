@@ -28,7 +28,8 @@ def test_routing_partitions_raw(t):
 
 def test_one_row_per_key(t):
     newest = latest_by(t.orders, "order_id")
-    assert newest.count() == newest.select("order_id").distinct().count() == t.orders.select("order_id").distinct().count()
+    orders = t.orders.select("order_id").distinct().count()
+    assert newest.count() == newest.select("order_id").distinct().count() == orders
     top = t.orders.groupBy("order_id").agg(F.max("event_time").alias("event_time"))
     assert newest.join(top, ["order_id", "event_time"]).count() == newest.count()
 

@@ -2,11 +2,15 @@
 
 import datetime as dt
 import glob
+import tempfile
 
+import pytest
 from conftest import NOON, event, rows
 from peak import peak_shift
 
+from opsight.functions import bounded_broadcast, newest_days
 from opsight.operators import dashboard, questions, routing
+from opsight.plans.catalog import TABLE_QUERIES, raw_events
 from opsight.plans.tables import OpsTables
 from opsight.schemas import EVENT_TABLES, ORDERS, RAW, TABLE_SCHEMAS
 from opsight.sources import events, stations, tables
@@ -85,3 +89,36 @@ def test_clear_keeps_stations(spark, raw, folder):
     assert counts.pop("stations") == 4 and set(counts.values()) == {0}
     routing.fan_out(raw(*peak_shift()), folder, "again")
     assert dict(rows(tables.stored_counts(spark, folder)))["raw_restaurant_events"] == 56
+
+
+@pytest.fixture(scope="module")
+def both(spark):
+    """The given events once as derived and once as stored tables."""
+    raw = raw_events(spark, "/root/testdata/sf0.001")
+    root = tempfile.mkdtemp(prefix="run-stored-")
+    routing.fan_out(raw, root, "load")
+    stations.write_stations(spark, root)
+    return OpsTables.from_raw(raw), OpsTables.stored(spark, root)
+
+
+@pytest.mark.parametrize("name", [q for q in TABLE_QUERIES if q[0] != "R"])
+def test_stored_tables_answer_like_derived_ones(both, name):
+    derived, stored = (TABLE_QUERIES[name](tables) for tables in both)
+    assert derived.columns == stored.columns
+    assert rows(derived) == rows(stored)
+
+
+def test_newest_rows_need_recent_days_only(both):
+    stored = both[1].orders.where("event_name = 'order.prep.delayed'")
+    one_day = newest_days(stored, 5, "2024-01-30 18:00:00")
+    assert one_day.agg({"event_date": "min"}).first()[0] >= dt.date(2024, 1, 29)
+    assert newest_days(stored, 10**6, "2024-01-30 18:00:00") is stored
+    assert newest_days(stored, 5, "2030-01-01") is stored
+
+
+def test_broadcast_only_within_the_bound(spark):
+    def hinted(max_rows):
+        df = bounded_broadcast(spark.range(3), stations.stations(spark), max_rows)
+        return "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+
+    assert hinted(4) and not hinted(3)

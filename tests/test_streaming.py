@@ -49,6 +49,14 @@ def test_routing_stream_equals_batch_and_resumes(spark, raw, folder):
             assert rows(stored) == rows(route(raw(*shift))), name
 
 
+def test_landing_from_a_source_of_lines(spark, raw, folder):
+    """Sources such as message queues deliver the JSON text as `value`."""
+    shift = peak_shift()
+    path = _feed(raw, folder, shift[:20], shift[20:])
+    landed = runner.appended(spark, events.stream_raw(spark, path, source="text"), folder)
+    assert rows(landed) == rows(raw(*shift))
+
+
 def test_windows_equal_batch(spark, raw, folder):
     shift = peak_shift()
     path = _feed(raw, folder, shift[:30], shift[30:], _closing())
