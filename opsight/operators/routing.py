@@ -25,7 +25,7 @@ from opsight.schemas import (
     ORDERS,
     RAW,
 )
-from opsight.sources.tables import write_table
+from opsight.sources.tables import read_table, write_table
 
 # Which event names belong to which table: equality is exact, prefixes ignore case. Names that match none stay in raw.
 _BELONGS: dict[str, Callable[[], Column]] = {
@@ -148,24 +148,29 @@ def route_counts(raw: DataFrame) -> DataFrame:
     return raw.groupBy(target.alias("target")).agg(F.count("*").alias("rows"))
 
 
-def fan_out(raw: DataFrame, root: str, batch_id: str | int, *, rebalance: bool = True) -> None:
+def fan_out(
+    raw: DataFrame, root: str, batch_id: str | int, *, rebalance: bool = True, from_storage: bool = False
+) -> None:
     """Write one batch into raw and all six targets.
 
-    The batch is parsed once and kept for the seven writes; the six routed writes are independent jobs and run side by
-    side. Every write replaces the folders of this `batch_id` only, so running the batch again after a failure part-way
-    gives each table exactly one copy.
+    The batch is evaluated once. Micro-batches are kept for the seven writes; with `from_storage`, for large loads, the
+    targets are routed from the raw files just written, which needs no room on the executors and survives their loss.
+    The six routed writes are independent jobs and run side by side. Every write replaces the folders of this
+    `batch_id` only, so running the batch again after a failure part-way gives each table exactly one copy.
     """
-    kept = raw.persist(StorageLevel.MEMORY_AND_DISK)
 
     def write(name: str, rows: DataFrame) -> None:
         write_table(rows, root, name, batch_id, rebalance=rebalance)
 
+    source = raw if from_storage else raw.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        write(RAW, kept)
+        write(RAW, source)
+        landed = read_table(raw.sparkSession, root, RAW, batch_id) if from_storage else source
         with ThreadPoolExecutor(len(ROUTES)) as pool:
             run = inheritable_thread_target(raw.sparkSession)(write)
-            jobs = [pool.submit(run, name, route(kept)) for name, route in ROUTES.items()]
+            jobs = [pool.submit(run, name, route(landed)) for name, route in ROUTES.items()]
         for job in jobs:
             job.result()
     finally:
-        kept.unpersist()
+        if not from_storage:
+            source.unpersist()

@@ -101,7 +101,7 @@ def _stream_raw(spark: SparkSession, folder: str) -> DataFrame:
 
 def _write_tables(spark: SparkSession, folder: str) -> DataFrame:
     root = scratch(spark, "tables")
-    routing.fan_out(raw_events(spark, folder), root, "load")
+    routing.fan_out(raw_events(spark, folder), root, "load", from_storage=True)
     return _shared_columns(spark, root, EVENT_TABLES)
 
 
@@ -124,7 +124,7 @@ def _conform_schema(spark: SparkSession, folder: str) -> DataFrame:
 
 def _clear_tables(spark: SparkSession, folder: str) -> DataFrame:
     root = scratch(spark, "clear")
-    routing.fan_out(raw_events(spark, folder), root, "load")
+    routing.fan_out(raw_events(spark, folder), root, "load", from_storage=True)
     station_source.write_stations(spark, root)
     store.stored_counts(spark, root).withColumnRenamed("rows", "rows_before").write.parquet(f"{root}/before")
     store.clear_tables(spark, root)

@@ -60,10 +60,13 @@ def write_table(df: DataFrame, root: str, name: str, batch_id: str | int, *, reb
     )
 
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A stored table with its `event_date`, which `recent` uses to prune days."""
+def read_table(spark: SparkSession, root: str, name: str, batch_id: str | int | None = None) -> DataFrame:
+    """A stored table, or one load of it, with its `event_date`, which `recent` uses to prune days."""
     layout = T.StructType([*TABLE_SCHEMAS[name].fields, *_LAYOUT_FIELDS])
-    return spark.read.schema(layout).parquet(f"{root}/{name}").drop("batch_id")
+    stored = spark.read.schema(layout).parquet(f"{root}/{name}")
+    if batch_id is not None:
+        stored = stored.where(F.col("batch_id") == str(batch_id))
+    return stored.drop("batch_id")
 
 
 def clear_tables(spark: SparkSession, root: str, dry_run: bool = False) -> list[str]:

@@ -65,6 +65,18 @@ def test_fan_out_is_repeatable_and_answers_match(spark, raw, folder):
     assert rows(status.where("active_orders > 0"), "station_id", "active_orders") == [("grill", 1)]
 
 
+def test_large_loads_are_routed_from_the_stored_batch(spark, raw, folder):
+    shift = raw(*peak_shift())
+    routing.fan_out(raw(event("order.created", 30, order="o9", station="grill")), folder, "other")
+    for _ in range(2):
+        routing.fan_out(shift, folder, "big", from_storage=True)
+    for name, route in routing.ROUTES.items():
+        if route(shift).count():
+            stored = tables.read_table(spark, folder, name, "big").drop("event_date")
+            assert rows(stored) == rows(route(shift)), name
+    assert tables.read_table(spark, folder, ORDERS).count() == 33
+
+
 def test_retention_drops_days_only(spark, raw, folder):
     days = [dt.datetime(2024, 1, d, 23, 59) for d in (1, 2, 3)]
     df = raw(*[event("order.created", d, order=str(d.day)) for d in days])
