@@ -11,8 +11,6 @@ from pyspark.sql import SparkSession
 _SETTINGS = {
     # event times, buckets and day starts are defined in UTC
     "spark.sql.session.timeZone": "UTC",
-    # the JVM does not compile methods above 8000 bytes; beyond that Spark's split projections are faster
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -25,8 +23,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder name that all executors can reach: below `spark.checkpoint.dir`, else a local temporary one."""
+    """A fresh folder name that the driver and all executors can reach, below `spark.checkpoint.dir`.
+
+    Where that is unset, a session that runs inside one JVM gets a temporary folder; on a cluster there is no folder
+    that all machines share, so this raises. Whoever owns the checkpoint folder removes what is in it.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return tempfile.mkdtemp(prefix=f"run-{label}-")
