@@ -23,6 +23,7 @@ from opsight.session import scratch
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ROWS_AT_ONCE = 256
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 MEMO_ENTRIES = 300_000
 MASK = (1 << 64) - 1
 
@@ -42,7 +43,9 @@ def text_key(text: str) -> Column:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors unless their Python finds it by its own search path."""
+    """Batches of a size for long texts; the package goes to executors whose Python does not find it by itself."""
+    if spark.conf.get(BATCH_ROWS, None) is None:
+        spark.conf.set(BATCH_ROWS, "500")  # texts can be long: the default of 10,000 rows may not fit
     package = Path(__file__).resolve().parents[1]
     context, root = spark.sparkContext, str(package.parent)
     if root in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()] or getattr(context, "_opsight", False):

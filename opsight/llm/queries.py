@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsight.llm import chat, fertility, langid, packing, url_rules
+from opsight.llm import chat, fertility, jaccard_join, langid, packing, url_rules
 from opsight.llm.common import id_bucket, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,10 @@ def op7_fertility(spark: SparkSession, folder: str) -> DataFrame:
     return fertility.judged(fertility.features(table(spark, folder, "documents")))
 
 
+def op8_rare_first(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.linked(table(spark, folder, "documents"), size=4, percent=85).drop("key")
+
+
 def op10_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
@@ -48,6 +52,11 @@ LLM_QUERIES: dict[str, Query] = {
     "op4_snapshots": op4_snapshots,
     "op3_word_backoff": op3_word_backoff,
     "op7_fertility": op7_fertility,
+    "op8_rare_first": op8_rare_first,
     "op10_best_fit": op10_best_fit,
 }
-LLM_ORACLES: dict[str, str] = {"op1_association_rules": url_rules.oracle(), "op4_snapshots": chat.ORACLE}
+LLM_ORACLES: dict[str, str] = {
+    "op1_association_rules": url_rules.oracle(),
+    "op4_snapshots": chat.ORACLE,
+    "op8_rare_first": jaccard_join.oracle(4, 85),
+}
