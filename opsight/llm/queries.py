@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsight.llm import chat, fertility, jaccard_join, langid, packing, url_rules
+from opsight.llm import chat, fertility, jaccard_join, langid, packing, sentence_spans, surrogates, url_rules
 from opsight.llm.common import id_bucket, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,15 @@ def op1_association_rules(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.judge(table(spark, folder, "pages"), table(spark, folder, "labels"))
 
 
+def op2_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    made = surrogates.replace_all(table(spark, folder, "documents").select("doc_id", "text"))
+    return made.withColumnRenamed("__entities", "n_entities")
+
+
+def op5_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return sentence_spans.deduplicated(table(spark, folder, "documents"))
+
+
 def op4_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     return chat.collapse_and_render(table(spark, folder, "conversations"))
 
@@ -50,6 +59,8 @@ def op10_best_fit(spark: SparkSession, folder: str) -> DataFrame:
 LLM_QUERIES: dict[str, Query] = {
     "op1_association_rules": op1_association_rules,
     "op4_snapshots": op4_snapshots,
+    "op2_surrogates": op2_surrogates,
+    "op5_sentence_spans": op5_sentence_spans,
     "op3_word_backoff": op3_word_backoff,
     "op7_fertility": op7_fertility,
     "op8_rare_first": op8_rare_first,
