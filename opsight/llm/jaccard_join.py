@@ -239,7 +239,10 @@ def cross_pairs(active: DataFrame, labels: DataFrame, percent: int) -> DataFrame
 
 
 def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, key, n_shingles, component_id for every row; key is the text's digest."""
+    """doc_id, key, n_shingles, component_id, root for every row.
+
+    key is the text's digest, root the component's smallest set digest, null for an empty set.
+    """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(text).alias("key"), F.col(text).alias("text"))
     each = stored(members(docs, size), "members")
     frequent = frequent_shingles(docs, size)
@@ -264,7 +267,7 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, size:
     rooted = stored(rooted, "rooted")
     least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rooted.join(least, "root", "left").select(
-        "doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")
+        "doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "root"
     )
 
 

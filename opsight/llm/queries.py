@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsight.llm import chat, fertility, jaccard_join, langid, packing, sentence_spans, surrogates, url_rules
+from corpus_pipeline import run as pipeline
+from opsight.llm import chat, context_mixing, fertility, jaccard_join, langid, latent_leaks, packing, sentence_spans, surrogates, url_rules
 from opsight.llm.common import id_bucket, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,12 +45,22 @@ def op3_word_backoff(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_context_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = id_bucket("doc_id", 10) == 0
+    found = context_mixing.scores(table(spark, folder, "documents"), ~held_out)
+    return found.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+
+
 def op7_fertility(spark: SparkSession, folder: str) -> DataFrame:
     return fertility.judged(fertility.features(table(spark, folder, "documents")))
 
 
 def op8_rare_first(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard_join.linked(table(spark, folder, "documents"), size=4, percent=85).drop("key")
+    return jaccard_join.linked(table(spark, folder, "documents"), size=4, percent=85).drop("key", "root")
+
+
+def op9_latent_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return latent_leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("key")
 
 
 def op10_best_fit(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,9 +73,12 @@ LLM_QUERIES: dict[str, Query] = {
     "op2_surrogates": op2_surrogates,
     "op5_sentence_spans": op5_sentence_spans,
     "op3_word_backoff": op3_word_backoff,
+    "op6_context_mixing": op6_context_mixing,
     "op7_fertility": op7_fertility,
     "op8_rare_first": op8_rare_first,
+    "op9_latent_leaks": op9_latent_leaks,
     "op10_best_fit": op10_best_fit,
+    "pipeline": pipeline,
 }
 LLM_ORACLES: dict[str, str] = {
     "op1_association_rules": url_rules.oracle(),
