@@ -77,6 +77,83 @@ def in_slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> It
             yield batch.slice(start, rows)
 
 
+SLICE_BYTES = 2 << 20
+CHUNK_BYTES = 4 << 20
+
+
+def text_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts of a column, end to end, and where each starts; null texts are empty."""
+    column = column.cast(pa.large_binary())
+    if not len(column):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the texts of each come to `SLICE_BYTES`, or to one long text."""
+    for batch in batches:
+        _, offsets = text_column(batch.column(column))
+        start = 0
+        while start < batch.num_rows:
+            end = int(np.searchsorted(offsets, offsets[start] + SLICE_BYTES, side="right")) - 1
+            end = min(max(end, start + 1), batch.num_rows)
+            yield batch.slice(start, end - start)
+            start = end
+
+
+def separators(characters: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(characters)] = True
+    return out
+
+
+WHITE = separators(b" \t\n\x0b\x0c\r")
+_POWERS = np.multiply.accumulate(np.full(1 << 16, 0xD1342543DE82EF95, np.uint64))
+
+
+def _byte_values() -> np.ndarray:
+    """A 64-bit value for each byte, the same for A-Z as for a-z."""
+    values = np.frombuffer(b"".join(xxhash.xxh3_64_digest(bytes([b])) for b in range(256)), np.uint64).copy()
+    values[65:91] = values[97:123]
+    return values
+
+
+_VALUES = _byte_values()
+
+
+def flat_words(column: pa.Array, blank: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts of a column, and the number of words of each text.
+
+    A word is a maximal run of bytes that are not `blank`; its hash is a polynomial in its bytes, scrambled.
+    """
+    data, offsets = text_column(column)
+    free = ~blank[data]
+    begins = free.copy()
+    begins[1:] &= ~free[:-1]
+    edges = offsets[:-1][offsets[:-1] < len(data)]
+    begins[edges] = free[edges]
+    starts = np.flatnonzero(begins)
+    counts = np.diff(np.searchsorted(starts, offsets))
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        upto = max(at + 1, int(np.searchsorted(starts, starts[at] + CHUNK_BYTES)))
+        low, high = starts[at], starts[upto] if upto < len(starts) else len(data)
+        part = starts[at:upto] - low
+        place = np.arange(high - low) - np.repeat(part, np.diff(np.append(part, high - low)))
+        value = _VALUES[data[low:high]]
+        value *= _POWERS[place & 0xFFFF]
+        if high - low > 0xFFFF:
+            value *= (place >> 16).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        value[~free[low:high]] = 0
+        out[at:upto] = np.add.reduceat(value, part)
+        at = upto
+    return mixed(out), counts
+
+
 class WordHashes(dict):
     """64-bit hashes of byte words, remembered up to a number of entries."""
 
