@@ -26,34 +26,44 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsight.llm.common import WordHashes, ascii_words, components, in_slices, is_member, membership, shingle_hashes, stored, text_key
+from opsight.llm.common import (
+    components, flat_words, in_slices, is_member, membership, shingle_hashes, stored, text_key, text_slices,
+)
 
 FREQUENT = 65_536
 LOCAL_FREQUENT = 8192
 FLUSH = 2_000_000
-PIVOTS = 3
+PIVOTS = 2
 BUCKETS = 16
 
-NO_FREQUENT = (np.empty(0, np.uint64), np.empty(0, np.int64))
 
-
-def shingle_set(text: str | bytes | None, size: int, words: WordHashes) -> np.ndarray:
-    """Distinct shingle hashes of a whole text, sorted."""
-    return np.unique(shingle_hashes(words.of(ascii_words(text)), size))
+def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
+    """Distinct shingle hashes of each text of a column, sorted."""
+    words, counts = flat_words(column)
+    runs = shingle_hashes(words, size)
+    out, at = [], 0
+    for n in counts.tolist():
+        out.append(np.unique(runs[at : at + n - size + 1] if n >= size else shingle_hashes(words[at : at + n], size)))
+        at += n
+    return out
 
 
 def node_of(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
-def prefix_of(hashes: np.ndarray, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def prefix_of(hashes: np.ndarray, percent: int, frequent: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     """The rarest shingles of a set: as many as a similar set must share one of."""
     keep = len(hashes) - -(-percent * len(hashes) // 100) + 1
-    known, often = frequent
-    if not len(known):
+    known, often, bitmap = frequent
+    maybe = np.flatnonzero(is_member(bitmap, hashes))
+    if not len(maybe):
         return hashes[:keep]
-    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    return hashes[np.lexsort((hashes, np.where(known[at] == hashes, often[at], 0)))][:keep]
+    at = np.minimum(np.searchsorted(known, hashes[maybe]), len(known) - 1)
+    sure = known[at] == hashes[maybe]
+    maybe, at = maybe[sure], at[sure]
+    last = hashes[maybe][np.lexsort((hashes[maybe], often[at]))]
+    return np.concatenate((np.delete(hashes, maybe), last))[:keep]
 
 
 def _arrow(columns: dict[str, tuple[list | np.ndarray, pa.DataType]]) -> pa.RecordBatch:
@@ -61,35 +71,26 @@ def _arrow(columns: dict[str, tuple[list | np.ndarray, pa.DataType]]) -> pa.Reco
 
 
 def _per_text(docs: DataFrame, size: int, schema: str, emit: Callable) -> DataFrame:
-    """Runs `emit(ids, sets)` over slices of documents; the last column of `docs` is the text."""
+    """Runs `emit(batch, sets)` over slices of documents; the last column of `docs` is the text."""
+    last = len(docs.columns) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        for batch in in_slices(batches):
-            sets = [shingle_set(v.as_py(), size, words) for v in batch.column(batch.num_columns - 1)]
-            yield emit(batch, sets)
+        for batch in text_slices(batches, last):
+            yield emit(batch, shingle_sets(batch.column(batch.num_columns - 1), size))
 
     return docs.mapInArrow(run, schema)
 
 
 def members(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, key, n, node: the set's size and 128-bit digest; node is null for an empty set."""
-
-    def emit(batch: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
-        columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.binary())]
-        return pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "key", "n", "node"])
+    """doc_id, key, n, node, buckets of every row: the set's size, 128-bit digest (null for an empty set) and counts by
+    part of the hash space; and, with a null key, shingle and n of what is frequent in the documents of a task.
 
-    return _per_text(docs, size, "doc_id long, key string, n long, node binary", emit)
-
-
-def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles with their counts, sorted by hash; bounded, and only used to order prefixes.
-
-    Each task counts its own documents in runs, and passes on those found three times or more in a run.
+    Each task counts its own documents in runs, and passes on shingles found three times or more in a run.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, total, n = WordHashes(), [], Counter(), 0
+        held, total, n = [], Counter(), 0
+        kinds = pa.schema([("doc_id", pa.int64()), ("key", pa.string()), ("n", pa.int64()), ("node", pa.binary()), ("buckets", pa.list_(pa.int32())), ("shingle", pa.int64())])
 
         def flush() -> None:
             nonlocal held, n, total
@@ -102,25 +103,37 @@ def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarra
                     total = Counter(dict(total.most_common(LOCAL_FREQUENT)))
             held, n = [], 0
 
-        for batch in in_slices(batches):
-            for value in batch.column(0):
-                found = shingle_set(value.as_py(), size, words)
-                held.append(found)
-                n += len(found)
-                if n > FLUSH:
-                    flush()
+        for batch in text_slices(batches, 2):
+            sets = shingle_sets(batch.column(2), size)
+            held += sets
+            n += sum(map(len, sets))
+            if n > FLUSH:
+                flush()
+            columns = [
+                pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.binary()),
+                pa.array([np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=BUCKETS).tolist() for s in sets], kinds[4].type),
+                pa.nulls(len(sets), pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], schema=kinds)
         flush()
         top = total.most_common(LOCAL_FREQUENT)
-        yield _arrow({
-            "shingle": (np.array([t[0] for t in top], np.uint64).view(np.int64), pa.int64()),
-            "n": ([t[1] for t in top], pa.int64()),
-        })
+        values = np.array([t[0] for t in top], np.uint64).view(np.int64)
+        empty = [pa.nulls(len(top), f.type) for f in kinds]
+        yield pa.RecordBatch.from_arrays([*empty[:2], pa.array([t[1] for t in top], pa.int64()), *empty[3:5], pa.array(values)], schema=kinds)
+
+    return docs.mapInArrow(run, "doc_id long, key string, n long, node binary, buckets array<int>, shingle long")
 
-    counts = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+
+def frequent_shingles(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent shingles, sorted by hash, their counts, and a bitmap; bounded, and only used to order prefixes."""
+    counts = counted.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("n").alias("n"))
     table = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
     values, often = table["shingle"].to_numpy().view(np.uint64), table["n"].to_numpy()
     order = np.argsort(values)
-    return values[order], often[order]
+    bitmap = np.zeros(1 << 16, np.uint32)
+    slot = values & np.uint64((1 << 21) - 1)
+    np.bitwise_or.at(bitmap, slot >> np.uint64(5), np.uint32(1) << (slot & np.uint64(31)).astype(np.uint32))
+    return values[order], often[order], bitmap
 
 
 def prefixes(docs: DataFrame, size: int, percent: int, frequent, wanted=None) -> DataFrame:
@@ -151,22 +164,17 @@ def prefixes(docs: DataFrame, size: int, percent: int, frequent, wanted=None) ->
 
 
 def node_sets(docs: DataFrame, size: int, wanted: np.ndarray) -> DataFrame:
-    """node, n, buckets, hashes of the nodes in a bitmap (by the first half of their digest), one row for each."""
+    """node, hashes of the nodes in a bitmap (by the first half of their digest), one row for each."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def emit(batch: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
         full = [s for s in sets if len(s)]
         nodes = [node_of(s) for s in full]
         halves = np.array([int.from_bytes(x[:8], "little") for x in nodes], np.uint64)
-        hit = is_member(shared.value, halves).tolist() if full else []
-        found = {x: s for x, s, h in zip(nodes, full, hit, strict=True) if h}
-        return _arrow({
-            "node": (list(found), pa.binary()), "n": ([len(s) for s in found.values()], pa.int64()),
-            "buckets": ([np.bincount(s >> np.uint64(60), minlength=BUCKETS).tolist() for s in found.values()], pa.list_(pa.int32())),
-            "hashes": ([s.tobytes() for s in found.values()], pa.binary()),
-        })
+        found = {nodes[i]: full[i].tobytes() for i in np.flatnonzero(is_member(shared.value, halves))}
+        return _arrow({"node": (list(found), pa.binary()), "hashes": (list(found.values()), pa.binary())})
 
-    return _per_text(docs.select("text"), size, "node binary, n long, buckets array<int>, hashes binary", emit).dropDuplicates(["node"])
+    return _per_text(docs.select("text"), size, "node binary, hashes binary", emit).dropDuplicates(["node"])
 
 
 def needed(percent: int, a: str = "na", b: str = "nb") -> Column:
@@ -174,18 +182,25 @@ def needed(percent: int, a: str = "na", b: str = "nb") -> Column:
     return F.ceil((F.col(a) + F.col(b)) * percent / (100 + percent) - 1e-9)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b of nodes that are similar. Length and suffix filters come before the sets are read."""
-    sizes = sets.select("node", "n", "buckets")
-    cheap = (
+def promising(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b that pass the length and suffix filters."""
+    both = (
         pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("buckets").alias("ha")), "a")
         .join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("buckets").alias("hb")), "b")
         .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     )
     # suffix filter: the overlap cannot exceed the sum over parts of the hash space of the smaller count
     bound = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    cheap = cheap.where(bound >= needed(percent)).select("a", "b")
-    whole = cheap.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(
+    return both.where(bound >= needed(percent)).select("a", "b")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, size: int, percent: int, label: str) -> DataFrame:
+    """The pairs a, b of nodes that are similar; whole sets are made again for promising pairs only."""
+    pairs = stored(promising(pairs, sizes, percent), f"{label}-pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = membership(ends.join(sizes.select("node", "half"), "node"), "half")
+    sets = stored(node_sets(docs, size, wanted).join(ends, "node", "left_semi"), f"{label}-sets")
+    whole = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b"
     )
 
@@ -200,7 +215,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(hit, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
-    return whole.select("a", "b", "ha", "hb").mapInArrow(run, "a binary, b binary")
+    return stored(whole.select("a", "b", "ha", "hb").mapInArrow(run, "a binary, b binary"), label)
 
 
 def pivot_pairs(active: DataFrame, pivots: int = PIVOTS) -> DataFrame:
@@ -244,21 +259,24 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, size:
     key is the text's digest, root the component's smallest set digest, null for an empty set.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(text).alias("key"), F.col(text).alias("text"))
-    each = stored(members(docs, size), "members")
-    frequent = frequent_shingles(docs, size)
+    counted = stored(members(docs, size), "members")
+    each = counted.where("key IS NOT NULL")
+    frequent = frequent_shingles(counted)
     halves = prefixes(docs, size, percent, frequent).groupBy("shingle").agg(F.min("half").alias("x"), F.max("half").alias("y"))
     shared = stored(halves.where("x <> y").select("shingle"), "shared")
     active = prefixes(docs, size, percent, frequent, membership(shared, "shingle")).dropDuplicates(["shingle", "node"])
     active = stored(active.join(shared, "shingle", "left_semi"), "active")
-    sets = stored(node_sets(docs, size, membership(active, "half")), "sets")
-    near = stored(verified(pivot_pairs(active), sets, percent), "pivots")
-    labels = stored(components(near, "near"), "labels")
-    more = verified(cross_pairs(active, labels, percent), sets, percent)
+    halves = active.select("node", "half").distinct()
+    sizes = each.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("buckets").alias("buckets"))
+    sizes = stored(sizes.join(halves, "node"), "sizes")
+    near = verified(docs, pivot_pairs(active), sizes, size, percent, "near")
+    labels = stored(components(near, "near-stars"), "labels")
+    more = verified(docs, cross_pairs(active, labels, percent), sizes, size, percent, "far")
     roots = labels.withColumnRenamed("root", "r")
     joined = more.join(roots.withColumnsRenamed({"node": "a", "r": "ra"}), "a", "left").join(
         roots.withColumnsRenamed({"node": "b", "r": "rb"}), "b", "left"
     )
-    merged = stored(components(joined.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), "far"), "merged")
+    merged = stored(components(joined.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), "far-stars"), "merged")
     merged = merged.withColumnsRenamed({"node": "first", "root": "last"})
     rooted = (
         each.join(labels, "node", "left").withColumn("first", F.coalesce("root", "node"))
