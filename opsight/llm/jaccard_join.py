@@ -30,11 +30,11 @@ from opsight.llm.common import (
     components, flat_words, in_slices, is_member, membership, shingle_hashes, stored, text_key, text_slices,
 )
 
-FREQUENT = 65_536
-LOCAL_FREQUENT = 8192
+FREQUENT = 262_144
+LOCAL_FREQUENT = 32_768
 FLUSH = 2_000_000
-PIVOTS = 2
-BUCKETS = 16
+PIVOTS = 4
+BUCKETS = 128
 
 
 def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
@@ -89,29 +89,29 @@ def members(docs: DataFrame, size: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total, n = [], Counter(), 0
+        held, total, n = {}, Counter(), 0
         kinds = pa.schema([("doc_id", pa.int64()), ("key", pa.string()), ("n", pa.int64()), ("node", pa.binary()), ("buckets", pa.list_(pa.int32())), ("shingle", pa.int64())])
 
         def flush() -> None:
             nonlocal held, n, total
             if held:
-                values, counts = np.unique(np.concatenate(held), return_counts=True)
+                values, counts = np.unique(np.concatenate(list(held.values())), return_counts=True)
                 often = counts >= 3
                 for value, count in zip(values[often].tolist(), counts[often].tolist(), strict=True):
                     total[value] += count
                 if len(total) > 8 * LOCAL_FREQUENT:
                     total = Counter(dict(total.most_common(LOCAL_FREQUENT)))
-            held, n = [], 0
+            held, n = {}, 0
 
         for batch in text_slices(batches, 2):
             sets = shingle_sets(batch.column(2), size)
-            held += sets
+            held |= {node_of(s): s for s in sets if len(s)}  # copies count once
             n += sum(map(len, sets))
             if n > FLUSH:
                 flush()
             columns = [
                 pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.binary()),
-                pa.array([np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=BUCKETS).tolist() for s in sets], kinds[4].type),
+                pa.array([np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=BUCKETS).tolist() for s in sets], kinds[4].type),
                 pa.nulls(len(sets), pa.int64()),
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], schema=kinds)
@@ -130,8 +130,8 @@ def frequent_shingles(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, np.nd
     table = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
     values, often = table["shingle"].to_numpy().view(np.uint64), table["n"].to_numpy()
     order = np.argsort(values)
-    bitmap = np.zeros(1 << 16, np.uint32)
-    slot = values & np.uint64((1 << 21) - 1)
+    bitmap = np.zeros(1 << 17, np.uint32)
+    slot = values & np.uint64((1 << 22) - 1)
     np.bitwise_or.at(bitmap, slot >> np.uint64(5), np.uint32(1) << (slot & np.uint64(31)).astype(np.uint32))
     return values[order], often[order], bitmap
 
@@ -235,13 +235,16 @@ def cross_pairs(active: DataFrame, labels: DataFrame, percent: int) -> DataFrame
     known = active.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     per_root = known.groupBy("shingle", "root").agg(F.count("*").alias("k"))
     lists = per_root.groupBy("shingle").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("roots"))
-    open_lists = known.join(lists.where("roots > 1").drop("roots"), "shingle")
-    left = open_lists.where("root <> main").select("shingle", *[F.col(c).alias(f"{c}_l") for c in ("node", "n", "pos", "root")])
-    right = open_lists.select("shingle", *[F.col(c).alias(f"{c}_r") for c in ("node", "n", "pos", "root", "main")])
+    # the smaller set of a similar pair meets the larger one in a still shorter prefix
+    short = F.col("pos") < F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent) - 1e-9) + 1
+    open_lists = known.join(lists.where("roots > 1").drop("roots"), "shingle").withColumn("short", short)
+    left = open_lists.where("root <> main").select("shingle", *[F.col(c).alias(f"{c}_l") for c in ("node", "n", "pos", "root", "short")])
+    right = open_lists.select("shingle", *[F.col(c).alias(f"{c}_r") for c in ("node", "n", "pos", "root", "short", "main")])
     met = left.join(right, "shingle").where(
         (F.col("root_l") != F.col("root_r"))
         & ((F.col("root_r") == F.col("main_r")) | (F.col("node_l") < F.col("node_r")))
         & (F.least("n_l", "n_r") * 100 >= F.greatest("n_l", "n_r") * percent)
+        & ((F.col("short_l") & (F.col("n_l") <= F.col("n_r"))) | (F.col("short_r") & (F.col("n_r") <= F.col("n_l"))))
     )
     met = met.select(
         F.least("node_l", "node_r").alias("a"), F.greatest("node_l", "node_r").alias("b"),
