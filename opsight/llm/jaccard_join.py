@@ -52,18 +52,27 @@ def node_of(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
-def prefix_of(hashes: np.ndarray, percent: int, frequent: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    """The rarest shingles of a set: as many as a similar set must share one of."""
+def prefix_of(hashes: np.ndarray, percent: int, frequent: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The rarest shingles of a set: as many as a similar set must share one of.
+
+    The order is the same for all sets: unmarked shingles, then those in the bitmap of shared ones, then by frequency.
+    """
     keep = len(hashes) - -(-percent * len(hashes) // 100) + 1
-    known, often, bitmap = frequent
-    maybe = np.flatnonzero(is_member(bitmap, hashes))
+    known, often, bitmap, shared = frequent
+    maybe = is_member(bitmap, hashes)
+    if shared is not None:
+        maybe |= is_member(shared, hashes)
+    maybe = np.flatnonzero(maybe)
     if not len(maybe):
         return hashes[:keep]
-    at = np.minimum(np.searchsorted(known, hashes[maybe]), len(known) - 1)
-    sure = known[at] == hashes[maybe]
-    maybe, at = maybe[sure], at[sure]
-    last = hashes[maybe][np.lexsort((hashes[maybe], often[at]))]
-    return np.concatenate((np.delete(hashes, maybe), last))[:keep]
+    marked = hashes[maybe]
+    count = np.zeros(len(marked), np.int64) if shared is None else is_member(shared, marked).astype(np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, marked), len(known) - 1)
+        count = np.where(known[at] == marked, often[at], count)
+    later = count > 0
+    last = marked[later][np.lexsort((marked[later], count[later]))]
+    return np.concatenate((np.delete(hashes, maybe[later]), last))[:keep]
 
 
 def _arrow(columns: dict[str, tuple[list | np.ndarray, pa.DataType]]) -> pa.RecordBatch:
@@ -124,7 +133,7 @@ def members(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, key string, n long, node binary, buckets array<int>, shingle long")
 
 
-def frequent_shingles(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def frequent_shingles(counted: DataFrame) -> tuple:
     """The most frequent shingles, sorted by hash, their counts, and a bitmap; bounded, and only used to order prefixes."""
     counts = counted.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("n").alias("n"))
     table = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
@@ -133,7 +142,7 @@ def frequent_shingles(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, np.nd
     bitmap = np.zeros(1 << 17, np.uint32)
     slot = values & np.uint64((1 << 22) - 1)
     np.bitwise_or.at(bitmap, slot >> np.uint64(5), np.uint32(1) << (slot & np.uint64(31)).astype(np.uint32))
-    return values[order], often[order], bitmap
+    return values[order], often[order], bitmap, None
 
 
 def prefixes(docs: DataFrame, size: int, percent: int, frequent, wanted=None) -> DataFrame:
@@ -163,6 +172,12 @@ def prefixes(docs: DataFrame, size: int, percent: int, frequent, wanted=None) ->
     return _per_text(docs.select("text"), size, schema, emit)
 
 
+def shared_shingles(docs: DataFrame, size: int, percent: int, frequent: tuple) -> DataFrame:
+    """The prefix shingles of two or more different sets."""
+    ends = prefixes(docs, size, percent, frequent).groupBy("shingle").agg(F.min("half").alias("x"), F.max("half").alias("y"))
+    return ends.where("x <> y").select("shingle")
+
+
 def node_sets(docs: DataFrame, size: int, wanted: np.ndarray) -> DataFrame:
     """node, hashes of the nodes in a bitmap (by the first half of their digest), one row for each."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
@@ -265,8 +280,9 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, size:
     counted = stored(members(docs, size), "members")
     each = counted.where("key IS NOT NULL")
     frequent = frequent_shingles(counted)
-    halves = prefixes(docs, size, percent, frequent).groupBy("shingle").agg(F.min("half").alias("x"), F.max("half").alias("y"))
-    shared = stored(halves.where("x <> y").select("shingle"), "shared")
+    # twice: what the first prefixes find shared moves to the end of the order, so the second ones meet far less often
+    frequent = (*frequent[:3], membership(shared_shingles(docs, size, percent, frequent), "shingle"))
+    shared = stored(shared_shingles(docs, size, percent, frequent), "shared")
     active = prefixes(docs, size, percent, frequent, membership(shared, "shingle")).dropDuplicates(["shingle", "node"])
     active = stored(active.join(shared, "shingle", "left_semi"), "active")
     halves = active.select("node", "half").distinct()
