@@ -1,9 +1,9 @@
 """Column and frame helpers shared by all operators."""
 
 from opsight.functions.latest import latest_by
-from opsight.functions.lookup import bounded_broadcast, lookup
+from opsight.functions.lookup import lookup, with_zeros
 from opsight.functions.payload import payload_fields
-from opsight.functions.timebox import bucketed, instant, newest_days, recent, span, start_of_day
+from opsight.functions.timebox import bucketed, instant, recent, span, start_of_day, until, utc_day
 from opsight.functions.values import (
     as_double,
     as_int,
@@ -20,14 +20,12 @@ __all__ = [
     "as_double",
     "as_int",
     "as_long",
-    "bounded_broadcast",
     "bucketed",
     "has_prefix",
     "instant",
     "is_open",
     "latest_by",
     "lookup",
-    "newest_days",
     "not_blank",
     "or_default",
     "payload_fields",
@@ -36,4 +34,7 @@ __all__ = [
     "span",
     "start_of_day",
     "text",
+    "until",
+    "utc_day",
+    "with_zeros",
 ]

@@ -17,11 +17,7 @@ def lookup(left: DataFrame, right: DataFrame, *on: str, how: str = "left") -> Da
     return left.join(right.withColumn(on[0], F.concat(F.col(on[0]), F.lit(""))), list(on), how)
 
 
-def bounded_broadcast(df: DataFrame, bounded_by: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast of `df`, which has at most one row per row of `bounded_by`, if that table is small enough.
-
-    The check stops after `max_rows + 1` rows of the reference table. Beyond it Spark chooses the join itself.
-    """
-    if bounded_by.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+def with_zeros(counts: DataFrame, name: str, names: list[str], total: str) -> DataFrame:
+    """One row for each of a fixed list of names, zero where there is no count."""
+    every = counts.sparkSession.range(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias(name))
+    return every.join(counts, name, "left").select(name, F.coalesce(total, F.lit(0).cast("long")).alias(total))

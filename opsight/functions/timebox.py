@@ -59,19 +59,23 @@ def recent(
     return df.where(kept)
 
 
-def newest_days(df: DataFrame, rows: int, as_of: str | dt.datetime | None) -> DataFrame:
-    """The latest days of a table stored by day that are sure to hold its newest `rows` rows, or all of it.
-
-    A report of the newest few rows then reads a day or a week instead of the whole history. Each step only checks
-    whether that many rows exist, and if no step has enough the table is returned as it is.
-    """
-    if as_of is None or "event_date" not in df.columns:
+def until(df: DataFrame, as_of: str | dt.datetime | None, lookback: str | dt.timedelta | None = None) -> DataFrame:
+    """Rows up to `as_of`, from `lookback` before it if given; without `as_of` all rows."""
+    if as_of is None:
         return df
-    for days in (1, 7, 30):
-        latest = df.where(F.col("event_date") >= F.lit((moment(as_of) - dt.timedelta(days=days)).date()))
-        if latest.limit(rows).count() >= rows:
-            return latest
-    return df
+    if lookback is not None:
+        return recent(df, as_of, lookback)
+    kept = F.col("event_time") <= instant(df, as_of)
+    if "event_date" in df.columns:
+        kept = kept & (F.col("event_date") <= F.lit(moment(as_of).date()))
+    return df.where(kept)
+
+
+def utc_day(df: DataFrame, column: str = "event_time") -> Column:
+    """The UTC day of a time, whatever the zone of the session."""
+    if df.schema[column].dataType.typeName() == "timestamp_ntz":
+        return F.to_date(column)
+    return F.date_add(F.lit(dt.date(1970, 1, 1)), F.floor(F.unix_micros(column) / 86_400_000_000).cast("int"))
 
 
 def bucketed(

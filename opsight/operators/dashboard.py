@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsight.functions import bucketed, is_open, latest_by, newest_days, not_blank, ratio, recent, start_of_day
+from opsight.functions import bucketed, is_open, latest_by, not_blank, ratio, recent, start_of_day, until
 from opsight.operators.operational import decision_trace, low_stock, newest_first
 from opsight.schemas import ORDER_CREATED, ORDER_DELAYED, ORDER_PAID
 
@@ -75,13 +75,15 @@ def throughput(raw: DataFrame, width: str = "1m") -> DataFrame:
     return counts.orderBy("event_time", "event_name")
 
 
-def delayed_orders(orders: DataFrame, as_of: When, lookback: str = "10m", top: int = 50) -> DataFrame:
-    """The newest delay events with the live load of their station.
+def delayed_orders(
+    orders: DataFrame, as_of: When, lookback: str = "10m", top: int = 50, delay_lookback: str | None = None
+) -> DataFrame:
+    """The newest delay events up to `as_of` (at most `delay_lookback` old, if given) with the live load of their station.
 
     The load has one row per station, so cutting to `top` before the join gives the same rows and leaves the join a
     handful of rows instead of all delay events.
     """
-    delays = newest_days(orders.where(F.col("event_name") == ORDER_DELAYED), top, as_of)
+    delays = until(orders.where(F.col("event_name") == ORDER_DELAYED), as_of, delay_lookback)
     newest = (
         newest_first(delays, "event_time", "event_id")
         .select("event_time", "event_id", "order_id", "channel", "station_id", "delay_minutes", "severity")
@@ -167,7 +169,8 @@ def critical_inventory_last(inventory: DataFrame) -> DataFrame:
 
 
 def newest_decisions(
-    agent: DataFrame, approval: DataFrame, action: DataFrame, as_of: When | None = None, top: int = 100
+    agent: DataFrame, approval: DataFrame, action: DataFrame, as_of: When | None = None, top: int = 100,
+    lookback: str | None = None,
 ) -> DataFrame:
-    """The newest entries of the decision trace; with `as_of`, stored tables are read from that day backwards."""
-    return decision_trace(*(newest_days(df, top, as_of) for df in (agent, approval, action)), top=top)
+    """The newest entries of the decision trace up to `as_of`, at most `lookback` old if that is given."""
+    return decision_trace(*(until(df, as_of, lookback) for df in (agent, approval, action)), top=top)

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsight.functions import has_prefix, instant, latest_by, lookup, recent
+from opsight.functions import has_prefix, instant, latest_by, lookup, recent, with_zeros
 from opsight.operators.questions import decision_chains
 from opsight.schemas import ACTION_PREFIX, ORDER_CREATED, ORDER_DELAYED, ORDER_PAID
 
@@ -115,7 +115,12 @@ def shift_summary(raw: DataFrame, as_of: When, shift: str = "8h") -> DataFrame:
         .select(F.lit("delays_mitigated").alias("metric"))
     )
     acted = events.where(has_prefix("event_name", ACTION_PREFIX)).select(F.lit("actions_executed").alias("metric"))
-    return completed.unionByName(rescued).unionByName(acted).groupBy("metric").agg(F.count("*").alias("total"))
+    return with_zeros(
+        completed.unionByName(rescued).unionByName(acted).groupBy("metric").agg(F.count("*").alias("total")),
+        "metric",
+        ["completed_on_time", "completed_with_delay", "delays_mitigated", "actions_executed"],
+        "total",
+    )
 
 
 def chain_latency(

@@ -9,7 +9,7 @@ from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsight.functions import as_double, as_int, as_long, has_prefix, payload_fields, text
+from opsight.functions import as_double, as_int, as_long, has_prefix, payload_fields, text, with_zeros
 from opsight.schemas import (
     ACTION,
     ACTION_PREFIX,
@@ -141,11 +141,12 @@ ROUTES: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 
 def route_counts(raw: DataFrame) -> DataFrame:
-    """Rows per target table; `unrouted` are the events that stay in raw only."""
+    """Rows per target table; `unrouted` are the events that stay in raw only. Always one row for each."""
     target = F.lit("unrouted")
     for name in reversed(ROUTES):
         target = F.when(_BELONGS[name](), F.lit(name)).otherwise(target)
-    return raw.groupBy(target.alias("target")).agg(F.count("*").alias("rows"))
+    counts = raw.groupBy(target.alias("target")).agg(F.count("*").alias("rows"))
+    return with_zeros(counts, "target", [*ROUTES, "unrouted"], "rows")
 
 
 def fan_out(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from opsight.functions import as_double, bucketed, payload_fields, span
+from opsight.functions import as_double, bucketed, payload_fields, span, text
 from opsight.operators.operational import MIN_DELAY, MIN_QUEUE, delayed_with_queue, low_stock
 from opsight.plans.rulebook import ALERT_TEXTS, DEFAULT_RULES
 from opsight.schemas import ORDER_DELAYED, RAW_COLUMNS
@@ -99,6 +99,9 @@ def channel_saturation_sliding(
     )
 
 
+# columns of the tables that hold numbers
+NUMBER_FIELDS = ("delay_minutes", "stock_pct", "threshold_pct", "capacity", "priority", "confidence")
+
 _COMPARE: dict[str, Callable[[Column, Column], Column]] = {
     ">=": operator.ge,
     "<=": operator.le,
@@ -113,15 +116,28 @@ def _operand(name: str, numeric: bool) -> Column:
     if not name.startswith("payload."):
         return F.col(name)
     (value,) = payload_fields(name.removeprefix("payload."))
-    return as_double(value) if numeric else value
+    return as_double(value) if numeric else text(value)
+
+
+def _literal(value: bool | float | str) -> Column:
+    """JSON writes truth values in lower case, and they arrive as text."""
+    return F.lit(str(value).lower() if isinstance(value, bool) else value)
 
 
 def rule_predicate(rule: dict) -> Column:
-    """All conditions of a rule as one predicate."""
+    """All conditions of a rule as one predicate. Text and truth values that are missing count as blank."""
+    if "minimumOccurrences" in rule["condition"] and "window" not in rule["condition"]:
+        raise ValueError(f"rule {rule['name']}: minimumOccurrences needs a window")
     combined = F.lit(True)
     for test in rule["condition"]["all"]:
-        numeric = "fieldRef" in test or isinstance(test["value"], (int, float))
-        right = _operand(test["fieldRef"], numeric) if "fieldRef" in test else F.lit(test["value"])
+        if test["operator"] not in _COMPARE:
+            raise ValueError(f"rule {rule['name']}: unknown operator {test['operator']}")
+        fields = [test[k] for k in ("field", "fieldRef") if k in test]
+        value = test.get("value")
+        ordered = test["operator"] not in ("==", "!=")
+        number = isinstance(value, (int, float)) and not isinstance(value, bool)
+        numeric = number or ("fieldRef" in test and (ordered or any(f in NUMBER_FIELDS for f in fields)))
+        right = _operand(test["fieldRef"], numeric) if "fieldRef" in test else _literal(value)
         combined = combined & _COMPARE[test["operator"]](_operand(test["field"], numeric), right)
     return combined
 
@@ -130,11 +146,17 @@ def _rule_source(tables, rule: dict) -> DataFrame:
     """Rows a rule looks at. Tables that hold one kind of event have no event_name to test."""
     source = tables.by_name(rule["source"]["table"])
     name = rule["source"].get("eventName")
-    return source.where(F.col("event_name") == name) if name and "event_name" in source.columns else source
+    if not name:
+        return source
+    if "event_name" in source.columns:
+        return source.where(F.col("event_name") == name)
+    if "action_type" in source.columns:
+        return source.where(F.col("action_type") == name)
+    return source
 
 
 def rule_hits(tables, rules: list[dict] = DEFAULT_RULES) -> DataFrame:
-    """All rules over their tables: rule, key, event_time, occurrences, action.
+    """All rules over their tables: rule, key, event_time, occurrences, action, the key's column and the event.
 
     Rules without a window give one hit per matching event; windowed rules one per key and bucket that reaches the
     minimum.
@@ -144,8 +166,10 @@ def rule_hits(tables, rules: list[dict] = DEFAULT_RULES) -> DataFrame:
         matching = _rule_source(tables, rule).where(rule_predicate(rule))
         key, condition = rule["keyField"], rule["condition"]
         if "window" in condition:
-            found = bucketed(matching, condition["window"], [key], F.count("*").alias("occurrences")).where(
-                F.col("occurrences") >= condition.get("minimumOccurrences", 1)
+            found = (
+                bucketed(matching, condition["window"], [key], F.count("*").alias("occurrences"))
+                .where(F.col("occurrences") >= condition.get("minimumOccurrences", 1))
+                .withColumn("event_id", F.lit(""))
             )
         else:
             found = matching.withColumn("occurrences", F.lit(1).cast("bigint"))
@@ -156,6 +180,7 @@ def rule_hits(tables, rules: list[dict] = DEFAULT_RULES) -> DataFrame:
             "occurrences",
             F.lit(rule["action"]["eventName"]).alias("action"),
             F.lit(key).alias("key_field"),
+            F.col("event_id").alias("source_event"),
         )
 
     found = [hits(r) for r in rules]
@@ -166,9 +191,10 @@ def rule_hits(tables, rules: list[dict] = DEFAULT_RULES) -> DataFrame:
 
 
 def hit_id(prefix: str) -> Column:
-    """Identifier that depends on rule, key and time only, so evaluating a rule again gives the same one."""
-    stamp = F.date_format(F.col("event_time").cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", "rule", "key", stamp), 256), 1, 32))
+    """Identifier that depends on rule, key, instant and event only, so evaluating a rule again gives the same one."""
+    stamp = F.unix_micros(F.col("event_time").cast("timestamp")).cast("string")
+    cause = F.concat_ws("|", "rule", text("key"), stamp, text("source_event"))
+    return F.concat(F.lit(prefix), F.substring(F.sha2(cause, 256), 1, 32))
 
 
 def action_events_from_hits(hits: DataFrame) -> DataFrame:
@@ -184,6 +210,7 @@ def action_events_from_hits(hits: DataFrame) -> DataFrame:
             F.lit("triggered").alias("action_status"),
             F.col("action").alias("action_type"),
             F.col("rule").alias("rule"),
+            F.when(F.col("key_field") == "recommendation_id", F.col("key")).alias("recommendation_id"),
         )
     )
     return hits.select(
@@ -193,7 +220,7 @@ def action_events_from_hits(hits: DataFrame) -> DataFrame:
         F.lit("action").alias("entity_type"),
         action_id.alias("entity_id"),
         about("order_id"),
-        F.lit("").alias("station_id"),
+        about("station_id"),
         about("ingredient_id"),
         about("channel"),
         F.lit("warning").alias("severity"),

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from opsight.functions import (
     as_double,
     as_long,
-    bounded_broadcast,
     lookup,
     payload_fields,
     recent,
     span,
     text,
+    until,
 )
 from opsight.operators.dashboard import station_load
 from opsight.operators.operational import MIN_DELAY, MIN_QUEUE, negative_signals
@@ -107,10 +107,14 @@ def station_bottlenecks(
     stock_lookback: str = "60m",
     min_delay: float = MIN_DELAY,
     min_queue: int = MIN_QUEUE,
+    delay_lookback: str | None = None,
 ) -> DataFrame:
-    """Stations over capacity or with a high reported queue that already have delays; low stock raises the priority."""
+    """Stations over capacity or with a high reported queue that already have delays; low stock raises the priority.
+
+    Delays count over the whole history up to `as_of` unless `delay_lookback` bounds them.
+    """
     delays = (
-        _late(recent(orders, as_of, load_lookback), min_delay)
+        _late(until(orders, as_of, delay_lookback), min_delay)
         .groupBy("station_id")
         .agg(F.count("*").alias("delayed_orders"))
     )
@@ -147,11 +151,11 @@ def signal_correlation(
     stock_lookback: str = "60m",
     channel_width: str = "5m",
     min_delay: float = MIN_DELAY,
-    signal_lookback: str = "24h",
+    signal_lookback: str | None = None,
 ) -> DataFrame:
     """Per delay event in the window: five signals and how many of them hold.
 
-    Customer signals are looked for over `signal_lookback`, so the question reads recent days only.
+    Customer signals count over the whole history up to `as_of`; `signal_lookback` bounds it where that is wanted.
     """
     delayed = (
         recent(orders, as_of, lookback)
@@ -169,11 +173,11 @@ def signal_correlation(
         .withColumn("station_saturated", F.lit(True))
     )
     placed = delayed.withColumn("bucket", _bucket_start(channel_width)).join(
-        bounded_broadcast(saturated, stations), "station_id", "left"
+        saturated, "station_id", "left"
     )
     flags = ("is_delayed", "station_saturated", "low_stock", "channel_accumulating", "negative_sentiment")
     return (
-        _with_sentiment(lookup(placed, crowded, "channel", "bucket"), recent(orders, as_of, signal_lookback))
+        _with_sentiment(lookup(placed, crowded, "channel", "bucket"), until(orders, as_of, signal_lookback))
         .withColumns(
             {
                 "is_delayed": F.coalesce(F.col("delay_minutes") >= min_delay, F.lit(False)),
@@ -207,17 +211,18 @@ def delay_over_capacity(
     as_of: When,
     lookback: str = "10m",
     min_delay: float = MIN_DELAY,
+    delay_lookback: str | None = None,
 ) -> DataFrame:
-    """Late orders in the window whose station has more active orders than it can handle."""
+    """Late orders up to `as_of` (at most `delay_lookback` old, if given) whose station has more active orders than it can handle."""
     overloaded = (
         stations.join(station_load(orders, as_of, lookback), "station_id")
         .where(F.col("active_orders") > F.col("max_capacity"))
         .select("station_id", "display_name", "active_orders", "max_capacity")
     )
-    late = _late(recent(orders, as_of, lookback), min_delay).select(
+    late = _late(until(orders, as_of, delay_lookback), min_delay).select(
         "event_time", "event_id", "order_id", "channel", "station_id", "delay_minutes"
     )
-    return late.join(bounded_broadcast(overloaded, stations), "station_id").select(
+    return late.join(overloaded, "station_id").select(
         "event_time",
         "event_id",
         "order_id",

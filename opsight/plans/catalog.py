@@ -203,7 +203,7 @@ TABLE_QUERIES: dict[str, Callable[[OpsTables], DataFrame]] = {
     "A2_critical_inventory": lambda t: rules.inventory_alerts(t.inventory),
     "A3_channel_saturation": lambda t: rules.channel_saturation(t.orders, BURST),
     "A3_channel_saturation_sliding": lambda t: rules.channel_saturation_sliding(t.orders, BURST),
-    "A4_rules_from_config": lambda t: _hits(t).drop("key_field"),
+    "A4_rules_from_config": lambda t: _hits(t).drop("key_field", "source_event"),
     "A5_alert_actions": lambda t: rules.action_events_from_hits(_hits(t)),
     "A6_alert_messages": lambda t: rules.alert_messages(_hits(t)),
     "Q1_sla_risk": lambda t: questions.sla_risk(t.orders, t.stations, AS_OF, LOAD),
@@ -221,7 +221,7 @@ TABLE_QUERIES: dict[str, Callable[[OpsTables], DataFrame]] = {
         t.orders, t.kitchen, t.inventory, t.stations, AS_OF, LOAD, STATE, STOCK
     ),
     "C3_signal_correlation": lambda t: signals.signal_correlation(
-        t.orders, t.kitchen, t.inventory, t.stations, AS_OF, LOAD, STATE, STOCK, BURST, signal_lookback=DAY
+        t.orders, t.kitchen, t.inventory, t.stations, AS_OF, LOAD, STATE, STOCK, BURST
     ),
     "C4_delay_over_capacity": lambda t: signals.delay_over_capacity(t.orders, t.stations, AS_OF, LOAD),
     "C5_compensation": lambda t: signals.compensation_candidates(t.orders),

@@ -197,12 +197,12 @@ _CHAINS = f"""reco AS (
 
 _HITS = f"""{_DELAYED_QUEUE}, hits AS (
   SELECT 'DelayedOrderHighQueue' AS rule, order_id AS key, event_time, CAST(1 AS BIGINT) AS occurrences,
-    'action.kitchen.reprioritized' AS action, 'order_id' AS key_field FROM delayed_queue
+    'action.kitchen.reprioritized' AS action, 'order_id' AS key_field, event_id AS source_event FROM delayed_queue
   UNION ALL
   SELECT 'CriticalInventory', ingredient_id, event_time, CAST(1 AS BIGINT), 'action.restock.triggered',
-    'ingredient_id' FROM inventory_events WHERE {_LOW}
+    'ingredient_id', event_id FROM inventory_events WHERE {_LOW}
   UNION ALL
-  SELECT 'DeliveryChannelSaturation', channel, {_bucket('6 hours')}, count(*), 'action.channel.throttled', 'channel'
+  SELECT 'DeliveryChannelSaturation', channel, {_bucket('6 hours')}, count(*), 'action.channel.throttled', 'channel', ''
   FROM order_events WHERE event_name = 'order.prep.delayed' AND channel = 'delivery' AND delay_minutes >= 5
   GROUP BY ALL HAVING count(*) >= 3)"""
 
@@ -305,7 +305,7 @@ def oracle_queries() -> dict[str, str]:
       GROUP BY ALL HAVING count(*) >= 3"""
     d5 = f"SELECT {_bucket('1 minute')} AS event_time, event_name, count(*) AS \"Events\" FROM raw GROUP BY ALL"
     raw = _q(f"SELECT {_RAW_COLUMNS} FROM raw")
-    hit_key = "rule || '|' || key || '|' || strftime(event_time, '%Y-%m-%d %H:%M:%S.%f')"
+    hit_key = "rule || '|' || coalesce(key, '') || '|' || epoch_us(event_time) || '|' || coalesce(source_event, '')"
     day_flags = f"""day AS (
       SELECT order_id, bool_or(event_name = 'order.created') AS created,
         bool_or(event_name = 'order.prep.delayed') AS delayed, bool_or(event_name = 'payment.completed') AS paid
@@ -349,8 +349,14 @@ def oracle_queries() -> dict[str, str]:
         "R5_route_approval": _q("SELECT * FROM approval_events"),
         "R6_route_action": _q("SELECT * FROM action_events"),
         "R7_route_counts": _q(
-            f"""SELECT table_name AS target, count(*) AS "rows" FROM ({_in_all_tables(with_raw=False)})
-                GROUP BY table_name"""
+            f"""SELECT target, count(table_name) AS "rows"
+                FROM (VALUES ('order_events'), ('kitchen_events'), ('inventory_events'), ('agent_events'),
+                  ('approval_events'), ('action_events'), ('unrouted')) v(target)
+                LEFT JOIN (SELECT table_name FROM ({_in_all_tables(with_raw=False)})
+                  UNION ALL
+                  SELECT 'unrouted' FROM raw WHERE event_id NOT IN (
+                    SELECT event_id FROM ({_in_all_tables(with_raw=False)}))) ON table_name = target
+                GROUP BY target"""
         ),
         "R8_fan_out": _q(_in_all_tables(with_raw=False)),
         # operational
@@ -399,10 +405,10 @@ def oracle_queries() -> dict[str, str]:
         ),
         "D5_throughput": _q(d5),
         "D6_delayed_orders": _q(
-            """SELECT event_time, order_id, channel, o.station_id, delay_minutes,
+            f"""SELECT event_time, order_id, channel, o.station_id, delay_minutes,
                  coalesce(active_orders, 0) AS active_orders, severity
                FROM order_events o LEFT JOIN load ON load.station_id = o.station_id
-               WHERE event_name = 'order.prep.delayed' ORDER BY event_time DESC, event_id DESC LIMIT 50""",
+               WHERE event_name = 'order.prep.delayed' AND event_time <= {_AS_OF} ORDER BY event_time DESC, event_id DESC LIMIT 50""",
             _LOAD,
         ),
         "D7_station_status": _q(
@@ -438,8 +444,8 @@ def oracle_queries() -> dict[str, str]:
             )
         ),
         "D10_trace_top100": _q(
-            """SELECT * EXCLUDE (event_id) FROM (
-                 SELECT * FROM trace ORDER BY event_time DESC, event_id DESC LIMIT 100)""",
+            f"""SELECT * EXCLUDE (event_id) FROM (
+                 SELECT * FROM trace WHERE event_time <= {_AS_OF} ORDER BY event_time DESC, event_id DESC LIMIT 100)""",
             _TRACE,
         ),
         # alert rules
@@ -459,11 +465,12 @@ def oracle_queries() -> dict[str, str]:
                FROM order_events WHERE event_name = 'order.prep.delayed' AND channel = 'delivery' AND delay_minutes >= 5
                GROUP BY ALL)""",
         ),
-        "A4_rules_from_config": _q("SELECT * EXCLUDE (key_field) FROM hits", _HITS),
+        "A4_rules_from_config": _q("SELECT * EXCLUDE (key_field, source_event) FROM hits", _HITS),
         "A5_alert_actions": _q(
             f"""SELECT event_time, 'evt-' || digest AS event_id, action AS event_name, 'action' AS entity_type,
                   'act-' || digest AS entity_id,
-                  CASE WHEN key_field = 'order_id' THEN key ELSE '' END AS order_id, '' AS station_id,
+                  CASE WHEN key_field = 'order_id' THEN key ELSE '' END AS order_id,
+                  CASE WHEN key_field = 'station_id' THEN key ELSE '' END AS station_id,
                   CASE WHEN key_field = 'ingredient_id' THEN key ELSE '' END AS ingredient_id,
                   CASE WHEN key_field = 'channel' THEN key ELSE '' END AS channel, 'warning' AS severity,
                   '{{"action_id":"act-' || digest || '","action_status":"triggered","action_type":"' || action
@@ -552,7 +559,7 @@ def oracle_queries() -> dict[str, str]:
             _CRITICAL_NOW,
             f"""late AS (
                SELECT station_id, count(*) AS delayed_orders FROM order_events
-               WHERE event_name = 'order.prep.delayed' AND delay_minutes >= 5 AND {_within('6 hours')}
+               WHERE event_name = 'order.prep.delayed' AND delay_minutes >= 5 AND event_time <= {_AS_OF}
                GROUP BY station_id)""",
         ),
         "C3_signal_correlation": _q(
@@ -564,7 +571,7 @@ def oracle_queries() -> dict[str, str]:
                         (SELECT count(*) > 0 FROM critical_now) AS low_stock,
                         EXISTS (SELECT 1 FROM crowd c WHERE c.bucket = {_bucket('6 hours', 'o.event_time')}
                                 AND c.channel = o.channel AND c.c >= 3) AS channel_accumulating,
-                        order_id IN (SELECT order_id FROM negative WHERE {_within('7 days')}) AS negative_sentiment
+                        order_id IN (SELECT order_id FROM negative WHERE event_time <= {_AS_OF}) AS negative_sentiment
                       FROM order_events o WHERE event_name = 'order.prep.delayed' AND {_within('6 hours')})""",
             _SATURATED,
             _CRITICAL_NOW,
@@ -576,7 +583,7 @@ def oracle_queries() -> dict[str, str]:
                   active_orders, max_capacity
                 FROM order_events o JOIN load ON load.station_id = o.station_id
                 JOIN stations s ON s.station_id = o.station_id
-                WHERE event_name = 'order.prep.delayed' AND delay_minutes >= 5 AND {_within('6 hours')}
+                WHERE event_name = 'order.prep.delayed' AND delay_minutes >= 5 AND event_time <= {_AS_OF}
                   AND active_orders > max_capacity""",
             _LOAD,
         ),
@@ -667,7 +674,9 @@ def oracle_queries() -> dict[str, str]:
                 SELECT 'event_name', event_name, count(*) FROM raw GROUP BY ALL"""
         ),
         "L4_shift_summary": _q(
-            f"""SELECT CASE WHEN first_delay IS NULL THEN 'completed_on_time' ELSE 'completed_with_delay' END AS metric,
+            f"""SELECT metric, coalesce(max(total), 0)::BIGINT AS total FROM (VALUES ('completed_on_time'),
+                  ('completed_with_delay'), ('delays_mitigated'), ('actions_executed')) v(metric) LEFT JOIN (
+                SELECT CASE WHEN first_delay IS NULL THEN 'completed_on_time' ELSE 'completed_with_delay' END AS metric,
                   count(*) AS total FROM per_order GROUP BY ALL
                 UNION ALL
                 SELECT 'delays_mitigated', count(DISTINCT order_id) FROM per_order p
@@ -676,7 +685,7 @@ def oracle_queries() -> dict[str, str]:
                   AND r.event_time > p.first_delay AND r.event_time < p.last_paid) HAVING count(*) > 0
                 UNION ALL
                 SELECT 'actions_executed', count(*) FROM raw
-                WHERE {shift} AND starts_with(lower(event_name), 'action.') HAVING count(*) > 0""",
+                WHERE {shift} AND starts_with(lower(event_name), 'action.')) USING (metric) GROUP BY metric""",
             f"""per_order AS (
                SELECT order_id, min(event_time) FILTER (event_name = 'order.prep.delayed') AS first_delay,
                  max(event_time) FILTER (event_name = 'payment.completed') AS last_paid

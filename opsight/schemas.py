@@ -84,4 +84,6 @@ CLOSED_STATES = ("completed", "cancelled")
 
 OPERATIONAL_TABLES = (ORDERS, KITCHEN, INVENTORY, AGENT, APPROVAL, ACTION)
 EVENT_TABLES = (RAW, *OPERATIONAL_TABLES)
+ORDER_STATES = "order_states"  # change log of the newest event per order; not an event table
+TABLE_SCHEMAS[ORDER_STATES] = TABLE_SCHEMAS[ORDERS]
 RAW_COLUMNS = TABLE_SCHEMAS[RAW].fieldNames()

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opsight.functions import as_int, as_long, span
+from opsight.functions import as_int, as_long, span, utc_day
 from opsight.functions.timebox import moment
 from opsight.schemas import EVENT_TABLES, STATIONS, TABLE_SCHEMAS
 
@@ -47,17 +47,33 @@ def write_table(df: DataFrame, root: str, name: str, batch_id: str | int, *, reb
     Rebalancing by day lets adaptive execution cut big days into several files and merge small ones, instead of every
     task writing one file per day. Rows are sorted by time inside a file, which keeps row-group statistics narrow.
     """
-    rows = conform(df, TABLE_SCHEMAS[name]).withColumn("event_date", F.to_date("event_time"))
+    old = _batch_files(df.sparkSession, root, name, batch_id)
+    rows = conform(df, TABLE_SCHEMAS[name])
+    rows = rows.withColumns({"event_date": utc_day(rows), "batch_id": F.lit(str(batch_id))})
     if rebalance:
         rows = rows.hint("rebalance", "event_date")
     (
-        rows.withColumn("batch_id", F.lit(str(batch_id)))
-        .sortWithinPartitions("event_date", "batch_id", "event_time")
+        rows.sortWithinPartitions("event_date", "batch_id", "event_time")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("event_date", "batch_id")
         .parquet(f"{root}/{name}")
     )
+    # days that an earlier run of this load had and this one has not: their old files are still there
+    now = _batch_files(df.sparkSession, root, name, batch_id)
+    for folder, files in old.items():
+        if files & now.get(folder, set()):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _batch_files(spark: SparkSession, root: str, name: str, batch_id: str | int) -> dict[str, set[str]]:
+    """Data files of one load by day folder; only folders of this load are listed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/event_date=*/batch_id={batch_id}/*.parquet")
+    found: dict[str, set[str]] = {}
+    for entry in path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []:
+        found.setdefault(entry.getPath().getParent().toString(), set()).add(entry.getPath().getName())
+    return found
 
 
 def read_table(spark: SparkSession, root: str, name: str, batch_id: str | int | None = None) -> DataFrame:
@@ -87,7 +103,7 @@ def clear_tables(spark: SparkSession, root: str, dry_run: bool = False) -> list[
 def retain(df: DataFrame, as_of: str | dt.datetime, days: int = 30) -> DataFrame:
     """Rows of the last `days` whole days before `as_of` and later; a filter on days alone."""
     oldest = (moment(as_of) - span(f"{days}d")).date()
-    day = F.col("event_date") if "event_date" in df.columns else F.to_date("event_time")
+    day = F.col("event_date") if "event_date" in df.columns else utc_day(df)
     return df.where(day >= F.lit(oldest))
 
 

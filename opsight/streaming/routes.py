@@ -7,30 +7,34 @@ from pyspark.sql.streaming import StreamingQuery
 
 from opsight.functions import latest_by
 from opsight.operators.routing import fan_out
-from opsight.schemas import ORDERS
+from opsight.schemas import ORDER_STATES
 from opsight.sources.tables import read_table, write_table
-from opsight.streaming.runner import each_batch
+from opsight.streaming.runner import each_batch, load_id
 
 
 def stream_route(raw: DataFrame, root: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Write each micro-batch into raw and the six tables; a repeated batch replaces its own folders."""
-    return each_batch(raw, lambda batch, batch_id: fan_out(batch, root, batch_id), checkpoint, every)
+    def route(batch: DataFrame, batch_id: int) -> None:
+        fan_out(batch, root, load_id(batch.sparkSession, checkpoint, batch_id))
+
+    return each_batch(raw, route, checkpoint, every)
 
 
 def stream_order_states(orders: DataFrame, root: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Keep a change log with the newest event per order and micro-batch.
 
     Each batch is reduced on its own, so the query holds no state that would grow with the number of orders;
-    `current_orders` merges the log on read. The log is stored by day, and `expire` bounds it like any other table.
+    `current_orders` merges the log on read. The log has a table of its own, so routed orders on the same root stay
+    as they are, and `expire` leaves it alone: an old order may still be open.
     """
-    return each_batch(
-        orders,
-        lambda batch, batch_id: write_table(latest_by(batch, "order_id"), root, ORDERS, batch_id),
-        checkpoint,
-        every,
-    )
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        load = load_id(batch.sparkSession, checkpoint, batch_id)
+        write_table(latest_by(batch, "order_id"), root, ORDER_STATES, load)
+
+    return each_batch(orders, keep, checkpoint, every)
 
 
 def current_orders(spark: SparkSession, root: str) -> DataFrame:
     """The newest event per order over the whole change log."""
-    return latest_by(read_table(spark, root, ORDERS), "order_id")
+    return latest_by(read_table(spark, root, ORDER_STATES), "order_id")

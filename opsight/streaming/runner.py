@@ -18,6 +18,12 @@ def append_to(df: DataFrame, path: str, checkpoint: str, every: str | None = Non
     return _triggered(writer.option("checkpointLocation", checkpoint), every).start()
 
 
+def load_id(spark: SparkSession, checkpoint: str, batch_id: int) -> str:
+    """Name of a micro-batch that no other stream or checkpoint uses: the id in the checkpoint, then the number."""
+    stream = spark.read.json(f"{checkpoint}/metadata").first()["id"]
+    return f"{stream}-{batch_id}"
+
+
 def each_batch(
     df: DataFrame, action: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None
 ) -> StreamingQuery:

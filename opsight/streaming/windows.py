@@ -108,14 +108,14 @@ def stream_delay_sentiment(raw: DataFrame, within: str = "1h", late: str = "10m"
 
 
 def stream_alerts_once(raw: DataFrame, late: str = "10m") -> DataFrame:
-    """Event-level alerts, each event reported once even if it is delivered again within the watermark."""
+    """Event-level alerts, each reported once even if it is delivered again within the watermark."""
 
     def hits(df: DataFrame, rule: str, key: str) -> DataFrame:
         return df.select("event_time", "event_id", F.lit(rule).alias("rule"), F.col(key).alias("key"))
 
     delayed = hits(delayed_with_queue(route_orders(_watched(raw, late))), "DelayedOrderHighQueue", "order_id")
     stock = hits(low_stock(route_inventory(_watched(raw, late))), "CriticalInventory", "ingredient_id")
-    return delayed.unionByName(stock).dropDuplicatesWithinWatermark(["event_id"])
+    return delayed.unionByName(stock).dropDuplicatesWithinWatermark(["rule", "key", "event_time", "event_id"])
 
 
 def stream_open_orders(raw: DataFrame, patience: str = "1h", late: str = "10m") -> DataFrame:

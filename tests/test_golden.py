@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 from conftest import NOON, event, rows
-from peak import peak_shift
+from shift import evening_shift
 
 from opsight.operators import dashboard, operational, quality, questions, routing, rules
 from opsight.plans.tables import OpsTables
@@ -13,78 +13,115 @@ AS_OF = NOON + dt.timedelta(minutes=1)
 
 
 @pytest.fixture
-def peak(spark, raw):
-    return OpsTables.from_raw(raw(*peak_shift()))
-
-
-def test_peak_routing(peak):
-    names = dict(rows(peak.raw.groupBy("event_name").count()))
-    assert names == {
-        "order.created": 12,
-        "kitchen.station.updated": 12,
-        "inventory.level.changed": 12,
-        "payment.completed": 12,
-        "order.prep.delayed": 4,
-        "customer.sentiment.signal": 4,
+def shift(spark, raw):
+    return OpsTables.from_raw(raw(*evening_shift()))
+
+
+def test_shift_routing(shift):
+    assert dict(rows(shift.raw.groupBy("event_name").count())) == {
+        "order.created": 6,
+        "kitchen.station.updated": 3,
+        "inventory.level.changed": 3,
+        "payment.completed": 5,
+        "order.prep.delayed": 5,
+        "customer.sentiment.signal": 2,
     }
-    assert dict(rows(routing.route_counts(peak.raw))) == {
-        "order_events": 32,
-        "kitchen_events": 12,
-        "inventory_events": 12,
+    assert dict(rows(routing.route_counts(shift.raw))) == {
+        "order_events": 18,
+        "kitchen_events": 3,
+        "inventory_events": 3,
+        "agent_events": 0,
+        "approval_events": 0,
+        "action_events": 0,
+        "unrouted": 0,
     }
 
 
-def test_peak_operational(peak):
-    late = operational.delayed_high_queue(peak.orders)
+def test_shift_operational(shift):
+    late = operational.delayed_high_queue(shift.orders)
     assert sorted(rows(late, "station_id", "delay_minutes", "queue_size")) == [
-        ("assembly", 8.0, 9),
-        ("fryer", 8.0, 9),
-        ("grill", 8.0, 9),
-        ("sauces", 8.0, 9),
+        ("assembly", 12.0, 7),
+        ("fryer", 6.0, 9),
+        ("fryer", 7.5, 8),
+    ]
+    assert rows(operational.critical_inventory(shift.inventory), "ingredient_id", "stock_pct") == [("fries", 5.0)]
+    load = {r.station_id: (r.max_queue, r.avg_queue, r.events) for r in
+            operational.station_saturation(shift.kitchen).collect()}
+    assert load == {"fryer": (9, 7.0, 2)}  # the grill never had a high queue
+    assert rows(operational.agent_review(shift.orders), "order_id", "sentiment") == [
+        ("A3", "negative"), ("A5", "negative"),
     ]
-    assert rows(operational.critical_inventory(peak.inventory), "ingredient_id", "stock_pct") == [("beef", 8.0)] * 2
-    load = {r.station_id: (r.max_queue, round(r.avg_queue, 3), r.events) for r in
-            operational.station_saturation(peak.kitchen).collect()}
-    assert load == {
-        "grill": (9, 5.0, 3),
-        "fryer": (9, 5.667, 3),
-        "sauces": (9, 6.333, 3),
-        "assembly": (9, 7.0, 3),
-    }
-    assert rows(operational.agent_review(peak.orders), "sentiment") == [("negative",)] * 4
 
 
-def test_peak_dashboard(peak):
+def test_shift_dashboard(shift):
     def total(df):
         return df.first()[0]
 
-    assert total(dashboard.orders_today(peak.orders, AS_OF)) == 12
-    assert total(dashboard.orders_today(peak.orders, AS_OF, approximate=True)) == 12
-    assert total(dashboard.active_orders(peak.orders, AS_OF)) == 0
-    assert total(dashboard.completed_today(peak.orders, AS_OF)) == 12
-    assert total(dashboard.completed_with_delay(peak.orders, AS_OF)) == 4
-    status = dashboard.station_status(peak.orders, peak.stations, AS_OF)
-    assert rows(status, "station_status", "active_orders", "severity") == [("idle", 0, "info")] * 4
-    pressure = dashboard.station_pressure(peak.orders, AS_OF)
-    assert rows(pressure, "Created", "Delayed", "Completed") == [(3, 1, 3)] * 4
-    assert rows(dashboard.critical_inventory_last(peak.inventory), "ingredient_id") == [("beef",)]
-
-
-def test_peak_questions(peak):
-    """A sentiment signal is the newest event of four orders and has no status: those count as open."""
-    assert questions.active_count(peak.orders, AS_OF).first().Count == 4
-    assert rows(questions.active_by_station(peak.orders, peak.stations, AS_OF)) == [("", None, None, 4)]
-    assert rows(questions.sla_risk(peak.orders, peak.stations, AS_OF), "risk_score") == [(1,)] * 4
-    assert rows(questions.completed_by_station(peak.orders, peak.stations, AS_OF), "completed") == [(3,)] * 4
-    assert rows(questions.critical_now(peak.inventory, AS_OF), "ingredient_id") == [("beef",)]
-
-
-def test_peak_rules_and_lifecycle(peak):
-    assert rows(rules.channel_saturation(peak.orders), "channel", "delayed_count", "max_delay") == [
-        ("delivery", 4, 8.0)
+    assert total(dashboard.orders_today(shift.orders, AS_OF)) == 6
+    assert total(dashboard.orders_today(shift.orders, AS_OF, approximate=True)) == 6
+    assert total(dashboard.active_orders(shift.orders, AS_OF)) == 1
+    assert total(dashboard.completed_today(shift.orders, AS_OF)) == 5
+    assert total(dashboard.completed_with_delay(shift.orders, AS_OF)) == 4
+    status = dashboard.station_status(shift.orders, shift.stations, AS_OF)
+    assert rows(status, "station_id", "station_status", "active_orders") == [
+        ("assembly", "idle", 0), ("fryer", "idle", 0), ("grill", "active", 1), ("sauces", "idle", 0),
+    ]
+    pressure = dashboard.station_pressure(shift.orders, AS_OF)
+    assert rows(pressure, "station_id", "Created", "Delayed", "Completed") == [
+        ("assembly", 1, 1, 1), ("fryer", 2, 2, 2), ("grill", 2, 1, 1), ("sauces", 1, 1, 1),
+    ]
+    assert rows(dashboard.critical_inventory_last(shift.inventory), "ingredient_id") == [("fries",)]
+
+
+def test_shift_questions(shift):
+    assert questions.active_count(shift.orders, AS_OF).first().Count == 1
+    assert rows(questions.active_by_station(shift.orders, shift.stations, AS_OF), "station_id", "queue_size") == [("grill", 1)]
+    assert rows(questions.completed_by_station(shift.orders, shift.stations, AS_OF), "station_id", "completed") == [
+        ("assembly", 1), ("fryer", 2), ("grill", 1), ("sauces", 1),
+    ]
+    assert rows(questions.critical_now(shift.inventory, AS_OF)) == []
+
+
+def test_open_order_has_no_status(raw):
+    """A sentiment signal has no status: an order whose newest event it is counts as open."""
+    t = OpsTables.from_raw(raw(*[e for e in evening_shift() if e[2] != "payment.completed"]))
+    assert questions.active_count(t.orders, AS_OF).first().Count == 6
+
+
+def test_shift_rules_and_lifecycle(shift):
+    assert rows(rules.channel_saturation(shift.orders), "channel", "delayed_count", "max_delay") == [
+        ("delivery", 3, 12.0)
     ]
-    assert rows(quality.lifecycle_violations(peak.orders)) == []
-    assert rows(quality.open_orders(peak.orders, AS_OF)) == []
+    assert rows(quality.lifecycle_violations(shift.orders)) == []
+    assert rows(quality.open_orders(shift.orders, AS_OF), "order_id") == [("A6",)]
+
+
+def _rule(table, key, tests, event_name=None, **condition):
+    return {
+        "name": "r", "source": {"table": table, "eventName": event_name}, "keyField": key,
+        "condition": {"all": tests, **condition}, "action": {"eventName": "action.x"},
+    }
+
+
+def test_rules_beyond_the_default_ones(raw):
+    premium = {"field": "payload.is_premium", "operator": "==", "value": True}
+    other = {"field": "payload.zone", "operator": "!=", "value": "north"}
+    t = OpsTables.from_raw(
+        raw(
+            event("order.created", 0, order="1", station="s1", payload={"is_premium": True, "zone": "north"}),
+            event("order.created", 0, order="2", station="s1", payload={"is_premium": False}),
+            event("order.created", 0, order="3", station="s1", payload={}),
+            event("action.a", 5, payload={"action_id": "x", "action_type": "action.a"}),
+            event("action.b", 5, payload={"action_id": "y", "action_type": "action.b"}),
+        )
+    )
+    assert rows(rules.rule_hits(t, [_rule("order_events", "order_id", [premium])]), "key") == [("1",)]
+    assert rows(rules.rule_hits(t, [_rule("order_events", "order_id", [other])]), "key") == [("2",), ("3",)]
+    assert rows(rules.rule_hits(t, [_rule("action_events", "action_id", [], "action.a")]), "key") == [("x",)]
+    made = rules.action_events_from_hits(rules.rule_hits(t, [_rule("order_events", "station_id", [])])).collect()
+    assert len({r.event_id for r in made}) == 3 and {r.station_id for r in made} == {"s1"}
+    with pytest.raises(ValueError):
+        rules.rule_hits(t, [_rule("order_events", "order_id", [], minimumOccurrences=2)])
 
 
 def test_stock_recovers(raw):
@@ -154,6 +191,7 @@ def test_kitchen_example(raw):
     latency = quality.chain_latency(t.agent, t.approval, t.action, as_of)
     assert rows(latency, "decision_seconds", "action_seconds", "total_seconds") == [(60.0, 60.0, 120.0)]
     assert dict(rows(quality.shift_summary(t.raw, as_of))) == {
+        "completed_on_time": 0,
         "completed_with_delay": 1,
         "delays_mitigated": 1,
         "actions_executed": 1,

@@ -6,7 +6,7 @@ import tempfile
 
 import pytest
 from conftest import NOON
-from peak import peak_shift
+from shift import evening_shift
 
 from opsight.functions import latest_by, lookup
 from opsight.operators import actions, dashboard, operational, questions, routing
@@ -69,7 +69,7 @@ def test_columns_are_pruned(spark):
 @pytest.fixture(scope="module")
 def stored(spark):
     root = tempfile.mkdtemp(prefix="run-plans-")
-    raw = spark.createDataFrame(peak_shift(), TABLE_SCHEMAS[RAW])
+    raw = spark.createDataFrame(evening_shift(), TABLE_SCHEMAS[RAW])
     routing.fan_out(raw, root, "load")
     stations.write_stations(spark, root)
     return OpsTables.stored(spark, root)

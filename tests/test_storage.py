@@ -6,9 +6,8 @@ import tempfile
 
 import pytest
 from conftest import NOON, event, rows
-from peak import peak_shift
+from shift import evening_shift
 
-from opsight.functions import bounded_broadcast, newest_days
 from opsight.operators import dashboard, questions, routing
 from opsight.plans.catalog import TABLE_QUERIES, raw_events
 from opsight.plans.tables import OpsTables
@@ -32,7 +31,7 @@ def test_json_lines_and_malformed(spark, folder):
 
 
 def test_json_round_trip(spark, raw, folder):
-    df = raw(*peak_shift())
+    df = raw(*evening_shift())
     events.write_json(df, f"{folder}/json")
     assert rows(events.read_raw(spark, f"{folder}/json")) == rows(df)
 
@@ -49,14 +48,14 @@ def test_conform(spark):
 
 
 def test_fan_out_is_repeatable_and_answers_match(spark, raw, folder):
-    shift = raw(*peak_shift())
+    shift = raw(*evening_shift())
     routing.fan_out(shift, folder, 0)
     routing.fan_out(raw(event("order.created", 30, order="o9", station="grill")), folder, 1)
     routing.fan_out(shift, folder, 0)
     stations.write_stations(spark, folder)
     stations.write_stations(spark, folder)
     counts = dict(rows(tables.stored_counts(spark, folder)))
-    assert counts["raw_restaurant_events"] == 57 and counts["order_events"] == 33 and counts["stations"] == 4
+    assert counts["raw_restaurant_events"] == 25 and counts["order_events"] == 19 and counts["stations"] == 4
     t = OpsTables.stored(spark, folder)
     as_of = NOON + dt.timedelta(minutes=1)
     assert dashboard.active_orders(t.orders, as_of).first().Total == 1
@@ -66,7 +65,7 @@ def test_fan_out_is_repeatable_and_answers_match(spark, raw, folder):
 
 
 def test_large_loads_are_routed_from_the_stored_batch(spark, raw, folder):
-    shift = raw(*peak_shift())
+    shift = raw(*evening_shift())
     routing.fan_out(raw(event("order.created", 30, order="o9", station="grill")), folder, "other")
     for _ in range(2):
         routing.fan_out(shift, folder, "big", from_storage=True)
@@ -74,7 +73,7 @@ def test_large_loads_are_routed_from_the_stored_batch(spark, raw, folder):
         if route(shift).count():
             stored = tables.read_table(spark, folder, name, "big").drop("event_date")
             assert rows(stored) == rows(route(shift)), name
-    assert tables.read_table(spark, folder, ORDERS).count() == 33
+    assert tables.read_table(spark, folder, ORDERS).count() == 19
 
 
 def test_retention_drops_days_only(spark, raw, folder):
@@ -91,16 +90,16 @@ def test_retention_drops_days_only(spark, raw, folder):
 
 
 def test_clear_keeps_stations(spark, raw, folder):
-    routing.fan_out(raw(*peak_shift()), folder, "load")
+    routing.fan_out(raw(*evening_shift()), folder, "load")
     stations.write_stations(spark, folder)
     named = tables.clear_tables(spark, folder, dry_run=True)
     assert [n.rsplit("/", 1)[1] for n in named] == list(EVENT_TABLES)
-    assert dict(rows(tables.stored_counts(spark, folder)))["raw_restaurant_events"] == 56
+    assert dict(rows(tables.stored_counts(spark, folder)))["raw_restaurant_events"] == 24
     tables.clear_tables(spark, folder)
     counts = dict(rows(tables.stored_counts(spark, folder)))
     assert counts.pop("stations") == 4 and set(counts.values()) == {0}
-    routing.fan_out(raw(*peak_shift()), folder, "again")
-    assert dict(rows(tables.stored_counts(spark, folder)))["raw_restaurant_events"] == 56
+    routing.fan_out(raw(*evening_shift()), folder, "again")
+    assert dict(rows(tables.stored_counts(spark, folder)))["raw_restaurant_events"] == 24
 
 
 @pytest.fixture(scope="module")
@@ -120,17 +119,31 @@ def test_stored_tables_answer_like_derived_ones(both, name):
     assert rows(derived) == rows(stored)
 
 
-def test_newest_rows_need_recent_days_only(both):
-    stored = both[1].orders.where("event_name = 'order.prep.delayed'")
-    one_day = newest_days(stored, 5, "2024-01-30 18:00:00")
-    assert one_day.agg({"event_date": "min"}).first()[0] >= dt.date(2024, 1, 29)
-    assert newest_days(stored, 10**6, "2024-01-30 18:00:00") is stored
-    assert newest_days(stored, 5, "2030-01-01") is stored
-
-
-def test_broadcast_only_within_the_bound(spark):
-    def hinted(max_rows):
-        df = bounded_broadcast(spark.range(3), stations.stations(spark), max_rows)
-        return "broadcast" in df._jdf.queryExecution().logical().toString().lower()
-
-    assert hinted(4) and not hinted(3)
+def test_reports_end_at_as_of(both):
+    for t in both:
+        newest = dashboard.delayed_orders(t.orders, "2024-01-02 12:00:00", "6h")
+        assert newest.count() and newest.agg({"event_time": "max"}).first()[0] <= dt.datetime(2024, 1, 2, 12)
+
+
+def test_days_do_not_depend_on_the_session_zone(spark, raw, folder):
+    late = raw(event("order.created", dt.datetime(2024, 1, 2, 2, 0), order="1"))
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        tables.write_table(late, folder, RAW, "load")
+        stored = tables.read_table(spark, folder, RAW)
+        assert str(stored.first().event_date) == "2024-01-02"
+        assert dashboard.orders_today(routing.route_orders(stored), "2024-01-02 18:00:00").first()[0] == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_a_corrected_load_leaves_no_old_days(spark, raw, folder):
+    first = event("order.created", dt.datetime(2024, 1, 2, 2, 0), order="1")
+    second = event("order.created", dt.datetime(2024, 1, 3, 2, 0), order="2")
+    other = event("order.created", dt.datetime(2024, 1, 2, 3, 0), order="3")
+    tables.write_table(raw(first, second), folder, RAW, "L")
+    tables.write_table(raw(other), folder, RAW, "M")
+    tables.write_table(raw(second), folder, RAW, "L")
+    assert rows(tables.read_table(spark, folder, RAW), "order_id") == [("2",), ("3",)]
+    tables.write_table(raw(second).limit(0), folder, RAW, "L")
+    assert rows(tables.read_table(spark, folder, RAW), "order_id") == [("3",)]

@@ -3,7 +3,7 @@
 import datetime as dt
 
 from conftest import NOON, event, rows
-from peak import peak_shift
+from shift import evening_shift
 
 from opsight.functions import latest_by
 from opsight.operators import dashboard, operational, routing, rules
@@ -37,7 +37,7 @@ def _closing():
 
 
 def test_routing_stream_equals_batch_and_resumes(spark, raw, folder):
-    shift = peak_shift()
+    shift = evening_shift()
     path = _feed(raw, folder, shift[:20], shift[20:40])
     root, checkpoint = f"{folder}/tables", f"{folder}/checkpoint"
     routes.stream_route(_stream(spark, path), root, checkpoint).awaitTermination()
@@ -51,15 +51,15 @@ def test_routing_stream_equals_batch_and_resumes(spark, raw, folder):
 
 def test_landing_from_a_source_of_lines(spark, raw, folder):
     """Sources such as message queues deliver the JSON text as `value`."""
-    shift = peak_shift()
+    shift = evening_shift()
     path = _feed(raw, folder, shift[:20], shift[20:])
     landed = runner.appended(spark, events.stream_raw(spark, path, source="text"), folder)
     assert rows(landed) == rows(raw(*shift))
 
 
 def test_windows_equal_batch(spark, raw, folder):
-    shift = peak_shift()
-    path = _feed(raw, folder, shift[:30], shift[30:], _closing())
+    shift = evening_shift()
+    path = _feed(raw, folder, shift[:12], shift[12:], _closing())
     noon = f"event_time < timestamp'{NOON + dt.timedelta(hours=1)}'"
     batch = OpsTables.from_raw(raw(*shift))
 
@@ -76,8 +76,8 @@ def test_windows_equal_batch(spark, raw, folder):
 
 
 def test_current_orders(spark, raw, folder):
-    shift = peak_shift()
-    path = _feed(raw, folder, shift[30:], shift[:30])
+    shift = evening_shift()
+    path = _feed(raw, folder, shift[12:], shift[:12])
     routes.stream_order_states(
         routing.route_orders(_stream(spark, path)), folder, f"{folder}/checkpoint"
     ).awaitTermination()
@@ -106,8 +106,8 @@ def test_delay_with_signal(spark, raw, folder):
 
 
 def test_alerts_once(spark, raw, folder):
-    shift = peak_shift()
-    path = _feed(raw, folder, shift, shift[:30], shift[30:])
+    shift = evening_shift()
+    path = _feed(raw, folder, shift, shift[:12], shift[12:])
     found = runner.appended(spark, windows.stream_alerts_once(_stream(spark, path)), folder)
     t = OpsTables.from_raw(raw(*shift))
     expected = rows(operational.delayed_with_queue(t.orders), "event_id")
