@@ -58,10 +58,10 @@ def test_fan_out_is_repeatable_and_answers_match(spark, raw, folder):
     assert counts["raw_restaurant_events"] == 25 and counts["order_events"] == 19 and counts["stations"] == 4
     t = OpsTables.stored(spark, folder)
     as_of = NOON + dt.timedelta(minutes=1)
-    assert dashboard.active_orders(t.orders, as_of).first().Total == 1
-    assert questions.active_count(t.orders, as_of).first().Count == 5
+    assert dashboard.active_orders(t.orders, as_of).first().Total == 2
+    assert questions.active_count(t.orders, as_of).first().Count == 2
     status = dashboard.station_status(t.orders, t.stations, as_of)
-    assert rows(status.where("active_orders > 0"), "station_id", "active_orders") == [("grill", 1)]
+    assert rows(status.where("active_orders > 0"), "station_id", "active_orders") == [("grill", 2)]
 
 
 def test_large_loads_are_routed_from_the_stored_batch(spark, raw, folder):
