@@ -137,6 +137,11 @@ def flat_words(column: pa.Array, blank: np.ndarray = WHITE) -> tuple[np.ndarray,
     begins[edges] = free[edges]
     starts = np.flatnonzero(begins)
     counts = np.diff(np.searchsorted(starts, offsets))
+    return word_hashes(data, free, starts), counts
+
+
+def word_hashes(data: np.ndarray, free: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hashes of the words that start at the given bytes; `free` marks the bytes of words."""
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
@@ -151,7 +156,7 @@ def flat_words(column: pa.Array, blank: np.ndarray = WHITE) -> tuple[np.ndarray,
         value[~free[low:high]] = 0
         out[at:upto] = np.add.reduceat(value, part)
         at = upto
-    return mixed(out), counts
+    return mixed(out)
 
 
 class WordHashes(dict):

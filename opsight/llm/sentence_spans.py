@@ -23,27 +23,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsight.llm.common import WordHashes, in_slices, is_member, membership, mixed, null_safe_join, stored, text_key
+from opsight.llm.common import WHITE, in_slices, is_member, membership, mixed, null_safe_join, separators, stored, text_key, word_hashes
 
 SENTENCES = 3
 MIN_WORDS = 16
 CUT_EVERY = 6
+ENDS = separators(b".!?")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def sentences(raw: bytes, words: WordHashes, cut_every: int = CUT_EVERY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sentences(raw: bytes, cut_every: int = CUT_EVERY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(byte offset, number of words, hash) of every sentence of a text."""
-    found = raw.lower().split()
-    if not found:
+    data = np.frombuffer(raw, np.uint8)
+    blank = WHITE[data]
+    if blank.all():
         empty = np.empty(0, np.int64)
         return empty, empty, np.empty(0, np.uint64)
-    data = np.frombuffer(raw, np.uint8)
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.diff(np.concatenate(([1], blank, [1])).astype(np.int8))
     begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    hashes = words.of(found)
+    hashes = word_hashes(data, ~blank, begin)
     lines = np.concatenate(([0], np.cumsum(data == 10)))
-    stop = np.isin(data[end - 1], np.frombuffer(b".!?", np.uint8))
+    stop = ENDS[data[end - 1]]
     stop[:-1] |= lines[begin[1:]] > lines[end[:-1]]
     stop |= mixed(hashes) % np.uint64(cut_every) == 0
     stop[-1] = True
@@ -76,11 +76,10 @@ def run_hashes(docs: DataFrame, least: int, min_words: int) -> DataFrame:
     """The hash of every run of every document."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for batch in in_slices(batches):
             found = [np.empty(0, np.uint64)]
             for value in batch.column(0):
-                _, sizes, hashes = sentences((value.as_py() or "").encode(), words)
+                _, sizes, hashes = sentences((value.as_py() or "").encode())
                 found.append(runs(sizes, hashes, least, min_words)[0])
             yield _arrow(run=(np.concatenate(found).view(np.int64), pa.int64()))
 
@@ -92,11 +91,10 @@ def places(docs: DataFrame, wanted: np.ndarray, least: int, min_words: int) -> D
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for batch in in_slices(batches):
             parts, row = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))], [np.empty(0, np.int64)]
             for i, value in enumerate(batch.column(2)):
-                _, sizes, hashes = sentences((value.as_py() or "").encode(), words)
+                _, sizes, hashes = sentences((value.as_py() or "").encode())
                 found = runs(sizes, hashes, least, min_words)
                 hit = is_member(shared.value, found[0])
                 parts.append(tuple(x[hit] for x in found))
@@ -112,9 +110,9 @@ def places(docs: DataFrame, wanted: np.ndarray, least: int, min_words: int) -> D
     return docs.select("doc_id", "key", "text").mapInArrow(emit, "run long, doc_id long, key string, first int, last int")
 
 
-def without(raw: bytes, spans: list[tuple[int, int]], words: WordHashes) -> tuple[bytes, int, int]:
+def without(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     """The text without the sentences of the spans; number of sentences, and of removed ones."""
-    begin, _, hashes = sentences(raw, words)
+    begin, _, hashes = sentences(raw)
     gone = np.zeros(len(hashes), bool)
     for first, last in spans:
         gone[first : last + 1] = True
@@ -141,12 +139,11 @@ def deduplicated(
     spans = stored(gone.groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for batch in in_slices(batches):
             texts, totals, removed = [], [], []
             for value, found in zip(batch.column(1), batch.column(2), strict=True):
                 whole, marked = value.as_py(), found.as_py() or []
-                raw, n, k = without((whole or "").encode(), [(s["first"], s["last"]) for s in marked], words)
+                raw, n, k = without((whole or "").encode(), [(s["first"], s["last"]) for s in marked])
                 texts.append(raw.decode() if k else whole)
                 totals.append(n)
                 removed.append(k)
