@@ -34,7 +34,7 @@ ROUNDS = 8
 
 PATTERNS = {
     "email": r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+",
-    "secret": r"(?:pass(?:word|wd)|secret|token|api[_-]?key)[\"']?\s*[:=]\s*[\"']?[^\s\"']{8,}",
+    "secret": r"(?i:pass(?:word|wd)|secret|token|api[_-]?key)[\"']?\s*[:=]\s*[\"']?[^\s\"']{8,}",
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w.]*\d)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
@@ -43,9 +43,8 @@ PATTERNS = {
 }
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Sra", "Madame", "Mme", "г-жа")
 MALE_TITLES = ("Mr", "Herr", "Sr", "Monsieur", "г-н")
-_FIND = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()), re.IGNORECASE | re.UNICODE)
-_NAME = re.compile(PATTERNS["name"])
-_HINT = re.compile(r"[@\d]|[Mm]r|[Mm]s|[Mm]iss|Mme|Dr|Herr|Frau|Sr|M[oa]|г-|[Pp]ass|[Ss]ecret|[Tt]oken|[Kk]ey", re.UNICODE)
+_FIND = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()))
+_HINT = re.compile(r"[@\d]|Mr|Ms|Miss|Mme|Dr|Herr|Frau|Sr|M[oa]|г-")
 _SECRET_VALUE = re.compile(r"[:=]\s*[\"']?")
 
 ALPHABETS = [
@@ -120,8 +119,6 @@ def find(text: str | None) -> list[tuple[str, int, int, str]]:
             if len(value) < 8 or not any(map(str.isdigit, value)):
                 continue
         elif kind == "name":
-            if not _NAME.fullmatch(value):
-                continue
             title, _, rest = value.partition(" ")
             start, value = end - len(rest), _gender(title.rstrip(".")) + "|" + rest.lower()
             out.append((kind, start, end, value))
