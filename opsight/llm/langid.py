@@ -21,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsight.llm.common import in_slices, stored
+from opsight.llm.common import text_slices
 
 UNKNOWN = "und"
 TRAIN_DOCS = 4000
@@ -32,7 +33,7 @@ VOCABULARY = 40_000
 LANGUAGES = 200
 ORDERS = (4, 3, 2, 1)
 SMOOTHING = 0.3
-MEMO_WORDS = 200_000
+MEMO_WORDS = 50_000
 _RUNS = re.compile(r"[^\W\d_]+")
 
 
@@ -48,9 +49,13 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)] if n > 1 else list(word)
 
 
+def gram_key(order: int, gram: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{order}{gram}".encode())
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """lang, order (0: words), gram, n for each batch of labelled texts."""
-    for batch in in_slices(batches):
+    for batch in text_slices(batches, 1):
         counts: dict[str, Counter] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             counts.setdefault(lang, Counter()).update(letters(text.as_py()))
@@ -74,32 +79,43 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Backoff:
-    """Word and n-gram log frequencies for each language."""
+    """Word and n-gram log frequencies for each language, filed under 64-bit hashes in sorted order."""
 
     def __init__(self, rows: list[tuple[str, int, str, int]]):
-        self.langs = sorted({r[0] for r in rows})
+        langs, orders, grams_, counts = zip(*rows, strict=True) if rows else ((), (), (), ())
+        self.langs = sorted(set(langs))
         at = {lang: i for i, lang in enumerate(self.langs)}
-        self.tables: dict[int, dict[str, int]] = {order: {} for order in (0, *ORDERS)}
-        for _, order, gram, _ in rows:
-            table = self.tables[order]
-            table.setdefault(gram, len(table))
-        self.logs = {}
-        for order, table in self.tables.items():
-            counts = np.zeros((len(table), len(self.langs)))
-            for lang, o, gram, n in rows:
-                if o == order:
-                    counts[table[gram], at[lang]] += n
-            total = counts.sum(axis=0) + SMOOTHING * max(1, len(table))
-            self.logs[order] = np.log((counts + SMOOTHING) / total)
-
-    def word(self, word: str) -> np.ndarray:
-        if (known := self.tables[0].get(word)) is not None:
-            return self.logs[0][known]
-        for order in ORDERS:
-            table = self.tables[order]
-            if hits := [i for g in grams(word, order) if (i := table.get(g)) is not None]:
-                return self.logs[order][hits].mean(axis=0)
-        return np.zeros(len(self.langs))
+        keys = np.fromiter((gram_key(o, g) for o, g in zip(orders, grams_, strict=True)), np.uint64, len(rows))
+        self.keys, place = np.unique(keys, return_inverse=True)
+        table, order = np.zeros((len(self.keys), len(self.langs))), np.zeros(len(self.keys), np.int64)
+        np.add.at(table, (place, np.array([at[lang] for lang in langs], np.int64)), np.array(counts, float))
+        order[place] = np.array(orders, np.int64)
+        for o in (0, *ORDERS):
+            own = order == o
+            table[own] = np.log((table[own] + SMOOTHING) / (table[own].sum(axis=0) + SMOOTHING * max(1, own.sum())))
+        self.logs = table
+
+    def places(self, order: int, found: list[str]) -> np.ndarray:
+        """Where the table has these words or n-grams; -1 for unknown ones."""
+        keys = np.fromiter((gram_key(order, g) for g in found), np.uint64, len(found))
+        if not len(self.keys):
+            return np.full(len(found), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def vectors(self, words: list[str]) -> np.ndarray:
+        """The log frequencies of words: their own, or the mean over their longest n-grams known."""
+        out, left = np.zeros((len(words), len(self.langs))), np.arange(len(words))
+        for order in (0, *ORDERS):
+            parts = [[words[i]] if order == 0 else grams(words[i], order) for i in left.tolist()]
+            owner = np.repeat(np.arange(len(left)), np.array([len(p) for p in parts], np.int64))
+            places = self.places(order, [g for p in parts for g in p])
+            owner, places = owner[places >= 0], places[places >= 0]
+            known, total = np.bincount(owner, minlength=len(left)), np.zeros((len(left), len(self.langs)))
+            np.add.at(total, owner, self.logs[places])
+            out[left] = total / np.maximum(known, 1)[:, None]
+            left = left[known == 0]
+        return out
 
 
 class Scorer:
@@ -107,29 +123,30 @@ class Scorer:
 
     def __init__(self, model: Backoff):
         self.model, self.at = model, {}
-        self.rows = np.zeros((MEMO_WORDS, len(model.langs)))
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        words = letters(text)
-        if not words or not self.model.langs:
-            return UNKNOWN, 0.0
-        counts, at, places, weights = Counter(words), self.at, [], []
-        total = np.zeros(len(self.model.langs))
-        for word, n in counts.items():
-            place = at.get(word)
-            if place is None:
-                vector = self.model.word(word)
-                if len(at) < MEMO_WORDS:
-                    place = at[word] = len(at)
-                    self.rows[place] = vector
-                else:
-                    total += n * vector
-                    continue
-            places.append(place)
-            weights.append(n)
-        total += np.array(weights, float) @ self.rows[places]
-        best = int(total.argmax())
-        return self.model.langs[best], float(1 / np.exp(total - total[best]).sum())
+        self.rows = np.zeros((0, len(model.langs)))
+
+    def _look_up(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.at]
+        if len(self.at) + len(new) > MEMO_WORDS:  # start again rather than grow
+            self.at.clear()
+            self.rows, new = self.rows[:0], list(words)
+        self.at.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
+        self.rows = np.concatenate((self.rows, self.model.vectors(new)))
+
+    def __call__(self, texts: pa.Array) -> list[tuple[str, float]]:
+        counts = [Counter(letters(text.as_py())) for text in texts]
+        if not self.model.langs:
+            return [(UNKNOWN, 0.0)] * len(counts)
+        self._look_up(set().union(*counts))
+        out = []
+        for own in counts:
+            if not own:
+                out.append((UNKNOWN, 0.0))
+                continue
+            total = np.array(list(own.values()), float) @ self.rows[[self.at[w] for w in own]]
+            best = int(total.argmax())
+            out.append((self.model.langs[best], float(1 / np.exp(total - total[best]).sum())))
+        return out
 
 
 def fit(
@@ -155,17 +172,14 @@ def fit(
     return Backoff(list(zip(*[c.to_pylist() for c in table.columns], strict=True)))
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def predict(docs: DataFrame, model: Backoff, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text_key, lang_pred, score for every row; only the text is an input."""
+    """doc_id, lang_pred, score for every row; only the text is an input."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in in_slices(batches):
-            found = [scorer(value.as_py()) for value in batch.column(batch.num_columns - 1)]
+        for batch in text_slices(batches, 1):
+            found = scorer(batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 names=[*batch.schema.names[:-1], "lang_pred", "score"],
@@ -177,12 +191,12 @@ def predict(docs: DataFrame, model: Backoff, doc_id: str = "doc_id", text: str =
 
 def keep_identified(docs: DataFrame, model: Backoff, text: str = "text", min_score: float = 0.5) -> DataFrame:
     """The rows, with all their columns, whose text has a language with at least `min_score`; one pass, no shuffle."""
-    shared, schema = docs.sparkSession.sparkContext.broadcast(model), docs.schema
+    shared, schema, at = docs.sparkSession.sparkContext.broadcast(model), docs.schema, docs.columns.index(text)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in in_slices(batches):
-            found = [scorer(value.as_py()) for value in batch.column(text)]
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found]))
+        for batch in text_slices(batches, at):
+            found = scorer(batch.column(at))
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found], pa.bool_()))
 
     return docs.mapInArrow(kept, schema)
