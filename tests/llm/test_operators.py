@@ -7,7 +7,9 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -163,6 +165,32 @@ def test_context_mixing_base_and_bits(docs, texts, odd):
     assert context_mixing.scores(odd, F.lit(True)).count() == odd.count()
 
 
+def test_context_mixing_shares_events_of_prefixes():
+    tokens = sorted({w.encode() for w in PASSAGE.lower().split()} | {b"", b"a", b"ab", b"abc", "äb".encode(), LONG.replace(" ", "").encode()})
+    counts = np.arange(1, len(tokens) + 1)
+    batch = pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), pa.array(counts, pa.int64())], names=["token", "c"])
+    table = np.zeros(2 * context_mixing.SLOTS)
+    for _, share, slots in context_mixing._chunks(iter([batch])):
+        for slot in slots:
+            np.add.at(table, slot, share)
+    apart = np.zeros_like(table)
+    for token, c in zip(tokens, counts, strict=True):
+        *_, slots = context_mixing.bit_events([token])
+        # of a token alone each prefix is an event of its own
+        assert all(len(slot) == 8 * (len(token) + 1) for slot in slots)
+        for slot in slots:
+            np.add.at(apart, slot, float(c))
+    assert np.array_equal(table, apart)
+    tables = context_mixing.predictions(table.astype(np.float32).reshape(-1, 2), 0)
+    weights = context_mixing.first_weights(len(context_mixing.BITS) + 1)
+    refined = np.tile(context_mixing.squash(np.linspace(-8, 8, context_mixing.BINS)), (context_mixing.GATES, 1))
+    together = context_mixing.code_lengths(tokens, tables, weights, refined)
+    single = [context_mixing.code_lengths([t], tables, weights, refined)[0] for t in tokens]
+    assert np.allclose(together, single, rtol=1e-6)
+    one_byte = context_mixing.code_lengths([bytes([b]) for b in range(256) if b != context_mixing.STOP], tables, weights, refined)
+    assert (10**one_byte).sum() < 1
+
+
 def test_fertility_base(docs, texts, odd):
     for r in fertility.judged(fertility.features(docs)).collect():
         found = texts[r.doc_id].encode().split()
