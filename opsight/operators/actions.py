@@ -139,6 +139,9 @@ def ungated_actions(action: DataFrame, approval: DataFrame) -> DataFrame:
         "action_status",
         text(recommendation).alias("recommendation_id"),
     )
-    return lookup(acted, first_approved, "recommendation_id").where(
+    # most actions may name no recommendation: nothing can match those, so they go past the join instead of to one key
+    named = lookup(acted.where("recommendation_id <> ''"), first_approved, "recommendation_id").where(
         F.col("first_approved").isNull() | (F.col("first_approved") > F.col("event_time"))
     )
+    nameless = acted.where("recommendation_id = ''").withColumn("first_approved", F.lit(None).cast("timestamp"))
+    return named.unionByName(nameless)
