@@ -19,5 +19,6 @@ def lookup(left: DataFrame, right: DataFrame, *on: str, how: str = "left") -> Da
 
 def with_zeros(counts: DataFrame, name: str, names: list[str], total: str) -> DataFrame:
     """One row for each of a fixed list of names, zero where there is no count."""
-    every = counts.sparkSession.range(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias(name))
-    return every.join(counts, name, "left").select(name, F.coalesce(total, F.lit(0).cast("long")).alias(total))
+    zeros = counts.sparkSession.range(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias(name), F.lit(0).cast("long").alias(total))
+    listed = counts.where(F.col(name).isin(names)).select(name, F.col(total).cast("long").alias(total))
+    return listed.unionByName(zeros).groupBy(name).agg(F.sum(total).alias(total))
