@@ -248,6 +248,25 @@ def test_leaks_against_all_passages(spark, docs, texts, odd):
     assert {(r.doc_id, r.item_id) for r in latent_leaks.leaks(odd, near, block=1).collect()} == {(7, 1), (8, 1), (9, 1)}
 
 
+def excerpts(texts, n, sizes):
+    """n excerpts of documents with the given numbers of words in turn, each with the document it stands in."""
+    long = [(i, words) for i, t in sorted(texts.items()) if len(words := t.split()) >= max(sizes) + 50]
+    out = []
+    for k in range(n):
+        i, words = long[k % len(long)]
+        at = (k * 7919) % (len(words) - sizes[k % len(sizes)])
+        out.append((k, i, " ".join(words[at : at + sizes[k % len(sizes)]])))
+    return out
+
+
+@pytest.mark.parametrize("n", [1000, 2048])
+def test_leaks_of_many_items(spark, docs, texts, n):
+    items = excerpts(texts, n, range(15, 60))
+    found = latent_leaks.leaks(docs, spark.createDataFrame([(k, t) for k, _, t in items], "item_id long, text string"))
+    found = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert sum((i, k) in found for k, i, _ in items) >= 0.9 * n
+
+
 def test_packing_is_a_round_trip(docs, texts, odd):
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     found = packing.pack_documents(docs).collect()
