@@ -267,6 +267,17 @@ def test_leaks_of_many_items(spark, docs, texts, n):
     assert sum((i, k) in found for k, i, _ in items) >= 0.9 * n
 
 
+@pytest.mark.parametrize("size", [3, 5, 300, 1000])
+def test_leaks_of_short_and_long_items(spark, docs, texts, size):
+    words = (" ".join(t for t in texts.values())).split()
+    pasted = [(k, " ".join(words[k * 997 : k * 997 + size])) for k in range(20)]
+    odd_ones = [(k, " ".join([f"a{k}b{i}" for i in range(37)] + [t] + [f"c{k}d{i}" for i in range(40)])) for k, t in pasted]
+    all_docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + k, t) for k, t in odd_ones], "doc_id long, text string"))
+    found = latent_leaks.leaks(all_docs, spark.createDataFrame(pasted, "item_id long, text string"))
+    found = {(r.doc_id, r.item_id) for r in found.where("doc_id >= 1000000").collect()}
+    assert sum((10**6 + k, k) in found for k, _ in pasted) >= 18
+
+
 def test_packing_is_a_round_trip(docs, texts, odd):
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     found = packing.pack_documents(docs).collect()
