@@ -7,7 +7,9 @@ digits, valid check digits valid; the spelling is then put back. Names are built
 ending for the gender of the title.
 
 Collision checks keep entities distinct: all entities of the corpus are compared, and where a surrogate is taken twice
-or is itself an entity of the corpus, all but one of the holders get another attempt until none collides. The first
+or is itself an entity of the corpus, all but one of the holders get another attempt until none collides (an error if that does not end). Compared is what
+shows in the text, so the same made-up word is not given to two people of different titles; names get longer with the
+attempt. The first
 attempt needs no table, so only exceptions are joined back (as a broadcast where they are few, else by text).
 
 Null texts stay null, empty ones empty. Repeated rows get the same text. Overlapping finds: the earlier, then the longer
@@ -30,7 +32,7 @@ from opsight.llm.common import in_slices, stored
 
 KEY = "surrogates"
 FEW = 100_000
-ROUNDS = 8
+ROUNDS = 100
 
 PATTERNS = {
     "email": r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+",
@@ -172,7 +174,8 @@ def surrogate(kind: str, canonical: str, attempt: int, key: str) -> str:
         for i, word in enumerate(words.split(" ")):
             parts, endings = SYLLABLES[_script(word)]
             number = _draw(key, tweak, word, i)
-            stem = "".join(parts[(number >> (4 * k)) % 16] for k in range(3 + (number >> 64) % 2))
+            # each attempt adds a syllable, so the space outgrows any number of names
+            stem = "".join(parts[(number >> (4 * k)) % 16] for k in range(min(3 + attempt + (number >> 64) % 2, 30)))
             made.append(stem + (endings[gender] if i == 0 and " " in words else endings[""] if " " in words else "s"))
         return gender + "|" + " ".join(made)
     return permuted(canonical, tweak, key)
@@ -215,14 +218,25 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(run, "kind string, canonical string").distinct()
 
 
+def _written(kind: str, canonical: str) -> str:
+    """A canonical form as it shows in a text: the gender of a name and the length of a country code do not."""
+    return canonical.rpartition("|")[2] if kind in ("name", "phone") else canonical
+
+
 def _with_surrogates(table: DataFrame, key: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
-            rows = zip(*[batch.column(n).to_pylist() for n in ("kind", "canonical", "attempt")], strict=True)
+            rows = list(zip(*[batch.column(n).to_pylist() for n in ("kind", "canonical", "attempt")], strict=True))
             made = [surrogate(k, c, a, key) for k, c, a in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=[*batch.schema.names, "made"])
+            shown = [_written(r[0], m) for r, m in zip(rows, made, strict=True)]
+            real = [_written(k, c) for k, c, _ in rows]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *[pa.array(x, pa.string()) for x in (made, shown, real)]],
+                names=[*batch.schema.names, "made", "shown", "written"],
+            )
 
-    return table.select("kind", "canonical", "attempt").mapInArrow(run, "kind string, canonical string, attempt int, made string")
+    schema = "kind string, canonical string, attempt int, made string, shown string, written string"
+    return table.select("kind", "canonical", "attempt").mapInArrow(run, schema)
 
 
 def assigned(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
@@ -230,16 +244,16 @@ def assigned(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     now = stored(_with_surrogates(entities(docs, text).withColumn("attempt", F.lit(0)), key), "entities")
     for _ in range(ROUNDS):
         # one holder keeps a surrogate: the one of the fewest attempts, then the smallest
-        holders = now.groupBy("kind", "made").agg(F.min(F.struct("attempt", "canonical"))["canonical"].alias("holder"))
-        real = now.select("kind", F.col("canonical").alias("made"), F.lit(True).alias("real"))
-        checked = now.join(holders, ["kind", "made"]).join(real, ["kind", "made"], "left")
+        holders = now.groupBy("kind", "shown").agg(F.min(F.struct("attempt", "canonical"))["canonical"].alias("holder"))
+        real = now.select("kind", F.col("written").alias("shown"), F.lit(True).alias("real")).distinct()
+        checked = now.join(holders, ["kind", "shown"]).join(real, ["kind", "shown"], "left")
         clash = (F.col("holder") != F.col("canonical")) | F.col("real").isNotNull()
         checked = stored(checked.withColumn("clash", clash), "clashes")
         if not checked.where("clash").limit(1).count():
-            return now
+            return now.select("kind", "canonical", "attempt", "made")
         again = checked.withColumn("attempt", F.col("attempt") + F.col("clash").cast("int"))
         now = stored(_with_surrogates(again, key), "entities")
-    return now
+    raise RuntimeError("surrogates still collide")
 
 
 def replace_all(docs: DataFrame, text: str = "text", key: str = KEY, few: int = FEW) -> DataFrame:

@@ -118,6 +118,15 @@ def test_surrogates_keep_type_and_identity(spark, odd):
     assert sorted(str(r.text) for r in few.collect()) == sorted(str(r.text) for r in out.values())
 
 
+def test_many_surnames_stay_distinct(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    made_up = ["".join(letters[(k // 26**p) % 26] for p in range(4)).capitalize() for k in range(25_000)]
+    rows = [(k, f"{title} {w} came") for k, w in enumerate(made_up) for title in ("Mr", "Mrs")]
+    found = surrogates.assigned(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    shown = {r.made.partition("|")[2] for r in found}
+    assert len(found) == len(shown) == 50_000 and not shown & {w.lower() for w in made_up}
+
+
 def test_language(docs, odd):
     model = langid.fit(docs.where("doc_id % 4 <> 2"))
     held = langid.predict(docs.where("doc_id % 4 = 2"), model).join(docs.select("doc_id", "lang"), "doc_id")
