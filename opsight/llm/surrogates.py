@@ -38,7 +38,9 @@ PATTERNS = {
     "email": r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+",
     "secret": r"(?i:pass(?:word|wd)|secret|token|api[_-]?key)[\"']?\s*[:=]\s*[\"']?[^\s\"']{8,}",
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w.]*\d)",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"
+    # national forms: (555) 123-4567, 555-123-4567, 0171 5557713, 030 123 45 67
+    r"|(?<![\w+.-])(?<!\d )(?:\(\d{2,5}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\d{3}[ .-]\d{3}[ .-]\d{4}|0\d{1,4}[ /-]\d{3,8}(?:[ -]\d{2,4}){0,3})(?![ .-]?\d|\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w+])\d(?:[ -]?\d){12,18}(?![\w])",
     "name": r"(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Sra|Sr|Monsieur|Madame|Mme|г-н|г-жа)\.? [^\W\d_a-zа-я][^\W\d_]+(?: [^\W\d_a-zа-я][^\W\d_]+)?",
@@ -47,6 +49,8 @@ FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Sra", "Madame", "Mme", "г-жа")
 MALE_TITLES = ("Mr", "Herr", "Sr", "Monsieur", "г-н")
 _FIND = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()))
 _HINT = re.compile(r"[@\d]|Mr|Ms|Miss|Mme|Dr|Herr|Frau|Sr|M[oa]|г-")
+#: Country codes of one and two digits; all others have three.
+_COUNTRY = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
 _SECRET_VALUE = re.compile(r"[:=]\s*[\"']?")
 
 ALPHABETS = [
@@ -132,7 +136,9 @@ def find(text: str | None) -> list[tuple[str, int, int, str]]:
         elif kind in ("phone", "ssn", "card"):
             value = "".join(filter(str.isdigit, value))
             if kind == "phone":
-                value = f"{len(re.match(r'\+\d+', m.group()).group()) - 1}|{value}"
+                # the digits that stay: the country code, or the zero before a national number
+                kept = len(_COUNTRY.match(value).group()) if m.group()[0] == "+" and value[0] != "0" else int(value[0] == "0")
+                value = f"{kept}|{value}" if m.group()[0] == "+" else f"{kept}|n|{value}"
         elif kind == "email":
             value = value.lower()
         out.append((kind, start, end, value))
@@ -154,9 +160,9 @@ def surrogate(kind: str, canonical: str, attempt: int, key: str) -> str:
             halves[r % 2] = (halves[r % 2] + _draw(key, tweak, r, halves[1 - r % 2])) % 65536
         return ".".join(str(x) for h in halves for x in divmod(h, 256))
     if kind == "phone":
-        country, _, digits = canonical.partition("|")
-        n = min(int(country), len(digits) - 4)
-        return f"{country}|{digits[:n]}{permuted(digits[n:], tweak, key)}"
+        head, _, digits = canonical.rpartition("|")
+        n = min(int(head[0]), len(digits) - 4)
+        return f"{head}|{digits[:n]}{permuted(digits[n:], tweak, key)}"
     if kind == "card":
         if luhn(canonical[:-1]) == canonical[-1]:
             body = canonical[0] + permuted(canonical[1:-1], tweak, key)

@@ -118,6 +118,23 @@ def test_surrogates_keep_type_and_identity(spark, odd):
     assert sorted(str(r.text) for r in few.collect()) == sorted(str(r.text) for r in out.values())
 
 
+@pytest.mark.parametrize("text", ["(555) 123-4567", "555-123-4567", "0171 5557713", "+15551234567", "+1 (555) 123-4567"])
+def test_telephone_forms(text):
+    made, n = surrogates.replaced(f"call {text}, now", {}, "key")
+    digits = [c for c in text if c.isdigit()]
+    assert n == 1 and made != f"call {text}, now" and len(made) == len(f"call {text}, now")
+    assert text[0] != "+" or made.startswith("call +1")
+    assert [a.isdigit() for a in made] == [a.isdigit() for a in f"call {text}, now"] and len(digits) >= 10
+
+
+def test_telephone_spellings_agree():
+    found = surrogates.find("+15551234567 or +1 555 123 4567, +4917155577 or +49 171 55577, 2024-01-30, 4111 1111 1111 1111")
+    assert [f[0] for f in found] == ["phone"] * 4 + ["card"]
+    assert found[0][3] == found[1][3] and found[2][3] == found[3][3] and found[0][3] != found[2][3]
+    national = surrogates.find("555-123-4567 or (555) 123-4567")
+    assert national[0][3] == national[1][3]
+
+
 def test_many_surnames_stay_distinct(spark):
     letters = "abcdefghijklmnopqrstuvwxyz"
     made_up = ["".join(letters[(k // 26**p) % 26] for p in range(4)).capitalize() for k in range(25_000)]
