@@ -8,7 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_pipeline import run as pipeline
-from opsight.llm import chat, context_mixing, fertility, jaccard_join, langid, latent_leaks, packing, sentence_spans, surrogates, url_rules, whitening
+from opsight.llm import (
+    chat,
+    context_mixing,
+    fertility,
+    jaccard_join,
+    langid,
+    latent_leaks,
+    packing,
+    prefix_counts,
+    sentence_spans,
+    surrogates,
+    url_rules,
+    whitening,
+)
 from opsight.llm.common import id_bucket, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +80,10 @@ def op10_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+def op12_prefix_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_counts.answers(prefix_counts.prefix_index(table(spark, folder, "documents")))
+
+
 def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitened(table(spark, folder, "embeddings"))
 
@@ -82,6 +99,7 @@ LLM_QUERIES: dict[str, Query] = {
     "op8_rare_first": op8_rare_first,
     "op9_latent_leaks": op9_latent_leaks,
     "op10_best_fit": op10_best_fit,
+    "op12_prefix_counts": op12_prefix_counts,
     "op13_whitening": op13_whitening,
     "pipeline": pipeline,
 }
