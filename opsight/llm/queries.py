@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpus_pipeline import run as pipeline
 from opsight.llm import (
     chat,
+    collocations,
     context_mixing,
     fertility,
     jaccard_join,
@@ -80,6 +81,10 @@ def op10_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 def op12_prefix_counts(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_counts.answers(prefix_counts.prefix_index(table(spark, folder, "documents")))
 
@@ -99,6 +104,7 @@ LLM_QUERIES: dict[str, Query] = {
     "op8_rare_first": op8_rare_first,
     "op9_latent_leaks": op9_latent_leaks,
     "op10_best_fit": op10_best_fit,
+    "op11_collocations": op11_collocations,
     "op12_prefix_counts": op12_prefix_counts,
     "op13_whitening": op13_whitening,
     "pipeline": pipeline,
@@ -107,4 +113,5 @@ LLM_ORACLES: dict[str, str] = {
     "op1_association_rules": url_rules.oracle(),
     "op4_snapshots": chat.ORACLE,
     "op8_rare_first": jaccard_join.oracle(4, 85),
+    "op11_collocations": collocations.oracle(),
 }
