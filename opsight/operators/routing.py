@@ -25,7 +25,8 @@ from opsight.schemas import (
     ORDERS,
     RAW,
 )
-from opsight.sources.tables import read_table, write_table
+from opsight.sources.manifest import new_stamp, publish_load
+from opsight.sources.tables import read_files, write_files
 
 # Which event names belong to which table: equality is exact, prefixes ignore case. Names that match none stay in raw.
 _BELONGS: dict[str, Callable[[], Column]] = {
@@ -156,22 +157,24 @@ def fan_out(
 
     The batch is evaluated once. Micro-batches are kept for the seven writes; with `from_storage`, for large loads, the
     targets are routed from the raw files just written, which needs no room on the executors and survives their loss.
-    The six routed writes are independent jobs and run side by side. Every write replaces the folders of this
-    `batch_id` only, so running the batch again after a failure part-way gives each table exactly one copy.
+    The six routed writes are independent jobs and run side by side. All seven tables are published by one record, so
+    readers see the whole batch or nothing of it, and running it again after a failure part-way, or after a success,
+    gives each table exactly one copy.
     """
+    spark, stamp = raw.sparkSession, new_stamp()
 
-    def write(name: str, rows: DataFrame) -> None:
-        write_table(rows, root, name, batch_id, rebalance=rebalance)
+    def write(name: str, rows: DataFrame) -> dict[str, list[int]]:
+        return write_files(rows, root, name, batch_id, stamp, rebalance=rebalance)
 
     source = raw if from_storage else raw.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        write(RAW, source)
-        landed = read_table(raw.sparkSession, root, RAW, batch_id) if from_storage else source
+        written = {RAW: write(RAW, source)}
+        landed = read_files(spark, root, RAW, batch_id, stamp, written[RAW]) if from_storage else source
         with ThreadPoolExecutor(len(ROUTES)) as pool:
-            run = inheritable_thread_target(raw.sparkSession)(write)
-            jobs = [pool.submit(run, name, route(landed)) for name, route in ROUTES.items()]
-        for job in jobs:
-            job.result()
+            run = inheritable_thread_target(spark)(write)
+            jobs = {name: pool.submit(run, name, route(landed)) for name, route in ROUTES.items()}
+        written |= {name: job.result() for name, job in jobs.items()}
+        publish_load(spark, root, str(batch_id), stamp, written)
     finally:
         if not from_storage:
             source.unpersist()

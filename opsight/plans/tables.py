@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from opsight.operators.routing import ROUTES
 from opsight.schemas import ACTION, AGENT, APPROVAL, INVENTORY, KITCHEN, ORDERS, RAW, STATIONS
+from opsight.sources import manifest
 from opsight.sources.stations import read_stations, stations
 from opsight.sources.tables import read_table
 
@@ -32,8 +33,9 @@ class OpsTables:
 
     @classmethod
     def stored(cls, spark: SparkSession, root: str) -> OpsTables:
-        """Tables written by `fan_out` and `write_stations`."""
-        return cls(lambda name: read_stations(spark, root) if name == STATIONS else read_table(spark, root, name))
+        """Tables written by `fan_out` and `write_stations`, all as of one state of the manifest."""
+        state = manifest.state(spark, root)
+        return cls(lambda name: read_stations(spark, root) if name == STATIONS else read_table(spark, root, name, state=state))
 
     def by_name(self, name: str) -> DataFrame:
         return self._source(name)

@@ -3,38 +3,54 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from opsight.functions import latest_by
 from opsight.operators.routing import fan_out
 from opsight.schemas import ORDER_STATES
-from opsight.sources.tables import read_table, write_table
-from opsight.streaming.runner import each_batch, load_id
+from opsight.sources.tables import BUCKETS, MERGE_FAN, merge_order_states, read_table, write_table
+from opsight.streaming.runner import each_batch, load_ids
 
 
 def stream_route(raw: DataFrame, root: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Write each micro-batch into raw and the six tables; a repeated batch replaces its own folders."""
+    """Write each micro-batch into raw and the six tables; a repeated batch takes the place of its first try."""
+    named = load_ids(raw.sparkSession, checkpoint)
+
     def route(batch: DataFrame, batch_id: int) -> None:
-        fan_out(batch, root, load_id(batch.sparkSession, checkpoint, batch_id))
+        fan_out(batch, root, named(batch_id))
 
     return each_batch(raw, route, checkpoint, every)
 
 
-def stream_order_states(orders: DataFrame, root: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Keep a change log with the newest event per order and micro-batch.
+def stream_order_states(
+    orders: DataFrame, root: str, checkpoint: str, every: str | None = None, merge_every: int = MERGE_FAN
+) -> StreamingQuery:
+    """Keep a change log with the newest event per order and micro-batch, merged level by level.
 
-    Each batch is reduced on its own, so the query holds no state that would grow with the number of orders;
-    `current_orders` merges the log on read. The log has a table of its own, so routed orders on the same root stay
-    as they are, and `expire` leaves it alone: an old order may still be open.
+    Each batch is reduced on its own, so the query holds no state that would grow with the number of orders. Every
+    `merge_every` batches full levels of the log are merged, so readers meet few files however long the stream has run.
+    The log has a table of its own, so routed orders on the same root stay as they are, and `expire` leaves it alone:
+    an old order may still be open.
     """
+    named = load_ids(orders.sparkSession, checkpoint)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        load = load_id(batch.sparkSession, checkpoint, batch_id)
-        write_table(latest_by(batch, "order_id"), root, ORDER_STATES, load)
+        write_table(latest_by(batch, "order_id"), root, ORDER_STATES, named(batch_id))
+        if (batch_id + 1) % merge_every == 0:
+            merge_order_states(batch.sparkSession, root, merge_every)
 
     return each_batch(orders, keep, checkpoint, every)
 
 
-def current_orders(spark: SparkSession, root: str) -> DataFrame:
-    """The newest event per order over the whole change log."""
-    return latest_by(read_table(spark, root, ORDER_STATES), "order_id")
+def current_orders(spark: SparkSession, root: str, order_ids: list[str] | None = None) -> DataFrame:
+    """The newest event per order: merged runs of the change log and what came since.
+
+    `order_ids`, a short list, reads only the buckets these orders are in.
+    """
+    log = read_table(spark, root, ORDER_STATES)
+    if order_ids is not None:
+        # the hash of a literal is folded, so the buckets prune folders
+        buckets = [F.pmod(F.xxhash64(F.lit(i)), F.lit(BUCKETS)).cast("int") for i in order_ids]
+        log = log.where(F.col("order_id").isin(order_ids) & F.col("bucket").isin(*buckets)) if order_ids else log.limit(0)
+    return latest_by(log, "order_id").drop("bucket")

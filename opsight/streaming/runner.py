@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from opsight.sources.manifest import Files
+
 
 def _triggered(writer, every: str | None):
     return writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
@@ -18,10 +21,19 @@ def append_to(df: DataFrame, path: str, checkpoint: str, every: str | None = Non
     return _triggered(writer.option("checkpointLocation", checkpoint), every).start()
 
 
-def load_id(spark: SparkSession, checkpoint: str, batch_id: int) -> str:
-    """Name of a micro-batch that no other stream or checkpoint uses: the id in the checkpoint, then the number."""
-    stream = spark.read.json(f"{checkpoint}/metadata").first()["id"]
-    return f"{stream}-{batch_id}"
+def load_ids(spark: SparkSession, checkpoint: str) -> Callable[[int], str]:
+    """Names of micro-batches that no other stream or checkpoint uses: the id in the checkpoint, then the number.
+
+    The id is there once the first micro-batch runs; it is read once.
+    """
+    known: list[str] = []
+
+    def name(batch_id: int) -> str:
+        if not known:
+            known.append(json.loads(Files(spark, checkpoint).read(f"{checkpoint}/metadata"))["id"])
+        return f"{known[0]}-{batch_id}"
+
+    return name
 
 
 def each_batch(
