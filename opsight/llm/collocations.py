@@ -39,8 +39,8 @@ HEAD_ROWS = 1 << 16  # ranked phrases of all languages together
 HEAD = 4096  # ranked phrases of a language
 TILE = 512
 DENSE_SHARE = 16  # a tile becomes dense when a portion of text has a hit for every so many cells
-TILES_HELD = 32
-PORTION_BYTES = 8 << 20
+TILES_HELD = 24
+PORTION_BYTES = 2 << 20
 BLANK = separators(b" \t")
 BREAK = separators(b".,;:!?\n\x0b\x0c\r")
 LOWER = np.arange(256, dtype=np.uint8)
