@@ -151,13 +151,19 @@ def route_counts(raw: DataFrame) -> DataFrame:
 
 
 def fan_out(
-    raw: DataFrame, root: str, batch_id: str | int, *, rebalance: bool = True, from_storage: bool = False
+    raw: DataFrame,
+    root: str,
+    batch_id: str | int,
+    *,
+    rebalance: bool = True,
+    from_storage: bool = False,
+    also: dict[str, DataFrame] | None = None,
 ) -> None:
-    """Write one batch into raw and all six targets.
+    """Write one batch into raw and all six targets, and rows of other tables (`also`) along with it.
 
     The batch is evaluated once. Micro-batches are kept for the seven writes; with `from_storage`, for large loads, the
     targets are routed from the raw files just written, which needs no room on the executors and survives their loss.
-    The six routed writes are independent jobs and run side by side. All seven tables are published by one record, so
+    The six routed writes are independent jobs and run side by side. All tables are published by one record, so
     readers see the whole batch or nothing of it, and running it again after a failure part-way, or after a success,
     gives each table exactly one copy.
     """
@@ -172,7 +178,8 @@ def fan_out(
         landed = read_files(spark, root, RAW, batch_id, stamp, written[RAW]) if from_storage else source
         with ThreadPoolExecutor(len(ROUTES)) as pool:
             run = inheritable_thread_target(spark)(write)
-            jobs = {name: pool.submit(run, name, route(landed)) for name, route in ROUTES.items()}
+            targets = {name: route(landed) for name, route in ROUTES.items()} | (also or {})
+            jobs = {name: pool.submit(run, name, rows) for name, rows in targets.items()}
         written |= {name: job.result() for name, job in jobs.items()}
         publish_load(spark, root, str(batch_id), stamp, written)
     finally:

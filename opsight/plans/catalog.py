@@ -16,14 +16,14 @@ from pyspark.sql import types as T
 from opsight.operators import actions, dashboard, operational, quality, questions, routing, rules, signals
 from opsight.plans.rulebook import DEFAULT_RULES, with_window
 from opsight.plans.tables import OpsTables
-from opsight.schemas import EVENT_TABLES, OPERATIONAL_TABLES, RAW, TABLE_SCHEMAS
+from opsight.schemas import EVENT_TABLES, OPERATIONAL_TABLES, QUARANTINE, RAW, TABLE_SCHEMAS
 from opsight.session import prepare, scratch
 from opsight.sources import events as event_source
 from opsight.sources import stations as station_source
 from opsight.sources import tables as store
 from opsight.sources.activity import raw_from_activity, read_activity, requests_from_activity, stream_activity
-from opsight.streaming import routes, windows
-from opsight.streaming.runner import appended
+from opsight.streaming import open_orders, routes, windows
+from opsight.streaming.runner import appended, rocksdb_state
 
 AS_OF = "2024-01-30 18:00:00"
 RETAIN_AS_OF = "2024-02-15 00:00:00"
@@ -139,6 +139,42 @@ def _retention(spark: SparkSession, folder: str) -> DataFrame:
     return _plain(store.read_table(spark, root, RAW).drop("event_date"))
 
 
+def _damaged_lines(raw: DataFrame) -> DataFrame:
+    """Raw events as JSON lines of which some are broken off, some have no time and some an unreadable one."""
+    number = F.col("event_id").substr(5, 20).cast("long")
+    envelope = F.to_json(F.struct("event_id", "event_name", "entity_type", "entity_id", "order_id", "station_id", "ingredient_id", "channel", "severity"))
+    head = F.expr("substring(envelope, 2, length(envelope) - 2)")
+    stamp = F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    time = (
+        F.when(number % 83 == 0, F.lit(""))
+        .when(number % 89 == 0, F.lit('"event_time":"soon",'))
+        .otherwise(F.concat(F.lit('"event_time":"'), stamp, F.lit('",')))
+    )
+    line = F.concat(F.lit("{"), time, head, F.lit(',"payload":'), "payload", F.lit("}"))
+    broken = F.when(number % 97 == 0, F.substring(line, F.lit(1), F.length(line) - 3)).otherwise(line)
+    return raw.withColumn("envelope", envelope).select(broken.alias("value"))
+
+
+def _quarantine(spark: SparkSession, folder: str) -> DataFrame:
+    """What becomes of each line of a damaged landing, as a stream and in batch."""
+    root, path = scratch(spark, "landing"), scratch(spark, "lines")
+    _damaged_lines(raw_events(spark, folder)).write.text(path)
+    routes.stream_landing(event_source.stream_parsed(spark, path), root, f"{root}/checkpoint").awaitTermination()
+    identity = F.regexp_extract("line", '"event_id":"([^"]*)"', 1).alias("event_id")
+    landed = F.lit("landed").alias("outcome")
+    parts = {
+        "stream": [
+            store.read_table(spark, root, RAW).select("event_id", landed),
+            store.read_table(spark, root, QUARANTINE).select(identity, F.col("reason").alias("outcome")),
+        ],
+        "batch": [
+            event_source.read_raw(spark, path).select("event_id", landed),
+            event_source.read_malformed(spark, path).select(identity, F.lit("rejected").alias("outcome")),
+        ],
+    }
+    return reduce(DataFrame.unionByName, [p.withColumn("way", F.lit(way)) for way, both in parts.items() for p in both])
+
+
 # --- routing ---
 
 
@@ -169,6 +205,11 @@ def _stream_latest_order(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _stream_overdue(spark: SparkSession, folder: str) -> DataFrame:
+    with rocksdb_state(spark):
+        return _on_stream(lambda raw: open_orders.stream_overdue_orders(raw, LOAD), "overdue")(spark, folder)
+
+
 def _hits(t: OpsTables) -> DataFrame:
     return rules.rule_hits(t, RULES)
 
@@ -237,6 +278,7 @@ TABLE_QUERIES: dict[str, Callable[[OpsTables], DataFrame]] = {
 _FOLDER_QUERIES: dict[str, Query] = {
     "S1_read_raw": _read_raw,
     "S2_stream_raw": _stream_raw,
+    "S2_quarantine": _quarantine,
     "S3_write_tables": _write_tables,
     "S4_stations": _stations,
     "S5_conform_schema": _conform_schema,
@@ -257,6 +299,7 @@ _FOLDER_QUERIES: dict[str, Query] = {
     "T6_stream_delay_sentiment": _on_stream(lambda raw: windows.stream_delay_sentiment(raw, LOAD), "sentiment"),
     "T7_stream_alerts_once": _on_stream(windows.stream_alerts_once, "alerts"),
     "T8_stream_open_orders": _on_stream(lambda raw: windows.stream_open_orders(raw, LOAD), "open"),
+    "T8_stream_open_orders_timers": _stream_overdue,
 }
 
 QUERIES: dict[str, Query] = {**{name: _on_tables(query) for name, query in TABLE_QUERIES.items()}, **_FOLDER_QUERIES}

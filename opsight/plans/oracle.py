@@ -5,15 +5,32 @@ Written from the table definitions on their own, not generated from the DataFram
 
 from __future__ import annotations
 
-from opsight.plans.rulebook import ALERT_TEXTS
-from opsight.sources.stations import STATION_ROWS
-
 _AS_OF = "TIMESTAMP '2024-01-30 18:00:00'"
 
-_STATION_VALUES = ", ".join(
-    f"('{a}', '{b}', '{c}', CAST({d} AS BIGINT), CAST({e} AS DOUBLE), {str(f).lower()})"
-    for a, b, c, d, e, f in STATION_ROWS
-)
+# --- fixed values: station rows --------------------------------------------------------------------------------------
+_STATION_VALUES = """
+  ('grill', 'Plancha / Parrilla', 'Carnes, hamburguesas, filetes', CAST(4 AS BIGINT), CAST(8.0 AS DOUBLE), true),
+  ('fryer', 'Freidora', 'Patatas fritas, croquetas, alitas', CAST(4 AS BIGINT), CAST(6.0 AS DOUBLE), true),
+  ('sauces', 'Salsas y Aderezos', 'Salsas, ensaladas, preparaciones', CAST(3 AS BIGINT), CAST(3.0 AS DOUBLE), true),
+  ('assembly', 'Montaje Final', 'Ensamblaje del plato y empaquetado', CAST(5 AS BIGINT), CAST(2.0 AS DOUBLE), true)
+"""
+
+# --- fixed values: alert texts ---------------------------------------------------------------------------------------
+_ALERT_TEXTS = {
+    "DelayedOrderHighQueue": (
+        "Restaurant alert: delayed order with high queue",
+        "A delayed order is waiting behind a high station queue. Review the station and reprioritize if needed.",
+    ),
+    "CriticalInventory": (
+        "Restaurant alert: ingredient below threshold",
+        "An ingredient has fallen below its threshold. Trigger replenishment or prepare substitutions.",
+    ),
+    "DeliveryChannelSaturation": (
+        "Restaurant alert: delivery channel saturation",
+        "Three or more delivery delays were detected in a five-minute window. Consider throttling delivery intake.",
+    ),
+}
+# ---------------------------------------------------------------------------------------------------------------------
 
 _BASE = f"""
 WITH src AS (
@@ -285,7 +302,7 @@ def _watermark(select: str, late: str = "10 minutes") -> str:
 
 
 def _alert_text(part: int) -> str:
-    cases = " ".join(f"WHEN '{rule}' THEN '{both[part]}'" for rule, both in ALERT_TEXTS.items())
+    cases = " ".join(f"WHEN '{rule}' THEN '{both[part]}'" for rule, both in _ALERT_TEXTS.items())
     return f"CASE rule {cases} END"
 
 
@@ -323,10 +340,17 @@ def oracle_queries() -> dict[str, str]:
     crowd = f"""crowd AS (
       SELECT {_bucket('6 hours')} AS bucket, channel, count(*) AS c FROM order_events
       WHERE event_name = 'order.prep.delayed' AND delay_minutes >= 5 AND {_within('6 hours')} GROUP BY ALL)"""
-    return {
+    queries = {
         # sources, sinks, table maintenance
         "S1_read_raw": raw,
         "S2_stream_raw": raw,
+        "S2_quarantine": _q(
+            """SELECT event_id, way,
+                 CASE WHEN n % 97 <> 0 AND n % 83 <> 0 AND n % 89 <> 0 THEN 'landed'
+                      WHEN way = 'batch' THEN 'rejected'
+                      WHEN n % 97 <> 0 AND n % 83 = 0 THEN 'no_time' ELSE 'unreadable' END AS outcome
+               FROM (SELECT event_id, CAST(substr(event_id, 5) AS BIGINT) AS n FROM raw), (VALUES ('stream'), ('batch')) w(way)"""
+        ),
         "S3_write_tables": _q(_in_all_tables(with_raw=True)),
         "S4_stations": _q(
             """SELECT s.*, c.events FROM stations s
@@ -759,3 +783,5 @@ def oracle_queries() -> dict[str, str]:
             six_hour_sessions,
         ),
     }
+    queries["T8_stream_open_orders_timers"] = queries["T8_stream_open_orders"]
+    return queries

@@ -87,3 +87,5 @@ EVENT_TABLES = (RAW, *OPERATIONAL_TABLES)
 ORDER_STATES = "order_states"  # change log of the newest event per order; not an event table
 TABLE_SCHEMAS[ORDER_STATES] = TABLE_SCHEMAS[ORDERS]
 RAW_COLUMNS = TABLE_SCHEMAS[RAW].fieldNames()
+QUARANTINE = "quarantined_lines"  # what the landing could not read; not an event table
+TABLE_SCHEMAS[QUARANTINE] = layout("file string, line string")

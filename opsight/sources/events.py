@@ -55,6 +55,31 @@ def stream_raw(
     return _landed(lines.select(parsed.alias("event")).select("event.*"))
 
 
+def stream_parsed(spark: SparkSession, path: str, *, options: dict[str, str] | None = None) -> DataFrame:
+    """JSON-lines files as a stream of everything they hold, readable or not, for `landed_and_rejected`."""
+    reader = spark.readStream.options(**(options or {})).schema(_JSON_LAYOUT).options(**_JSON_OPTIONS)
+    return reader.json(path).select("*", F.col("_metadata.file_path").alias("file"))
+
+
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """The same for a frame or stream with the JSON text in `value`, as message queues deliver it."""
+    text = F.col("value").cast("string")
+    parsed = lines.select(F.from_json(text, _JSON_LAYOUT, _JSON_OPTIONS).alias("event")).select("event.*")
+    return parsed.withColumn("file", F.lit(None).cast("string"))
+
+
+def landed_and_rejected(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The raw events of parsed input, and what does not fit: file, line, reason.
+
+    `unreadable`: no JSON object, or a value that is not of its type, with the line as it came. `no_time`: an event
+    without a time; its line is written anew from its columns.
+    """
+    again = F.to_json(F.struct(*[c for c in RAW_COLUMNS if c != "event_time"]))
+    reason = F.when(F.col(CORRUPT).isNotNull(), "unreadable").otherwise("no_time")
+    rejected = parsed.where(~_fits()).select("file", F.coalesce(F.col(CORRUPT), again).alias("line"), reason.alias("reason"))
+    return _landed(parsed), rejected
+
+
 def write_json(raw: DataFrame, path: str, mode: str = "append") -> None:
     """Raw events as JSON lines with the payload nested as it is, ready for `read_raw` and `stream_raw`."""
     envelope = [c for c in RAW_COLUMNS if c not in ("event_time", "payload")]

@@ -19,14 +19,17 @@ from pyspark.sql import types as T
 
 from opsight.functions import as_int, as_long, latest_by, span, utc_day
 from opsight.functions.timebox import moment
-from opsight.schemas import EVENT_TABLES, ORDER_STATES, STATIONS, TABLE_SCHEMAS
+from opsight.schemas import EVENT_TABLES, ORDER_STATES, QUARANTINE, STATIONS, TABLE_SCHEMAS
 from opsight.sources import manifest
 
 BUCKETS = 8  # of order states; fixed for the life of a root
 MERGED_BYTES = 128 << 20
 MERGE_FAN = 8
 LOADED_AS = "_load"  # in merged files: the load and stamp a row came with
-_CELLS = {ORDER_STATES: T.StructField("bucket", T.IntegerType())}
+_CELLS = {
+    ORDER_STATES: T.StructField("bucket", T.IntegerType()),
+    QUARANTINE: T.StructField("reason", T.StringType()),
+}
 
 
 def _cell(name: str) -> T.StructField:
@@ -78,12 +81,17 @@ def write_files(
     if not re.fullmatch(r"[\w.\-]+", str(batch_id)):
         raise ValueError(f"load {batch_id!r}: letters, digits, '.', '_' and '-' only")
     cell, folder = _cell(name).name, f"{batch_id}.{stamp}"
-    rows = conform(df, TABLE_SCHEMAS[name])
-    place = order_bucket() if name == ORDER_STATES else utc_day(rows)
+    schema = TABLE_SCHEMAS[name]
+    if name == QUARANTINE:
+        schema, place = T.StructType([*schema.fields, _cell(name)]), F.col(cell)
+    rows = conform(df, schema)
+    if name != QUARANTINE:
+        place = order_bucket() if name == ORDER_STATES else utc_day(rows)
     rows = rows.withColumns({cell: place, "batch_id": F.lit(folder)})
     if rebalance:
         rows = rows.hint("rebalance", cell)
-    rows.sortWithinPartitions(cell, "batch_id", "event_time").write.mode("append").partitionBy(cell, "batch_id").parquet(f"{root}/{name}")
+    order = [cell, "batch_id", *[c for c in ("event_time",) if c in rows.columns]]
+    rows.sortWithinPartitions(*order).write.mode("append").partitionBy(cell, "batch_id").parquet(f"{root}/{name}")
     return _written(df.sparkSession, root, name, folder)
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from opsight.functions import latest_by
 from opsight.operators.routing import fan_out
-from opsight.schemas import ORDER_STATES
+from opsight.schemas import ORDER_STATES, QUARANTINE
+from opsight.sources.events import landed_and_rejected
 from opsight.sources.tables import BUCKETS, MERGE_FAN, merge_order_states, read_table, write_table
 from opsight.streaming.runner import each_batch, load_ids
 
@@ -23,6 +25,25 @@ def stream_route(raw: DataFrame, root: str, checkpoint: str, every: str | None =
     return each_batch(raw, route, checkpoint, every)
 
 
+def stream_landing(parsed: DataFrame, root: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """As `stream_route`, for a stream of parsed input: what cannot be read goes into the quarantine of the same load.
+
+    Each micro-batch is parsed once, and its events and rejected lines are published together, so after a failure a
+    line is neither lost nor there twice. `read_table(spark, root, QUARANTINE)` has them by reason.
+    """
+    named = load_ids(parsed.sparkSession, checkpoint)
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        kept = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            landed, rejected = landed_and_rejected(kept)
+            fan_out(landed, root, named(batch_id), also={QUARANTINE: rejected})
+        finally:
+            kept.unpersist()
+
+    return each_batch(parsed, land, checkpoint, every)
+
+
 def stream_order_states(
     orders: DataFrame, root: str, checkpoint: str, every: str | None = None, merge_every: int = MERGE_FAN
 ) -> StreamingQuery:

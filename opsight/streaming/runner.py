@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -15,6 +16,18 @@ def _triggered(writer, every: str | None):
     return writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which keyed state with timers needs."""
+    key, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, provider)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def append_to(df: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Append results to parquet; without `every` the query ends when the available input is used up."""
     writer = df.writeStream.outputMode("append").format("parquet").option("path", path)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsight.functions import as_long, bucketed, payload_fields, span
+from opsight.functions import as_long, bucketed, not_blank, payload_fields, span
 from opsight.operators.operational import MIN_AVG_QUEUE, MIN_DELAY, MIN_QUEUE, delayed_with_queue, low_stock
 from opsight.operators.operational import negative_signals
 from opsight.operators.quality import LIFECYCLE
@@ -121,9 +121,10 @@ def stream_alerts_once(raw: DataFrame, late: str = "10m") -> DataFrame:
 def stream_open_orders(raw: DataFrame, patience: str = "1h", late: str = "10m") -> DataFrame:
     """Orders that were opened and then went quiet for `patience` without a payment.
 
-    Event-time sessions per order: state is a few counters per order and is dropped when the session closes.
+    Event-time sessions per order: state is a few counters per order and is dropped when the session closes. Steps
+    without an order id are left out: together they would be one session that never closes.
     """
-    steps = _watched(raw, late).where(F.col("event_name").isin(*LIFECYCLE))
+    steps = _watched(raw, late).where(F.col("event_name").isin(*LIFECYCLE) & not_blank("order_id"))
     sessions = steps.groupBy("order_id", F.session_window("event_time", _interval(patience)).alias("session")).agg(
         F.count_if(F.col("event_name") != ORDER_PAID).alias("opened"),
         F.count_if(F.col("event_name") == ORDER_DELAYED).alias("delays"),

@@ -5,14 +5,17 @@ import glob
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 from conftest import NOON, event, rows
 from shift import evening_shift
 
+from opsight.functions import latest_by
 from opsight.operators import dashboard, questions, routing
 from opsight.plans.catalog import TABLE_QUERIES, raw_events
 from opsight.plans.tables import OpsTables
 from opsight.schemas import EVENT_TABLES, ORDERS, RAW, TABLE_SCHEMAS
-from opsight.sources import events, stations, tables
+from opsight.sources import events, manifest, stations, tables
+from opsight.streaming import routes
 
 
 def test_json_lines_and_malformed(spark, folder):
@@ -147,3 +150,149 @@ def test_a_corrected_load_leaves_no_old_days(spark, raw, folder):
     assert rows(tables.read_table(spark, folder, RAW), "order_id") == [("2",), ("3",)]
     tables.write_table(raw(second).limit(0), folder, RAW, "L")
     assert rows(tables.read_table(spark, folder, RAW), "order_id") == [("3",)]
+
+
+def _parts(spark, folder, name):
+    return manifest.state(spark, folder).parts(name)[0]
+
+
+def _seen(spark, folder, name=RAW, column="order_id"):
+    return rows(tables.read_table(spark, folder, name), column)
+
+
+def test_a_load_that_dies_is_invisible_until_its_retry(spark, raw, folder, monkeypatch):
+    routing.fan_out(raw(event("order.created", 1, order="old")), folder, "first")
+    shift, real, written = raw(*evening_shift()), routing.write_files, []
+
+    def dies(df, root, name, *rest, **options):
+        if len(written) >= 3:
+            raise RuntimeError("lost")
+        written.append(name)
+        return real(df, root, name, *rest, **options)
+
+    monkeypatch.setattr(routing, "write_files", dies)
+    with pytest.raises(RuntimeError):
+        routing.fan_out(shift, folder, "second")
+    assert len(written) == 3  # their folders are there, no table shows them
+    assert _seen(spark, folder) == [("old",)] and _seen(spark, folder, ORDERS) == [("old",)]
+    monkeypatch.setattr(routing, "write_files", real)
+    routing.fan_out(shift, folder, "second")
+    assert tables.read_table(spark, folder, RAW).count() == 25 and tables.read_table(spark, folder, ORDERS).count() == 19
+    removed = manifest.vacuum(spark, folder, EVENT_TABLES, dt.timedelta(0))
+    assert {p.split(folder)[1].split("/")[1] for p in removed} == set(written)
+    assert tables.read_table(spark, folder, RAW).count() == 25
+
+
+def test_tables_of_one_state_belong_together(spark, raw, folder):
+    routing.fan_out(raw(event("order.created", 1, order="a")), folder, 0)
+    before = OpsTables.stored(spark, folder)
+    routing.fan_out(raw(event("order.created", 2, order="b")), folder, 1)
+    assert before.raw.count() == before.orders.count() == 1
+    assert OpsTables.stored(spark, folder).orders.count() == 2
+
+
+def _many_loads(spark, raw, folder, n, table=RAW, days=1):
+    """n loads of one event each, published one by one like micro-batches; written by one job to save time."""
+    events_ = [event("order.created", NOON + dt.timedelta(days=i % days, seconds=i), order=f"o{i % 90}") for i in range(n)]
+    frame = raw(*events_) if table == RAW else routing.route_orders(raw(*events_))
+    stamp, cell = manifest.new_stamp(), "bucket" if table == "order_states" else "event_date"
+    number = F.unix_seconds("event_time") % 86_400 - 43_200
+    placed = frame.withColumns({
+        cell: tables.order_bucket() if cell == "bucket" else F.to_date("event_time"),
+        "batch_id": F.concat(F.lit("s-"), number.cast("string"), F.lit(f".{stamp}")),
+    })
+    placed.repartition("batch_id").write.partitionBy(cell, "batch_id").parquet(f"{folder}/{table}")
+    found = manifest.Files(spark, folder).matching(f"{folder}/{table}/*/*/*.parquet")
+    loads = {}
+    for path, size in found:
+        place, load = (p.split("=")[1] for p in path.split("/")[-3:-1])
+        loads.setdefault(manifest.split_name(load)[0], {})[place] = [1, size]
+    for load, cells in loads.items():
+        manifest.publish_load(spark, folder, load, stamp, {table: cells})
+    return frame
+
+
+def test_small_files_of_closed_days_are_merged(spark, raw, folder):
+    expected = rows(_many_loads(spark, raw, folder, 500, days=2))
+    assert len(_parts(spark, folder, RAW)) == 500
+    reader = tables.read_table(spark, folder, RAW)
+    assert tables.merge_days(spark, folder, "2024-01-02", (RAW,)) == 1  # the second day is still open
+    parts = _parts(spark, folder, RAW)
+    assert len(parts) == 251 and sum(p.level for p in parts) == 1
+    assert len(glob.glob(f"{folder}/_manifest/*.json")) == 1
+    assert rows(reader.drop("event_date")) == expected  # planned before, read after
+    assert rows(tables.read_table(spark, folder, RAW).drop("event_date")) == expected
+    manifest.vacuum(spark, folder, (RAW,), dt.timedelta(0))
+    assert rows(tables.read_table(spark, folder, RAW).drop("event_date")) == expected
+    assert len(glob.glob(f"{folder}/{RAW}/event_date=2024-01-01/*/*.parquet")) == 1
+    assert tables.merge_days(spark, folder, "2024-01-02", (RAW,)) == 0
+
+
+def test_corrected_loads_replace_merged_rows(spark, raw, folder):
+    for i in range(3):
+        tables.write_table(raw(event("order.created", i, order=f"v1-{i}")), folder, RAW, i)
+    tables.merge_days(spark, folder, "2024-01-02", (RAW,))
+    tables.write_table(raw(event("order.created", 1, order="v2-1")), folder, RAW, 1)
+    assert _seen(spark, folder) == [("v1-0",), ("v1-2",), ("v2-1",)]
+    assert rows(tables.read_table(spark, folder, RAW, 1), "order_id") == [("v2-1",)]
+    assert rows(tables.read_table(spark, folder, RAW, 2), "order_id") == [("v1-2",)]
+    assert tables.merge_days(spark, folder, "2024-01-02", (RAW,)) == 1  # masked rows go
+    assert manifest.state(spark, folder).parts(RAW)[1] == [] and len(_parts(spark, folder, RAW)) == 1
+    assert _seen(spark, folder) == [("v1-0",), ("v1-2",), ("v2-1",)]
+    tables.clear_tables(spark, folder)
+    assert _seen(spark, folder) == []
+    tables.write_table(raw(event("order.created", 1, order="new")), folder, RAW, 1)
+    assert _seen(spark, folder) == [("new",)]
+
+
+def test_two_merges_at_once_count_once(spark, raw, folder, monkeypatch):
+    for i in range(4):
+        tables.write_table(raw(event("order.created", i, order=str(i))), folder, RAW, i)
+    stale = manifest.state(spark, folder)
+    tables.merge_days(spark, folder, "2024-01-02", (RAW,))
+    monkeypatch.setattr(tables.manifest, "state", lambda *_: stale)  # a second one that saw nothing of the first
+    tables.merge_days(spark, folder, "2024-01-02", (RAW,))
+    monkeypatch.undo()
+    assert _seen(spark, folder) == [("0",), ("1",), ("2",), ("3",)]
+    assert len(_parts(spark, folder, RAW)) == 1
+
+
+def test_bins_and_levels():
+    part = [manifest.Part("d", f"p{i}", 0, 1, size, ()) for i, size in enumerate((90, 30, 30, 30, 20, 10))]
+    assert [sorted(p.size for p in b) for b in tables.packed_bins(part, 100)] == [[10, 30, 30, 30], ]
+    assert tables.packed_bins(part[:2], 100) == []  # one small file alone stays
+    runs = [manifest.Part("0", f"r{i}", level, 1, 1, ()) for i, level in enumerate((0, 0, 0, 1, 1))]
+    assert [len(g) for g in tables.full_levels(runs, 3)] == [3]
+
+
+def test_order_states_are_merged_by_level(spark, raw, folder):
+    log = _many_loads(spark, raw, folder, 300, "order_states")
+    expected = rows(latest_by(log, "order_id"), "order_id", "event_id")
+    tables.merge_order_states(spark, folder, 8)
+    parts = _parts(spark, folder, "order_states")
+    assert len(parts) == tables.BUCKETS and {p.level for p in parts} == {1}
+    manifest.vacuum(spark, folder, ("order_states",), dt.timedelta(0))
+    current = routes.current_orders(spark, folder)
+    assert rows(current, "order_id", "event_id") == expected
+    assert len(current.inputFiles()) == len(parts) < 300
+    one = routes.current_orders(spark, folder, ["o7"])
+    assert rows(one, "order_id", "event_id") == [r for r in expected if r[0] == "o7"]
+    assert "PartitionFilters: [isnotnull(bucket" in one._jdf.queryExecution().toString()
+    assert routes.current_orders(spark, folder, []).count() == 0
+
+
+def test_checkpoints_change_nothing(spark, raw, folder):
+    for i in range(3):
+        tables.write_table(raw(event("order.created", i, order=str(i))), folder, RAW, i)
+    tables.expire(spark, folder, "2024-01-30")
+    manifest.checkpoint(spark, folder)
+    manifest.checkpoint(spark, folder)
+    assert _seen(spark, folder) == [("0",), ("1",), ("2",)] and len(glob.glob(f"{folder}/_manifest/*.json")) == 1
+    tables.expire(spark, folder, "2024-03-30")
+    manifest.checkpoint(spark, folder)
+    assert _seen(spark, folder) == []
+
+
+def test_load_names_that_are_no_folder_names_are_refused(spark, raw, folder):
+    with pytest.raises(ValueError):
+        tables.write_table(raw(event("order.created", 0)), folder, RAW, "a/b")
