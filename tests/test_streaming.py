@@ -1,6 +1,7 @@
 """Streams against their batch counterparts, fed file by file."""
 
 import datetime as dt
+from pathlib import Path
 
 from conftest import NOON, event, rows
 from shift import evening_shift
@@ -8,8 +9,9 @@ from shift import evening_shift
 from opsight.functions import latest_by
 from opsight.operators import dashboard, operational, routing, rules
 from opsight.plans.tables import OpsTables
-from opsight.sources import events, tables
-from opsight.streaming import routes, runner, windows
+from opsight.schemas import QUARANTINE
+from opsight.sources import events, manifest, tables
+from opsight.streaming import open_orders, routes, runner, windows
 
 ONE_BY_ONE = {"maxFilesPerTrigger": "1"}
 
@@ -131,3 +133,92 @@ def test_open_orders(spark, raw, folder):
         ("open", NOON, NOON + dt.timedelta(hours=1), 0),
         ("slow", NOON + dt.timedelta(seconds=60), NOON + dt.timedelta(seconds=600 + 3600), 1),
     ]
+
+
+def test_overdue_orders_by_timers(spark, raw, folder):
+    """The same answers as session windows; late steps join stretches, late payments leave nothing to report."""
+
+    def step(name, at, order):
+        return event(name, at, order=order)
+
+    path = _feed(
+        raw,
+        folder,
+        [step("order.created", 0, "paid"), step("order.created", 0, "open"), step("order.created", 60, "slow"), step("order.created", 5, "")],
+        [step("order.created", 0, "bridged"), step("order.prep.delayed", 6000, "bridged"), step("order.created", 0, "late")],
+        [step("order.prep.delayed", 600, "slow"), step("payment.completed", 900, "paid"), step("order.prep.delayed", 3000, "bridged")],
+        [step("payment.completed", 500, "late"), step("order.created", 20_000, "again")],
+        _closing(),
+    )
+    names = ["order_id", "opened_at", "overdue_at", "opened", "delays"]
+    with runner.rocksdb_state(spark):
+        timers = rows(runner.appended(spark, open_orders.stream_overdue_orders(_stream(spark, path), late="3h"), f"{folder}/timers"), *names)
+    sessions = rows(runner.appended(spark, windows.stream_open_orders(_stream(spark, path), late="3h"), f"{folder}/sessions"), *names)
+    assert timers == sessions
+    assert [r[0] for r in timers] == ["again", "bridged", "open", "slow"]
+    assert timers[1][1:] == (NOON, NOON + dt.timedelta(seconds=6000 + 3600), 3, 2)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+def _lines(folder, name, lines):
+    Path(f"{folder}/in").mkdir(exist_ok=True)
+    Path(f"{folder}/in/{name}.json").write_text("\n".join(lines), encoding="utf-8")
+
+
+def test_unreadable_lines_are_kept_with_their_load(spark, folder, monkeypatch):
+    good = '{"event_time":"2024-01-01T12:00:00Z","event_id":"%s","event_name":"order.created","order_id":"o","payload":{"b":0.90}}'
+    _lines(folder, "1", [good % "a", '{"event_time":"2024-01-01T12:00:00Z","event_id":"b"', good % "c"])
+    _lines(folder, "2", ['{"event_time":"soon","event_id":"d"}', '{"event_id":"e","payload":{"x":1}}', "", "no json"])
+    root, checkpoint = f"{folder}/tables", f"{folder}/checkpoint"
+
+    def land():
+        parsed = events.stream_parsed(spark, f"{folder}/in", options=ONE_BY_ONE)
+        routes.stream_landing(parsed, root, checkpoint).awaitTermination()
+
+    real, dying = routing.publish_load, [True]
+
+    def publish(*args):
+        real(*args)
+        if dying:
+            dying.clear()
+            raise RuntimeError("lost after publishing")
+
+    monkeypatch.setattr(routing, "publish_load", publish)
+    try:
+        land()
+    except Exception as lost:  # noqa: BLE001
+        assert "lost after publishing" in str(lost)
+    land()  # the first micro-batch runs again under its name
+    assert rows(tables.read_table(spark, root, "raw_restaurant_events"), "event_id", "payload") == [("a", '{"b":0.90}'), ("c", '{"b":0.90}')]
+    assert tables.read_table(spark, root, "order_events").count() == 2
+    kept = rows(tables.read_table(spark, root, QUARANTINE), "reason", "line")
+    assert kept == [
+        ("no_time", '{"event_id":"e","payload":"{\\"x\\":1}"}'),
+        ("unreadable", "no json"),
+        ("unreadable", '{"event_time":"2024-01-01T12:00:00Z","event_id":"b"'),
+        ("unreadable", '{"event_time":"soon","event_id":"d"}'),
+    ]
+    files = {r.file.rsplit("/", 1)[1] for r in tables.read_table(spark, root, QUARANTINE).collect()}
+    assert files == {"1.json", "2.json"}
+
+
+def test_rejected_lines_of_a_queue(spark, raw):
+    shift = raw(*evening_shift())
+    text = spark.createDataFrame([("{}",), ("[1]",), ('{"event_time":"2024-01-01T12:00:00Z","event_id":"x"}',)], "value string")
+    landed, rejected = events.landed_and_rejected(events.parsed_lines(text))
+    assert rows(landed, "event_id") == [("x",)]
+    assert rows(rejected, "file", "reason") == [(None, "no_time"), (None, "unreadable")]
+    assert landed.columns == shift.columns
+
+
+def test_current_orders_stay_few_files(spark, raw, folder):
+    """Micro-batch by micro-batch: full levels are merged on the way, the answer stays that of the whole log."""
+    shift = evening_shift()
+    path = _feed(raw, folder, *[shift[i : i + 1] for i in range(len(shift))])
+    orders = routing.route_orders(_stream(spark, path))
+    routes.stream_order_states(orders, folder, f"{folder}/checkpoint", merge_every=4).awaitTermination()
+    expected = latest_by(routing.route_orders(raw(*shift)), "order_id")
+    current = routes.current_orders(spark, folder)
+    assert rows(current, "order_id", "event_id") == rows(expected, "order_id", "event_id")
+    parts, _ = manifest.state(spark, folder).parts("order_states")
+    assert max(p.level for p in parts) >= 1 and all(sum(q.cell == p.cell and q.level == p.level for q in parts) < 8 for p in parts)
