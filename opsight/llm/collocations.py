@@ -16,7 +16,6 @@ the phrase. Extra columns are not read.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
@@ -39,7 +38,8 @@ HEAD_ROWS = 1 << 16  # ranked phrases of all languages together
 HEAD = 4096  # ranked phrases of a language
 TILE = 512
 DENSE_SHARE = 16  # a tile becomes dense when a portion of text has a hit for every so many cells
-TILES_HELD = 24
+TILES_HELD = 16
+ROWS_OUT = 1 << 15
 PORTION_BYTES = 2 << 20
 BLANK = separators(b" \t")
 BREAK = separators(b".,;:!?\n\x0b\x0c\r")
@@ -143,6 +143,12 @@ def grouped(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, np.ndar
     return order[first], np.diff(np.append(first, len(order)))
 
 
+def small(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches that need little memory on both sides of the pipe."""
+    for start in range(0, batch.num_rows, ROWS_OUT):
+        yield batch.slice(start, ROWS_OUT)
+
+
 # --- words -----------------------------------------------------------------------------------------------------------
 
 
@@ -160,10 +166,8 @@ def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = np.arange(offsets[-1]) + np.repeat(found.starts[at] - offsets[:-1], lengths)
         text = LOWER[portion.data[where]]
         words = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(text))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names).take(pa.array(lang[at])), words.cast(pa.string()), pa.array(found.ids[at].view(np.int64)), pa.array(n)],
-            names=["lang", "word", "hash", "n"],
-        )
+        columns = [pa.array(names).take(pa.array(lang[at])), words.cast(pa.string()), pa.array(found.ids[at].view(np.int64)), pa.array(n)]
+        yield from small(pa.RecordBatch.from_arrays(columns, names=["lang", "word", "hash", "n"]))
 
 
 def word_table(texts: DataFrame, min_count: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
@@ -191,13 +195,15 @@ def phrase_keys(first: np.ndarray, ids: np.ndarray, size: int) -> np.ndarray:
 
 
 class Heads(NamedTuple):
-    """Ranked phrases: sorted keys with rank and language number; and the word ids of each (language, rank)."""
+    """Ranked phrases: sorted keys with rank and language number; the word ids of language l and rank r are row
+    `starts[l] + r` of `words`."""
 
     keys: np.ndarray
     ranks: np.ndarray
     langs: list[str]
     lang_of: np.ndarray
-    words: dict[tuple[int, int], tuple[int, ...]]
+    starts: np.ndarray
+    words: np.ndarray
 
 
 def single_keys(langs: list[str], ids: np.ndarray) -> np.ndarray:
@@ -231,17 +237,15 @@ def ranked(level: DataFrame, size: int, langs: list[str] | None = None) -> Heads
     found, columns = rows["lang"].to_pylist(), [rows[n].to_numpy().view(np.uint64) for n in names]
     langs = sorted(set(found)) if langs is None else langs
     number = {n: i for i, n in enumerate(langs)}
-    ranks, lang_of, words = np.full(len(found), -1), np.zeros(len(found), np.int64), {}
-    seen: dict[int, int] = defaultdict(int)
-    for row, name in enumerate(found):
-        code = number.get(name, -1)
-        if code >= 0 and seen[code] < HEAD:
-            lang_of[row], ranks[row] = code, seen[code]
-            words[code, seen[code]] = tuple(int(c[row]) for c in columns)
-            seen[code] += 1
+    lang_of = np.array([number.get(n, -1) for n in found], np.int64)
+    by_lang = np.argsort(lang_of, kind="stable")  # rows of a language stay in order of frequency
+    starts = np.searchsorted(lang_of[by_lang], np.arange(len(langs) + 1))
+    ranks = np.full(len(found), -1)
+    ranks[by_lang] = np.arange(len(found)) - np.append(starts, 0)[lang_of[by_lang]]
+    ranks[(lang_of < 0) | (ranks >= HEAD)] = -1
     keys = keys_of_rows(found, columns)
     order = np.argsort(keys)
-    return Heads(keys[order], ranks[order], langs, lang_of[order], words)
+    return Heads(keys[order], ranks[order], langs, lang_of[order], starts, np.stack(columns, 1)[by_lang])
 
 
 def rank_of(heads: Heads, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -299,8 +303,8 @@ class Tiles:
         for (lang, top, side), counts in self.held.items():
             cells = np.flatnonzero(counts)
             left, right = top * TILE + cells // TILE, side * TILE + cells % TILE
-            ids = [(*lefts.words[lang, a], *words.words[lang, b]) for a, b in zip(left.tolist(), right.tolist())]
-            yield lefts.langs[lang], np.array(ids, np.uint64).T, counts[cells]
+            ids = np.concatenate([lefts.words[lefts.starts[lang] + left].T, words.words[words.starts[lang] + right].T])
+            yield lefts.langs[lang], ids, counts[cells]
 
 
 def phrase_counts(texts: DataFrame, size: int, min_count: int, lefts: Heads, words: Heads, bitmap: np.ndarray, ambiguous: np.ndarray) -> DataFrame:
@@ -308,7 +312,7 @@ def phrase_counts(texts: DataFrame, size: int, min_count: int, lefts: Heads, wor
     shared = texts.sparkSession.sparkContext.broadcast((lefts, words, bitmap, ambiguous))
     names = [f"w{k}" for k in range(1, size + 1)]
 
-    def batch_of(langs: pa.Array, ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    def batch_of(langs: pa.Array, ids: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([langs, *[pa.array(c.view(np.int64)) for c in ids], pa.array(n)], names=["lang", *names, "n"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,9 +339,9 @@ def phrase_counts(texts: DataFrame, size: int, min_count: int, lefts: Heads, wor
             at = at[keep]
             columns = [found.ids[at + k] for k in range(size)]
             first, n = grouped(mixed(keys[at] * STEP + columns[-1]), lang[at], *columns)
-            yield batch_of(pa.array(langs).take(pa.array(lang[at][first])), [c[first] for c in columns], n)
+            yield from small(batch_of(pa.array(langs).take(pa.array(lang[at][first])), [c[first] for c in columns], n))
         for name, ids, n in tiles.rows(lefts, words):
-            yield batch_of(pa.array([name] * len(n), pa.string()), np.ascontiguousarray(ids), n)
+            yield from small(batch_of(pa.array([name]).take(pa.array(np.zeros(len(n), np.int8))), list(np.ascontiguousarray(ids)), n))
 
     schema = ", ".join(["lang string", *[f"{n} long" for n in names], "n long"])
     counted = texts.mapInArrow(rows, schema).groupBy("lang", *names).agg(F.sum("n").alias("f")).where(f"f >= {min_count}")
