@@ -97,7 +97,7 @@ def route_inventory(raw: DataFrame) -> DataFrame:
     )
 
 
-def route_agent(raw: DataFrame) -> DataFrame:
+def route_agent(raw: DataFrame, *also: str) -> DataFrame:
     recommendation, priority, confidence = payload_fields("recommendation_id", "priority", "confidence")
     return _routed(
         raw,
@@ -106,10 +106,11 @@ def route_agent(raw: DataFrame) -> DataFrame:
         *_strings("order_id"),
         as_int(priority).alias("priority"),
         as_double(confidence).alias("confidence"),
+        *also,
     )
 
 
-def route_approval(raw: DataFrame) -> DataFrame:
+def route_approval(raw: DataFrame, *also: str) -> DataFrame:
     recommendation, approver, status = payload_fields("recommendation_id", "approver", "approval_status")
     return _routed(
         raw,
@@ -117,6 +118,7 @@ def route_approval(raw: DataFrame) -> DataFrame:
         text(recommendation).alias("recommendation_id"),
         text(approver).alias("approver"),
         text(status).alias("approval_status"),
+        *also,
     )
 
 
@@ -131,6 +133,18 @@ def route_action(raw: DataFrame) -> DataFrame:
     )
 
 
+def with_event_name(tables, name: str) -> DataFrame:
+    """A table with the names of its events; tables that hold several kinds without naming them are routed again."""
+    if name == AGENT:
+        return route_agent(tables.raw, "event_name")
+    if name == APPROVAL:
+        return route_approval(tables.raw, "event_name")
+    rows, single = tables.by_name(name), {KITCHEN: KITCHEN_UPDATED, INVENTORY: INVENTORY_CHANGED}
+    if name in single:
+        return rows.withColumn("event_name", F.lit(single[name]))
+    return rows.withColumn("event_name", F.col("action_type")) if name == ACTION else rows
+
+
 ROUTES: dict[str, Callable[[DataFrame], DataFrame]] = {
     ORDERS: route_orders,
     KITCHEN: route_kitchen,

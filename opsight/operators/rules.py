@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import operator
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from opsight.functions import as_double, bucketed, payload_fields, span, text
+from opsight.functions import as_double, bucketed, span, text, until
 from opsight.operators.operational import MIN_DELAY, MIN_QUEUE, delayed_with_queue, low_stock
+from opsight.operators.routing import with_event_name
 from opsight.plans.rulebook import ALERT_TEXTS, DEFAULT_RULES
 from opsight.schemas import ORDER_DELAYED, RAW_COLUMNS
 
 MIN_OCCURRENCES = 3
 
+When = str | dt.datetime
+
 
 def delayed_order_alerts(orders: DataFrame, min_delay: float = MIN_DELAY, min_queue: int = MIN_QUEUE) -> DataFrame:
     return delayed_with_queue(orders, min_delay, min_queue).drop("event_id")
@@ -99,9 +105,6 @@ def channel_saturation_sliding(
     )
 
 
-# columns of the tables that hold numbers
-NUMBER_FIELDS = ("delay_minutes", "stock_pct", "threshold_pct", "capacity", "priority", "confidence")
-
 _COMPARE: dict[str, Callable[[Column, Column], Column]] = {
     ">=": operator.ge,
     "<=": operator.le,
@@ -110,12 +113,26 @@ _COMPARE: dict[str, Callable[[Column, Column], Column]] = {
     "==": operator.eq,
     "!=": operator.ne,
 }
+_PARSED = "_payload_"
+
+
+def _payload_keys(rules: list[dict]) -> list[str]:
+    tested = [t[k] for r in rules for t in r["condition"]["all"] for k in ("field", "fieldRef") if k in t]
+    return sorted({f.removeprefix("payload.") for f in tested if f.startswith("payload.")})
+
+
+def _with_payload(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Payload keys as text columns, from one parse a row: filters on what a generator makes stay above it."""
+    plain = [k for k in keys if "." not in k and "[" not in k]
+    if plain:
+        rows = rows.select(*rows.columns, F.json_tuple("payload", *plain).alias(*[_PARSED + k for k in plain]))
+    return rows.withColumns({_PARSED + k: F.get_json_object("payload", f"$.{k}") for k in keys if k not in plain})
 
 
 def _operand(name: str, numeric: bool) -> Column:
     if not name.startswith("payload."):
         return F.col(name)
-    (value,) = payload_fields(name.removeprefix("payload."))
+    value = F.col(f"`{_PARSED}{name.removeprefix('payload.')}`")
     return as_double(value) if numeric else text(value)
 
 
@@ -124,10 +141,11 @@ def _literal(value: bool | float | str) -> Column:
     return F.lit(str(value).lower() if isinstance(value, bool) else value)
 
 
-def rule_predicate(rule: dict) -> Column:
-    """All conditions of a rule as one predicate. Text and truth values that are missing count as blank."""
+def rule_predicate(rule: dict, rows: DataFrame) -> Column:
+    """All conditions of a rule as one predicate on `rows`. Text and truth values that are missing count as blank."""
     if "minimumOccurrences" in rule["condition"] and "window" not in rule["condition"]:
         raise ValueError(f"rule {rule['name']}: minimumOccurrences needs a window")
+    numbers = {f.name for f in rows.schema if isinstance(f.dataType, T.NumericType)}
     combined = F.lit(True)
     for test in rule["condition"]["all"]:
         if test["operator"] not in _COMPARE:
@@ -136,58 +154,85 @@ def rule_predicate(rule: dict) -> Column:
         value = test.get("value")
         ordered = test["operator"] not in ("==", "!=")
         number = isinstance(value, (int, float)) and not isinstance(value, bool)
-        numeric = number or ("fieldRef" in test and (ordered or any(f in NUMBER_FIELDS for f in fields)))
+        numeric = number or ("fieldRef" in test and (ordered or any(f in numbers for f in fields)))
         right = _operand(test["fieldRef"], numeric) if "fieldRef" in test else _literal(value)
         combined = combined & _COMPARE[test["operator"]](_operand(test["field"], numeric), right)
     return combined
 
 
-def _rule_source(tables, rule: dict) -> DataFrame:
-    """Rows a rule looks at. Tables that hold one kind of event have no event_name to test."""
-    source = tables.by_name(rule["source"]["table"])
+def _by_source(tables, rules: list[dict], as_of: When | None, lookback: str | None) -> list[tuple[DataFrame, list[tuple[int, dict]]]]:
+    """Each source table once, with the rules that look at it by number: their payload keys parsed, their event names
+    and the time range as filters on the scan."""
+    held: dict[str, list[tuple[int, dict]]] = {}
+    for number, rule in enumerate(rules):
+        held.setdefault(rule["source"]["table"], []).append((number, rule))
+    out = []
+    for table, numbered in held.items():
+        names = [rule["source"].get("eventName") for _, rule in numbered]
+        rows = until(with_event_name(tables, table) if any(names) else tables.by_name(table), as_of, lookback)
+        if all(names):
+            rows = rows.where(F.col("event_name").isin(sorted(set(names))))
+        out.append((_with_payload(rows, _payload_keys([rule for _, rule in numbered])), numbered))
+    return out
+
+
+def _applies(rule: dict) -> Column:
     name = rule["source"].get("eventName")
-    if not name:
-        return source
-    if "event_name" in source.columns:
-        return source.where(F.col("event_name") == name)
-    if "action_type" in source.columns:
-        return source.where(F.col("action_type") == name)
-    return source
+    return F.col("event_name") == name if name else F.lit(True)
+
+
+def _of_rule(values: list) -> Column:
+    """The value of a row's rule, from a list with one for each rule."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("number") + 1)
+
 
+def _widths(rules: list[dict], width: str | None = None) -> list[int]:
+    """Window of each rule in microseconds; rules without one have `width`, or none (0)."""
+    lengths = [rule["condition"].get("window", width) for rule in rules]
+    return [int(span(w).total_seconds() * 1_000_000) if w else 0 for w in lengths]
 
-def rule_hits(tables, rules: list[dict] = DEFAULT_RULES) -> DataFrame:
+
+def _bucket_start(rows: DataFrame, widths: list[int]) -> Column:
+    kind, micros = rows.schema["event_time"].dataType, F.unix_micros(F.col("event_time").cast("timestamp"))
+    width = _of_rule(widths)
+    start = F.timestamp_micros(micros - F.pmod(micros, width)).cast(kind)
+    return F.when(width > 0, start).otherwise(F.col("event_time"))
+
+
+def rule_hits(tables, rules: list[dict] = DEFAULT_RULES, as_of: When | None = None, lookback: str | None = None) -> DataFrame:
     """All rules over their tables: rule, key, event_time, occurrences, action, the key's column and the event.
 
     Rules without a window give one hit per matching event; windowed rules one per key and bucket that reaches the
-    minimum.
+    minimum. However many rules there are, each source table is scanned once and its payload parsed once a row: a row
+    is multiplied only by the rules it meets, and one aggregation counts for all of them. With `as_of` events up to it
+    count, with `lookback` those since.
     """
-
-    def hits(rule: dict) -> DataFrame:
-        matching = _rule_source(tables, rule).where(rule_predicate(rule))
-        key, condition = rule["keyField"], rule["condition"]
-        if "window" in condition:
-            found = (
-                bucketed(matching, condition["window"], [key], F.count("*").alias("occurrences"))
-                .where(F.col("occurrences") >= condition.get("minimumOccurrences", 1))
-                .withColumn("event_id", F.lit(""))
+    windowed = [bool(w) for w in _widths(rules)]
+    parts = []
+    for rows, numbered in _by_source(tables, rules, as_of, lookback):
+        met = [
+            F.when(
+                _applies(rule) & rule_predicate(rule, rows),
+                F.struct(F.lit(number).alias("number"), F.col(rule["keyField"]).cast("string").alias("key")),
             )
-        else:
-            found = matching.withColumn("occurrences", F.lit(1).cast("bigint"))
-        return found.select(
-            F.lit(rule["name"]).alias("rule"),
-            F.col(key).alias("key"),
-            "event_time",
-            "occurrences",
-            F.lit(rule["action"]["eventName"]).alias("action"),
-            F.lit(key).alias("key_field"),
-            F.col("event_id").alias("source_event"),
-        )
-
-    found = [hits(r) for r in rules]
-    total = found[0]
-    for more in found[1:]:
-        total = total.unionByName(more)
-    return total
+            for number, rule in numbered
+        ]
+        hit = rows.select("event_time", "event_id", F.explode(F.array_compact(F.array(*met))).alias("hit")).select("event_time", "event_id", "hit.*")
+        source = F.when(_of_rule(windowed), F.lit("")).otherwise(F.col("event_id"))
+        parts.append(hit.select("number", "key", _bucket_start(hit, _widths(rules)).alias("event_time"), source.alias("source_event")))
+    counted = reduce(DataFrame.unionByName, parts).groupBy("number", "key", "event_time", "source_event").agg(F.count("*").alias("n"))
+    least = _of_rule([rule["condition"].get("minimumOccurrences", 1) for rule in rules])
+    # events that were delivered twice are hits twice; a bucket is one hit or none
+    times = F.when(_of_rule(windowed), F.when(F.col("n") >= least, 1).otherwise(0)).otherwise(F.col("n"))
+    return counted.select("*", F.explode(F.array_repeat(F.lit(1), times.cast("int"))).alias("each")).select(
+        _of_rule([rule["name"] for rule in rules]).alias("rule"),
+        "key",
+        "event_time",
+        F.when(_of_rule(windowed), F.col("n")).otherwise(1).cast("bigint").alias("occurrences"),
+        _of_rule([rule["action"]["eventName"] for rule in rules]).alias("action"),
+        _of_rule([rule["keyField"] for rule in rules]).alias("key_field"),
+        "source_event",
+    )
 
 
 def hit_id(prefix: str) -> Column:
@@ -240,31 +285,33 @@ def alert_messages(hits: DataFrame, texts: dict[str, tuple[str, str]] = ALERT_TE
     )
 
 
-def rule_log(tables, rules: list[dict] = DEFAULT_RULES, width: str = "5m") -> DataFrame:
+def rule_log(
+    tables, rules: list[dict] = DEFAULT_RULES, width: str = "5m", as_of: When | None = None, lookback: str | None = None
+) -> DataFrame:
     """Per rule and time bucket: rows evaluated, rows that met the conditions, and hits.
 
-    Windowed rules are logged at their own window; there a hit is a key that reaches the minimum.
+    Windowed rules are logged at their own window; there a hit is a key that reaches the minimum. One scan for each
+    source table, as in `rule_hits`.
     """
-
-    def log(rule: dict) -> DataFrame:
-        condition, key = rule["condition"], rule["keyField"]
-        length = condition.get("window", width)
-        met = F.coalesce(rule_predicate(rule), F.lit(False))
-        rows = _rule_source(tables, rule).withColumn("met", met)
-        counts = [F.count("*").alias("evaluated"), F.count_if("met").alias("matched")]
-        if "window" in condition:
-            reached = F.count_if(F.col("matched") >= condition.get("minimumOccurrences", 1)).alias("hits")
-            counted = (
-                bucketed(rows, length, [key], *counts)
-                .groupBy("event_time")
-                .agg(F.sum("evaluated").alias("evaluated"), F.sum("matched").alias("matched"), reached)
+    windowed = [bool(w) for w in _widths(rules)]
+    parts = []
+    for rows, numbered in _by_source(tables, rules, as_of, lookback):
+        looked_at = [
+            F.when(
+                _applies(rule),
+                F.struct(
+                    F.lit(number).alias("number"),
+                    (F.col(rule["keyField"]).cast("string") if windowed[number] else F.lit(None).cast("string")).alias("key"),
+                    F.coalesce(rule_predicate(rule, rows), F.lit(False)).alias("met"),
+                ),
             )
-        else:
-            counted = bucketed(rows, length, [], *counts).withColumn("hits", F.col("matched"))
-        return counted.select(F.lit(rule["name"]).alias("rule"), "event_time", "evaluated", "matched", "hits")
-
-    logs = [log(r) for r in rules]
-    total = logs[0]
-    for more in logs[1:]:
-        total = total.unionByName(more)
-    return total
+            for number, rule in numbered
+        ]
+        seen = rows.select("event_time", F.explode(F.array_compact(F.array(*looked_at))).alias("seen")).select("event_time", "seen.*")
+        parts.append(seen.select("number", "key", "met", _bucket_start(seen, _widths(rules, width)).alias("event_time")))
+    counts = [F.count("*").alias("evaluated"), F.count_if("met").alias("matched")]
+    counted = reduce(DataFrame.unionByName, parts).groupBy("number", "event_time", "key").agg(*counts)
+    least = _of_rule([rule["condition"].get("minimumOccurrences", 1) for rule in rules])
+    hits = F.when(_of_rule(windowed), (F.col("matched") >= least).cast("bigint")).otherwise(F.col("matched"))
+    logged = counted.withColumn("hits", hits).groupBy("number", "event_time").agg(*[F.sum(c).alias(c) for c in ("evaluated", "matched", "hits")])
+    return logged.select(_of_rule([rule["name"] for rule in rules]).alias("rule"), "event_time", "evaluated", "matched", "hits")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opsight.operators import actions, dashboard, operational, quality, questions, routing, rules, signals
-from opsight.plans.rulebook import DEFAULT_RULES, with_window
+from opsight.plans.rulebook import DEFAULT_RULES, LARGER_RULES, with_window
 from opsight.plans.tables import OpsTables
 from opsight.schemas import EVENT_TABLES, OPERATIONAL_TABLES, QUARANTINE, RAW, TABLE_SCHEMAS
 from opsight.session import prepare, scratch
@@ -245,6 +245,8 @@ TABLE_QUERIES: dict[str, Callable[[OpsTables], DataFrame]] = {
     "A3_channel_saturation": lambda t: rules.channel_saturation(t.orders, BURST),
     "A3_channel_saturation_sliding": lambda t: rules.channel_saturation_sliding(t.orders, BURST),
     "A4_rules_from_config": lambda t: _hits(t).drop("key_field", "source_event"),
+    "A4_larger_book": lambda t: rules.rule_hits(t, LARGER_RULES).drop("key_field"),
+    "A4_rules_in_range": lambda t: rules.rule_hits(t, LARGER_RULES, AS_OF, DAY).drop("key_field", "source_event"),
     "A5_alert_actions": lambda t: rules.action_events_from_hits(_hits(t)),
     "A6_alert_messages": lambda t: rules.alert_messages(_hits(t)),
     "Q1_sla_risk": lambda t: questions.sla_risk(t.orders, t.stations, AS_OF, LOAD),
@@ -272,6 +274,7 @@ TABLE_QUERIES: dict[str, Callable[[OpsTables], DataFrame]] = {
     "L3_state_summary": lambda t: quality.state_summary(t.raw, t.orders),
     "L4_shift_summary": lambda t: quality.shift_summary(t.raw, AS_OF, SHIFT),
     "L5_rule_log": lambda t: rules.rule_log(t, RULES),
+    "L5_larger_book": lambda t: rules.rule_log(t, LARGER_RULES),
     "L6_chain_latency": lambda t: quality.chain_latency(t.agent, t.approval, t.action, AS_OF, DAY),
 }
 

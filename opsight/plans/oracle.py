@@ -306,6 +306,51 @@ def _alert_text(part: int) -> str:
     return f"CASE rule {cases} END"
 
 
+# the second rule book: name, rows of its source, condition, key, window, minimum
+_BOOK = [
+    ("LongDelay", "order_events WHERE event_name = 'order.prep.delayed'", "delay_minutes >= 10", "order_id", None, 1),
+    ("PremiumDelay", "order_events WHERE true", "json_extract_string(payload, '$.is_premium') = 'true' AND delay_minutes > 6", "order_id", None, 1),
+    ("UnhappyChannel", "order_events WHERE event_name = 'customer.sentiment.signal'", "json_extract_string(payload, '$.sentiment') = 'negative'", "channel", "12 hours", 2),
+    ("BusyStation", "kitchen_events WHERE true", "CAST(json_extract_string(payload, '$.queue_size') AS DOUBLE) >= 8", "station_id", "1 day", 3),
+    ("SmallStation", "kitchen_events WHERE true", "capacity < 5 AND json_extract_string(payload, '$.station_status') = 'saturated'", "station_id", None, 1),
+    ("EmptyStock", "inventory_events WHERE true", "stock_pct < 3", "ingredient_id", None, 1),
+    ("UrgentAdvice", "agent_events WHERE true", "priority = 1", "recommendation_id", None, 1),
+    ("OtherAdvice", "agent_events WHERE false", "true", "recommendation_id", None, 1),
+    ("Refused", "approval_events WHERE true", "approval_status = 'rejected'", "approver", "1 day", 2),
+    ("FailedThrottle", "action_events WHERE action_type = 'action.throttle_channel'", "action_status = 'failed'", "action_id", None, 1),
+]
+
+
+def _book_hits(bounds: str = "true", columns: str = "rule, key, event_time, occurrences, action, source_event") -> str:
+    parts = []
+    for name, source, test, key, window, least in _BOOK:
+        if window:
+            parts.append(
+                f"""SELECT '{name}' AS rule, {key} AS key, {_bucket(window)} AS event_time, count(*) AS occurrences, '' AS source_event
+                    FROM {source} AND {bounds} AND {test} GROUP BY ALL HAVING count(*) >= {least}"""
+            )
+        else:
+            parts.append(
+                f"""SELECT '{name}' AS rule, {key} AS key, event_time, CAST(1 AS BIGINT) AS occurrences, event_id AS source_event
+                    FROM {source} AND {bounds} AND {test}"""
+            )
+    return f"SELECT {columns} FROM (SELECT *, 'action.review.' || rule AS action FROM ({' UNION ALL '.join(parts)}))"
+
+
+def _book_log() -> str:
+    parts = []
+    for name, source, test, key, window, least in _BOOK:
+        group = key if window else "NULL"
+        hits = f"count(*) FILTER (matched >= {least})" if window else "sum(matched)"
+        parts.append(
+            f"""SELECT '{name}' AS rule, event_time, CAST(sum(evaluated) AS BIGINT) AS evaluated, CAST(sum(matched) AS BIGINT) AS matched,
+                  CAST({hits} AS BIGINT) AS hits
+                FROM (SELECT {_bucket(window or '5 minutes')} AS event_time, {group} AS k, count(*) AS evaluated,
+                        count(*) FILTER ({test}) AS matched FROM {source} GROUP BY ALL) GROUP BY event_time"""
+        )
+    return " UNION ALL ".join(parts)
+
+
 def oracle_queries() -> dict[str, str]:
     newest_orders = _newest("order_events", "order_id", _within("6 hours"))
     o2 = _q(
@@ -490,6 +535,8 @@ def oracle_queries() -> dict[str, str]:
                GROUP BY ALL)""",
         ),
         "A4_rules_from_config": _q("SELECT * EXCLUDE (key_field, source_event) FROM hits", _HITS),
+        "A4_larger_book": _q(_book_hits()),
+        "A4_rules_in_range": _q(_book_hits(_within("7 days"), "rule, key, event_time, occurrences, action")),
         "A5_alert_actions": _q(
             f"""SELECT event_time, 'evt-' || digest AS event_id, action AS event_name, 'action' AS entity_type,
                   'act-' || digest AS entity_id,
@@ -717,6 +764,7 @@ def oracle_queries() -> dict[str, str]:
                HAVING count(*) FILTER (event_name = 'order.created') > 0
                  AND max(event_time) FILTER (event_name = 'payment.completed') IS NOT NULL)""",
         ),
+        "L5_larger_book": _q(_book_log()),
         "L5_rule_log": _q(
             f"""SELECT 'DelayedOrderHighQueue' AS rule, {_bucket('5 minutes')} AS event_time, count(*) AS evaluated,
                   count(*) FILTER (delay_minutes >= 5 AND {_QUEUE} >= 7) AS matched,

@@ -65,6 +65,30 @@ ALERT_TEXTS = {
 # ---------------------------------------------------------------------------------------------------------------------
 
 
+def _own(name: str, table: str, key: str, tests: list[tuple], event: str | None = None, window: str | None = None, least: int = 1) -> dict:
+    """A rule of the larger example book; tests are (field, operator, value)."""
+    condition: dict = {"all": [{"field": f, "operator": o, "value": v} for f, o, v in tests]}
+    if window:
+        condition |= {"window": window, "minimumOccurrences": least}
+    source = {"table": table} | ({"eventName": event} if event else {})
+    return {"name": name, "source": source, "keyField": key, "condition": condition, "action": {"eventName": f"action.review.{name}"}}
+
+
+# a second book: rules on every table, by event name and without, with windows of different lengths
+LARGER_RULES = [
+    _own("LongDelay", "order_events", "order_id", [("delay_minutes", ">=", 10)], "order.prep.delayed"),
+    _own("PremiumDelay", "order_events", "order_id", [("payload.is_premium", "==", True), ("delay_minutes", ">", 6)]),
+    _own("UnhappyChannel", "order_events", "channel", [("payload.sentiment", "==", "negative")], "customer.sentiment.signal", "12h", 2),
+    _own("BusyStation", "kitchen_events", "station_id", [("payload.queue_size", ">=", 8)], "kitchen.station.updated", "1d", 3),
+    _own("SmallStation", "kitchen_events", "station_id", [("capacity", "<", 5), ("payload.station_status", "==", "saturated")]),
+    _own("EmptyStock", "inventory_events", "ingredient_id", [("stock_pct", "<", 3)]),
+    _own("UrgentAdvice", "agent_events", "recommendation_id", [("priority", "==", 1)], "agent.recommendation"),
+    _own("OtherAdvice", "agent_events", "recommendation_id", [], "agent.other"),
+    _own("Refused", "approval_events", "approver", [("approval_status", "==", "rejected")], "approval.decision", "1d", 2),
+    _own("FailedThrottle", "action_events", "action_id", [("action_status", "==", "failed")], "action.throttle_channel"),
+]
+
+
 def load_rules(path: str) -> list[dict]:
     """Rules from a JSON file: a list, or an object with `rules`."""
     content = json.loads(Path(path).read_text(encoding="utf-8"))

@@ -9,8 +9,9 @@ from conftest import NOON
 from shift import evening_shift
 
 from opsight.functions import latest_by, lookup
-from opsight.operators import actions, dashboard, operational, questions, routing
+from opsight.operators import actions, dashboard, operational, questions, routing, rules
 from opsight.plans.catalog import AS_OF, LOAD, QUERIES, ops_tables
+from opsight.plans.rulebook import LARGER_RULES
 from opsight.plans.tables import OpsTables
 from opsight.schemas import RAW, TABLE_SCHEMAS
 from opsight.sources import stations
@@ -161,3 +162,16 @@ def test_hot_recommendation_in_the_approval_gate(spark, without_broadcast):
                 if r.recommendation_id not in first or first[r.recommendation_id] > r.id]
     assert len(found) == len(expected)
     assert "skew=true" in plan(ungated)
+
+
+def test_rules_scan_each_source_once(spark, tmp_path):
+    """Ten rules on six tables: a scan for each source table, one shuffle, one parse a row."""
+    stored = str(tmp_path)
+    routing.fan_out(ops_tables(spark, FOLDER).raw, stored, "load")
+    text = plan(rules.rule_hits(OpsTables.stored(spark, stored), LARGER_RULES))
+    assert text.count("FileScan") == 6 and text.count("Exchange hashpartitioning") == 1
+    assert text.count("Generate json_tuple") == 2  # orders and kitchen: the others test no payload
+    pushed = re.findall(r"PushedFilters: \[([^\]]*)", text)
+    assert sum("event_name" in p or "action_type" in p for p in pushed) == 3  # agent and approval from raw, action
+    ranged = plan(rules.rule_hits(OpsTables.stored(spark, stored), LARGER_RULES, AS_OF, "7d"))
+    assert ranged.count("PartitionFilters: [isnotnull(event_date") == 6
