@@ -49,7 +49,7 @@ APPROVED = "approved"
 # ---------------------------------------------------------------------------------------------------------------------
 
 
-def _given(requests: DataFrame, name: str) -> Column:
+def given(requests: DataFrame, name: str) -> Column:
     """A request value as trimmed text, blank when missing."""
     if name not in requests.columns:
         return F.lit("")
@@ -58,7 +58,7 @@ def _given(requests: DataFrame, name: str) -> Column:
 
 def _parameter_error(requests: DataFrame, name: str, rule: dict) -> Column:
     """`<name>:<what is wrong>` or null; all parameters of a contract are required."""
-    value = _given(requests, name)
+    value = given(requests, name)
     checks = F.when(value == "", F.lit(f"{name}:required"))
     if "enum" in rule:
         checks = checks.when(~value.isin(*rule["enum"]), F.lit(f"{name}:enum"))
@@ -89,11 +89,11 @@ def action_events(requests: DataFrame, as_of: str | dt.datetime | None = None) -
     id is carried along when the request has one.
     """
     when = F.col("request_time") if as_of is None else instant(requests, as_of, "request_time")
-    order_id, station_id = _given(requests, "orderId"), _given(requests, "stationId")
+    order_id, station_id = given(requests, "orderId"), given(requests, "stationId")
     digest = F.substring(F.sha2(F.concat_ws("|", "request_id", order_id, station_id), 256), 1, 32)
     action_id = F.concat(F.lit("act-"), digest)
     recommendation = (
-        F.nullif(_given(requests, "recommendationId"), F.lit(""))
+        F.nullif(given(requests, "recommendationId"), F.lit(""))
         if "recommendationId" in requests.columns
         else F.lit(None).cast("string")
     )

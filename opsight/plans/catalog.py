@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opsight.operators import actions, dashboard, operational, quality, questions, routing, rules, signals
+from opsight.operators import actions, dashboard, loop, operational, quality, questions, routing, rules, signals
 from opsight.plans.rulebook import DEFAULT_RULES, LARGER_RULES, with_window
 from opsight.plans.tables import OpsTables
-from opsight.schemas import EVENT_TABLES, OPERATIONAL_TABLES, QUARANTINE, RAW, TABLE_SCHEMAS
+from opsight.schemas import ACTION, EVENT_TABLES, OPERATIONAL_TABLES, QUARANTINE, RAW, TABLE_SCHEMAS
 from opsight.session import prepare, scratch
 from opsight.sources import events as event_source
 from opsight.sources import stations as station_source
@@ -187,6 +187,28 @@ def _fan_out(spark: SparkSession, folder: str) -> DataFrame:
     return _shared_columns(spark, root, OPERATIONAL_TABLES)
 
 
+# --- the loop on stored tables ---
+
+
+def _action_loop(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests submitted twice: their events as they stand among the stored actions."""
+    root = scratch(spark, "loop")
+    routing.fan_out(raw_events(spark, folder), root, "load", from_storage=True)
+    for load in ("requests", "requests-again"):
+        loop.submit_requests(spark, root, _requests(spark, folder), load)
+    done = store.read_table(spark, root, ACTION).where(F.col("action_type").isin(*loop.EVENT_OF.values()))
+    return _plain(done.drop("event_date"))
+
+
+def _polled_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Polls whose ranges overlap, one of them repeated: what has been reported in the end."""
+    root = scratch(spark, "polls")
+    routing.fan_out(raw_events(spark, folder), root, "load", from_storage=True)
+    for as_of in ("2024-01-10", "2024-01-20", "2024-01-20", "2024-02-01"):
+        loop.poll_rules(spark, root, as_of, LARGER_RULES, late="2d", first="10d")
+    return _plain(loop.reported_hits(spark, root).drop("hit_id", "key_field"))
+
+
 # --- streaming ---
 
 
@@ -288,6 +310,8 @@ _FOLDER_QUERIES: dict[str, Query] = {
     "S6_clear_tables": _clear_tables,
     "S7_retention": _retention,
     "R8_fan_out": _fan_out,
+    "A4_polled_rules": _polled_rules,
+    "X1_action_loop": _action_loop,
     "X1_action_events": lambda spark, folder: actions.action_events(_requests(spark, folder)),
     "X2_validate_requests": lambda spark, folder: actions.validate_requests(_requests(spark, folder)).select(
         "request_id", "action", "valid", "errors"

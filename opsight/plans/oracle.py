@@ -831,5 +831,26 @@ def oracle_queries() -> dict[str, str]:
             six_hour_sessions,
         ),
     }
+    queries["A4_polled_rules"] = queries["A4_larger_book"]
+    requests, checked = queries["X2_validate_requests"].split("SELECT request_id, action, errors = ", 1)
+    event_of = """CASE action WHEN 'ReprioritizeOrder' THEN 'action.kitchen.reprioritized'
+      WHEN 'TriggerRestock' THEN 'action.restock.triggered' WHEN 'ThrottleChannel' THEN 'action.channel.throttled'
+      ELSE 'action.compensation.issued' END"""
+    queries["X1_action_loop"] = f"""{requests}
+      SELECT request_time AS event_time, 'evt-' || digest AS event_id, 'act-' || digest AS action_id, {event_of} AS action_type,
+        'approved' AS action_status, CASE WHEN action IN ('ReprioritizeOrder', 'TriggerRestock') THEN severity ELSE 'warning' END AS severity,
+        '{{"action_id":"act-' || digest || '","action_status":"approved",'
+          || CASE WHEN action = 'ReprioritizeOrder' THEN '"priority":"' || priority || '",' ELSE '' END || '"reason":"' || reason || '"'
+          || CASE WHEN action = 'ReprioritizeOrder' THEN ',"approved_by":"' || approved_by || '"' ELSE '' END
+          || CASE WHEN recommendation_id = '' THEN '' ELSE ',"recommendation_id":"' || recommendation_id || '"' END
+          || CASE action WHEN 'TriggerRestock' THEN ',"stock_pct":' || CAST(stock_pct AS DOUBLE)
+               WHEN 'ThrottleChannel' THEN ',"duration_minutes":' || minutes
+               WHEN 'IssueCompensation' THEN ',"compensation_type":"' || compensation || '"' ELSE '' END || '}}' AS payload
+      FROM (SELECT r.*, substr(sha256(CASE action
+                WHEN 'ReprioritizeOrder' THEN request_id || '|' || order_id || '|' || station_id
+                WHEN 'TriggerRestock' THEN request_id || '|' || action || '||' || ingredient_id || '|'
+                WHEN 'ThrottleChannel' THEN request_id || '|' || action || '|||' || channel
+                ELSE request_id || '|' || action || '|' || order_id || '||' END), 1, 32) AS digest
+            FROM requests r JOIN (SELECT request_id, action, errors = {checked}) c USING (request_id, action) WHERE valid)"""
     queries["T8_stream_open_orders_timers"] = queries["T8_stream_open_orders"]
     return queries

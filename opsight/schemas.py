@@ -89,3 +89,8 @@ TABLE_SCHEMAS[ORDER_STATES] = TABLE_SCHEMAS[ORDERS]
 RAW_COLUMNS = TABLE_SCHEMAS[RAW].fieldNames()
 QUARANTINE = "quarantined_lines"  # what the landing could not read; not an event table
 TABLE_SCHEMAS[QUARANTINE] = layout("file string, line string")
+RULE_HITS = "rule_hits"  # what polls of the rules have reported; not an event table
+TABLE_SCHEMAS[RULE_HITS] = layout(
+    "event_time timestamp, hit_id string, rule string, key string, occurrences bigint, action string, key_field string, "
+    "source_event string"
+)
