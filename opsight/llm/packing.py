@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opsight.llm.common import in_slices, stored
-from opsight.llm.tokens import token_ids
+from opsight.llm.tokens import library_ids
 
 SEQUENCE = 1024
 END_ID = 2
@@ -36,11 +36,11 @@ _PLAN = T.StructType(
 
 
 def tokenised(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, vocabulary: str = "byte_bpe_50k.tiktoken",
-    size: int = SEQUENCE, end_id: int = END_ID, with_ids: bool = False,
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, vocabulary: str = "byte_bpe_50k.json",
+    ranks: str = "byte_bpe_50k.tiktoken", size: int = SEQUENCE, end_id: int = END_ID, with_ids: bool = False,
 ) -> DataFrame:
     """Pieces of whole documents: doc_id, piece, start, length, ids_crc32 and, if asked for, the ids."""
-    path = public_tokenizers.path(vocabulary)
+    path, rank_path = public_tokenizers.path(vocabulary), public_tokenizers.path(ranks)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
@@ -48,7 +48,7 @@ def tokenised(
             if with_ids:
                 out["ids"] = []
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(token_ids(path, value.as_py()), np.uint32(end_id)).astype("<u4")
+                ids = np.append(library_ids(path, rank_path, value.as_py()), np.uint32(end_id)).astype("<u4")
                 first = len(ids) % size or size
                 for piece, end in enumerate(range(first, len(ids) + 1, size)):
                     start = max(0, end - size)

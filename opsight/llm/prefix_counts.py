@@ -51,11 +51,11 @@ _UNITS = regex.compile(rf"{_CONTRACTION}| ?\p{{L}}+| ?\p{{N}}+| ?[^\s\p{{L}}\p{{
 _RUN = regex.compile(r"\s*")
 _RUN_STARTS = frozenset(" \t\n\x0b\x0c\r")
 _LONG_CONTRACTIONS = ("'re", "'ve", "'ll")
-_LATE_LEAD = 0xD5  # first byte of the first character that `_late_characters` may hold
+LATE_LEAD = 0xD5  # first byte of the first character that `late_characters` may hold
 
 
 @functools.cache
-def _late_characters() -> regex.Pattern:
+def late_characters() -> regex.Pattern:
     """Letters and digits of newer Unicode versions than the vocabulary's library knows; to it they are symbols."""
     known = regex.findall(r"[\p{L}\p{N}]", "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000))
     late = [ord(c) for c in known if unicodedata.category(c) == "Cn"]
@@ -164,8 +164,8 @@ class PrefixCounter:
         if not text:
             return np.empty(0, CHANGE)
         seen = text
-        if not text.isascii() and np.frombuffer(text.encode(), np.uint8).max() >= _LATE_LEAD:
-            late = _late_characters()
+        if not text.isascii() and np.frombuffer(text.encode(), np.uint8).max() >= LATE_LEAD:
+            late = late_characters()
             seen = late.sub("\u2603", text) if late.search(text) else text
         marks = [m.span() for m in self.special.finditer(text)] if self.special and self.special.search(text) else []
         if not marks:

@@ -8,6 +8,9 @@ import functools
 import numpy as np
 import public_tokenizers
 import tiktoken
+from tokenizers import Tokenizer
+
+from opsight.llm.prefix_counts import LATE_LEAD, late_characters
 
 
 @functools.cache
@@ -27,3 +30,24 @@ def token_ids(path: str, text: str | None) -> np.ndarray:
     if not text:
         return np.empty(0, np.uint32)
     return np.array(encoder(path).encode_ordinary(text), np.uint32)
+
+
+@functools.cache
+def _library(path: str) -> tuple[Tokenizer, list[str]]:
+    tokenizer = Tokenizer.from_file(path)
+    return tokenizer, [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+
+def library_ids(path: str, rank_path: str, text: str | None) -> np.ndarray:
+    """Ids of a text as the `tokenizers` file at `path` gives them.
+
+    Its rank file encodes faster and gives the same ids, but for texts that spell a special token, and for letters that
+    one of the two libraries does not know yet; these go to the library itself.
+    """
+    if not text:
+        return np.empty(0, np.uint32)
+    tokenizer, special = _library(path)
+    late = not text.isascii() and np.frombuffer(text.encode(), np.uint8).max() >= LATE_LEAD and late_characters().search(text)
+    if late or any(s in text for s in special):
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+    return token_ids(rank_path, text)
