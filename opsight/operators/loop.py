@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsight.functions import as_int, as_double, instant, span
+from opsight.functions import as_double, as_int, instant, span, utc_day
 from opsight.functions.timebox import moment
 from opsight.operators.actions import APPROVED, CONTRACTS, DEFAULT_CHANNEL, DEFAULT_SEVERITY, REPRIORITIZED, given, validate_requests
 from opsight.operators.routing import fan_out
@@ -28,6 +28,7 @@ EVENT_OF = {
 # ---------------------------------------------------------------------------------------------------------------------
 
 When = str | dt.datetime
+_EPOCH = dt.datetime(1970, 1, 1)
 
 
 def request_events(requests: DataFrame, as_of: When | None = None) -> DataFrame:
@@ -90,7 +91,7 @@ def append_events(spark: SparkSession, root: str, events: DataFrame, load: str)
     state = manifest.state(spark, root)
     if state.load_parts(RAW, load)[1] is not None:
         return
-    day = F.to_date(F.col("event_time").cast("timestamp"))
+    day = utc_day(events)
     first, last = events.agg(F.min(day), F.max(day)).first()
     known = read_table(spark, root, RAW, state=state)
     known = known.where(F.col("event_date").between(F.lit(first), F.lit(last))) if first else known.limit(0)
@@ -119,20 +120,49 @@ def poll_rules(
     load = f"{name}-{end:%Y%m%dT%H%M%S.%f}"
     if mark is None or end > moment(mark):
         since = end - span(first) if mark is None else moment(mark) - span(late)
-        starts = [since - (since - dt.datetime(1970, 1, 1)) % span(r["condition"]["window"]) for r in rules if "window" in r["condition"]]
-        since = min([since, *starts])
-        found = rule_hits(OpsTables.stored(spark, root), rules, end, end - since)
-        found = found.withColumn("hit_id", hit_id("hit-")).dropDuplicates(["hit_id"])
-        known = read_table(spark, root, RULE_HITS, state=state)
-        known = known.where(F.col("event_date").between(F.lit(since.date()), F.lit(end.date()))).select("hit_id")
-        stamp = manifest.new_stamp()
-        cells = write_files(found.join(known, "hit_id", "left_anti"), root, RULE_HITS, load, stamp)
-        manifest.publish_load(spark, root, load, stamp, {RULE_HITS: cells}, {name: end.isoformat()})
+        evaluate_range(spark, root, rules, since, end, load, marks={name: end.isoformat()})
     return read_table(spark, root, RULE_HITS, load).drop("event_date")
 
 
+def evaluate_range(
+    spark: SparkSession,
+    root: str,
+    rules: list[dict],
+    since: dt.datetime,
+    end: dt.datetime,
+    load: str,
+    *,
+    marks: dict[str, str] | None = None,
+    growing: bool = False,
+) -> None:
+    """Store the hits of stored events from `since` to `end` that are not there yet, as one load.
+
+    The range begins earlier where `since` would cut a rule's window. With `growing` it also ends later where `end`
+    would cut one, and a windowed hit is stored again when its bucket has filled up further; `reported_hits` shows the
+    last count. A load that is there stays as it is.
+    """
+    state = manifest.state(spark, root)
+    if state.load_parts(RULE_HITS, load)[1] is not None:
+        return
+    windows = [span(r["condition"]["window"]) for r in rules if "window" in r["condition"]]
+    since = min([since, *[since - (since - _EPOCH) % w for w in windows]])
+    if growing:
+        end = max([end, *[end - (end - _EPOCH) % w + w - dt.timedelta(microseconds=1) for w in windows]])
+    found = rule_hits(OpsTables.stored(spark, root), rules, end, end - since)
+    found = found.withColumn("hit_id", hit_id("hit-")).dropDuplicates(["hit_id"])
+    known = read_table(spark, root, RULE_HITS, state=state)
+    known = known.where(F.col("event_date").between(F.lit(since.date()), F.lit(end.date())))
+    known = known.groupBy("hit_id").agg(F.max("occurrences").alias("reported"))
+    test = found["hit_id"] == known["hit_id"]
+    if growing:
+        test = test & (known["reported"] >= found["occurrences"])
+    stamp = manifest.new_stamp()
+    cells = write_files(found.join(known, test, "left_anti"), root, RULE_HITS, load, stamp)
+    manifest.publish_load(spark, root, load, stamp, {RULE_HITS: cells}, marks)
+
+
 def reported_hits(spark: SparkSession, root: str) -> DataFrame:
-    """All reported hits. Two pollers at the same moment may both store a hit; it is shown once, as counted last."""
+    """All reported hits, each once with its last count, also where it was stored more than once."""
     hits = read_table(spark, root, RULE_HITS).drop("event_date")
     newest = F.max_by(F.struct(*[c for c in hits.columns if c != "hit_id"]), "occurrences").alias("hit")
     return hits.groupBy("hit_id").agg(newest).select("hit_id", "hit.*")

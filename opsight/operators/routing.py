@@ -171,9 +171,9 @@ def fan_out(
     *,
     rebalance: bool = True,
     from_storage: bool = False,
-    also: dict[str, DataFrame] | None = None,
+    also: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
 ) -> None:
-    """Write one batch into raw and all six targets, and rows of other tables (`also`) along with it.
+    """Write one batch into raw and all six targets, and what `also` makes of it for other tables along with it.
 
     The batch is evaluated once. Micro-batches are kept for the seven writes; with `from_storage`, for large loads, the
     targets are routed from the raw files just written, which needs no room on the executors and survives their loss.
@@ -192,8 +192,7 @@ def fan_out(
         landed = read_files(spark, root, RAW, batch_id, stamp, written[RAW]) if from_storage else source
         with ThreadPoolExecutor(len(ROUTES)) as pool:
             run = inheritable_thread_target(spark)(write)
-            targets = {name: route(landed) for name, route in ROUTES.items()} | (also or {})
-            jobs = {name: pool.submit(run, name, rows) for name, rows in targets.items()}
+            jobs = {name: pool.submit(run, name, route(landed)) for name, route in (ROUTES | (also or {})).items()}
         written |= {name: job.result() for name, job in jobs.items()}
         publish_load(spark, root, str(batch_id), stamp, written)
     finally:

@@ -152,18 +152,20 @@ def signal_correlation(
     channel_width: str = "5m",
     min_delay: float = MIN_DELAY,
     signal_lookback: str | None = None,
+    delay_lookback: str | None = None,
 ) -> DataFrame:
-    """Per delay event in the window: five signals and how many of them hold.
+    """Per delay event up to `as_of`: five signals and how many of them hold.
 
-    Customer signals count over the whole history up to `as_of`; `signal_lookback` bounds it where that is wanted.
+    Station load is that of the last `lookback`. Delays and customer signals count over the whole history;
+    `delay_lookback` and `signal_lookback` bound them where that is wanted.
     """
     delayed = (
-        recent(orders, as_of, lookback)
+        until(orders, as_of, delay_lookback)
         .where(F.col("event_name") == ORDER_DELAYED)
         .select("event_time", "event_id", "order_id", "channel", "station_id", "delay_minutes")
     )
     crowded = (
-        channel_saturation(recent(orders, as_of, lookback), channel_width, channel=None, min_delay=min_delay)
+        channel_saturation(until(orders, as_of, delay_lookback), channel_width, channel=None, min_delay=min_delay)
         .select(F.col("event_time").alias("bucket"), "channel")
         .withColumn("channel_accumulating", F.lit(True))
     )

@@ -13,16 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opsight.operators import actions, dashboard, loop, operational, quality, questions, routing, rules, signals
+from opsight.operators import actions, dashboard, loop, operational, quality, questions, rollups, routing, rules, signals
 from opsight.plans.rulebook import DEFAULT_RULES, LARGER_RULES, with_window
 from opsight.plans.tables import OpsTables
-from opsight.schemas import ACTION, EVENT_TABLES, OPERATIONAL_TABLES, QUARANTINE, RAW, TABLE_SCHEMAS
+from opsight.schemas import ACTION, EVENT_TABLES, OPERATIONAL_TABLES, ORDER_CREATED, QUARANTINE, RAW, ROLLUP, TABLE_SCHEMAS
 from opsight.session import prepare, scratch
 from opsight.sources import events as event_source
 from opsight.sources import stations as station_source
 from opsight.sources import tables as store
 from opsight.sources.activity import raw_from_activity, read_activity, requests_from_activity, stream_activity
 from opsight.streaming import open_orders, routes, windows
+from opsight.streaming import rules as streamed_rules
 from opsight.streaming.runner import appended, rocksdb_state
 
 AS_OF = "2024-01-30 18:00:00"
@@ -187,6 +188,31 @@ def _fan_out(spark: SparkSession, folder: str) -> DataFrame:
     return _shared_columns(spark, root, OPERATIONAL_TABLES)
 
 
+# --- dashboards from partial aggregates ---
+
+
+def _rolled_up(query: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    """A query on the stored rollup (and raw) after a first load of every other event was corrected."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        root, raw = scratch(spark, "rollup"), raw_events(spark, folder)
+        for rows in (raw.where("CAST(substr(event_id, 5) AS long) % 2 = 0"), raw):
+            routing.fan_out(rows, root, "load", also={ROLLUP: rollups.minute_rollup})
+        return _plain(query(store.read_table(spark, root, ROLLUP), store.read_table(spark, root, RAW)))
+
+    return run
+
+
+def _sketch_error(rollup: DataFrame, raw: DataFrame) -> DataFrame:
+    """Orders created by day, counted exactly, and whether the united sketches are within five standard errors."""
+    created = F.col("event_name") == ORDER_CREATED
+    estimated = rollups.distinct_orders(rollup.where(created), "event_date")
+    exact = raw.where(created).groupBy("event_date").agg(F.count_distinct("order_id").alias("exact"))
+    bound = F.col("exact") * 0.08 + 1
+    near = F.abs(F.col("Total") - F.col("exact")) <= bound
+    return exact.join(estimated, "event_date").select(F.col("event_date").alias("day"), "exact", near.alias("within_bound"))
+
+
 # --- the loop on stored tables ---
 
 
@@ -232,6 +258,12 @@ def _stream_overdue(spark: SparkSession, folder: str) -> DataFrame:
         return _on_stream(lambda raw: open_orders.stream_overdue_orders(raw, LOAD), "overdue")(spark, folder)
 
 
+def _stream_rules(spark: SparkSession, folder: str) -> DataFrame:
+    root = scratch(spark, "rules")
+    streamed_rules.stream_rules(_raw_stream(spark, folder), root, f"{root}/checkpoint", lambda: LARGER_RULES).awaitTermination()
+    return _plain(loop.reported_hits(spark, root).drop("hit_id", "key_field"))
+
+
 def _hits(t: OpsTables) -> DataFrame:
     return rules.rule_hits(t, RULES)
 
@@ -310,6 +342,9 @@ _FOLDER_QUERIES: dict[str, Query] = {
     "S6_clear_tables": _clear_tables,
     "S7_retention": _retention,
     "R8_fan_out": _fan_out,
+    "D1_distinct_sketch": _rolled_up(_sketch_error),
+    "D5_throughput_rollup": _rolled_up(lambda rollup, raw: rollups.throughput(rollup)),
+    "D8_station_pressure_rollup": _rolled_up(lambda rollup, raw: rollups.station_pressure(rollup, AS_OF, HOUR)),
     "A4_polled_rules": _polled_rules,
     "X1_action_loop": _action_loop,
     "X1_action_events": lambda spark, folder: actions.action_events(_requests(spark, folder)),
@@ -326,6 +361,7 @@ _FOLDER_QUERIES: dict[str, Query] = {
     "T6_stream_delay_sentiment": _on_stream(lambda raw: windows.stream_delay_sentiment(raw, LOAD), "sentiment"),
     "T7_stream_alerts_once": _on_stream(windows.stream_alerts_once, "alerts"),
     "T8_stream_open_orders": _on_stream(lambda raw: windows.stream_open_orders(raw, LOAD), "open"),
+    "T7_stream_rules": _stream_rules,
     "T8_stream_open_orders_timers": _stream_overdue,
 }
 

@@ -384,7 +384,7 @@ def oracle_queries() -> dict[str, str]:
     )"""
     crowd = f"""crowd AS (
       SELECT {_bucket('6 hours')} AS bucket, channel, count(*) AS c FROM order_events
-      WHERE event_name = 'order.prep.delayed' AND delay_minutes >= 5 AND {_within('6 hours')} GROUP BY ALL)"""
+      WHERE event_name = 'order.prep.delayed' AND delay_minutes >= 5 AND event_time <= {_AS_OF} GROUP BY ALL)"""
     queries = {
         # sources, sinks, table maintenance
         "S1_read_raw": raw,
@@ -643,7 +643,7 @@ def oracle_queries() -> dict[str, str]:
                         EXISTS (SELECT 1 FROM crowd c WHERE c.bucket = {_bucket('6 hours', 'o.event_time')}
                                 AND c.channel = o.channel AND c.c >= 3) AS channel_accumulating,
                         order_id IN (SELECT order_id FROM negative WHERE event_time <= {_AS_OF}) AS negative_sentiment
-                      FROM order_events o WHERE event_name = 'order.prep.delayed' AND {_within('6 hours')})""",
+                      FROM order_events o WHERE event_name = 'order.prep.delayed' AND event_time <= {_AS_OF})""",
             _SATURATED,
             _CRITICAL_NOW,
             _NEGATIVE,
@@ -831,6 +831,13 @@ def oracle_queries() -> dict[str, str]:
             six_hour_sessions,
         ),
     }
+    queries["D5_throughput_rollup"] = queries["D5_throughput"]
+    queries["D8_station_pressure_rollup"] = queries["D8_station_pressure"]
+    queries["D1_distinct_sketch"] = _q(
+        """SELECT CAST(event_time AS DATE) AS day, count(DISTINCT order_id) AS exact, true AS within_bound
+           FROM order_events WHERE event_name = 'order.created' GROUP BY ALL"""
+    )
+    queries["T7_stream_rules"] = queries["A4_larger_book"]
     queries["A4_polled_rules"] = queries["A4_larger_book"]
     requests, checked = queries["X2_validate_requests"].split("SELECT request_id, action, errors = ", 1)
     event_of = """CASE action WHEN 'ReprioritizeOrder' THEN 'action.kitchen.reprioritized'

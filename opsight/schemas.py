@@ -13,6 +13,7 @@ _TYPES = {
     "int": T.IntegerType(),
     "double": T.DoubleType(),
     "boolean": T.BooleanType(),
+    "binary": T.BinaryType(),
 }
 
 
@@ -94,3 +95,5 @@ TABLE_SCHEMAS[RULE_HITS] = layout(
     "event_time timestamp, hit_id string, rule string, key string, occurrences bigint, action string, key_field string, "
     "source_event string"
 )
+ROLLUP = "minute_rollup"  # partial aggregates of raw; not an event table
+TABLE_SCHEMAS[ROLLUP] = layout("event_time timestamp, event_name string, station_id string, events bigint, orders binary")

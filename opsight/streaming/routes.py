@@ -8,19 +8,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from opsight.functions import latest_by
+from opsight.operators.rollups import minute_rollup
 from opsight.operators.routing import fan_out
-from opsight.schemas import ORDER_STATES, QUARANTINE
+from opsight.schemas import ORDER_STATES, QUARANTINE, ROLLUP
 from opsight.sources.events import landed_and_rejected
 from opsight.sources.tables import BUCKETS, MERGE_FAN, merge_order_states, read_table, write_table
 from opsight.streaming.runner import each_batch, load_ids
 
 
-def stream_route(raw: DataFrame, root: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Write each micro-batch into raw and the six tables; a repeated batch takes the place of its first try."""
+def stream_route(
+    raw: DataFrame, root: str, checkpoint: str, every: str | None = None, rollup: bool = False
+) -> StreamingQuery:
+    """Write each micro-batch into raw and the six tables; a repeated batch takes the place of its first try.
+
+    With `rollup` its partial aggregates are published along with it, for dashboards that refresh often.
+    """
     named = load_ids(raw.sparkSession, checkpoint)
 
     def route(batch: DataFrame, batch_id: int) -> None:
-        fan_out(batch, root, named(batch_id))
+        fan_out(batch, root, named(batch_id), also={ROLLUP: minute_rollup} if rollup else None)
 
     return each_batch(raw, route, checkpoint, every)
 
@@ -37,7 +43,7 @@ def stream_landing(parsed: DataFrame, root: str, checkpoint: str, every: str | N
         kept = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             landed, rejected = landed_and_rejected(kept)
-            fan_out(landed, root, named(batch_id), also={QUARANTINE: rejected})
+            fan_out(landed, root, named(batch_id), also={QUARANTINE: lambda _: rejected})
         finally:
             kept.unpersist()
 

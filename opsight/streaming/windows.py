@@ -77,7 +77,8 @@ def stream_delay_sentiment(raw: DataFrame, within: str = "1h", late: str = "10m"
     """Delayed orders with a negative signal at most `within` before or after the delay.
 
     Rows without a signal come out once both event kinds have moved past the time limit, so a closing event of each
-    kind is needed to see the last ones. Each side has a watermark of its own, and the slower one counts.
+    kind is needed to see the last ones. Each side has a watermark of its own, and the slower one counts. Delays
+    without an order id belong to no signal; they go past the join, so a blank id is no key of its state.
     """
     delayed = delayed_with_queue(route_orders(_watched(raw, late))).select(
         F.col("event_time").alias("delay_time"),
@@ -87,7 +88,7 @@ def stream_delay_sentiment(raw: DataFrame, within: str = "1h", late: str = "10m"
         "delay_minutes",
         "queue_size",
     )
-    signals = negative_signals(route_orders(_watched(raw, late))).select(
+    signals = negative_signals(route_orders(_watched(raw, late))).where(not_blank("order_id")).select(
         F.col("event_time").alias("signal_time"), "order_id", "reason"
     )
     near = F.expr(f"INTERVAL {_interval(within)}")
@@ -95,7 +96,11 @@ def stream_delay_sentiment(raw: DataFrame, within: str = "1h", late: str = "10m"
     in_time = (F.col("signal_time") >= F.col("delay_time") - near) & (
         F.col("signal_time") <= F.col("delay_time") + near
     )
-    return delayed.join(signals, same_order & in_time, "left").select(
+    named = delayed.where(not_blank("delayed_order")).join(signals, same_order & in_time, "left").drop("order_id")
+    nameless = delayed.where(~not_blank("delayed_order")).withColumns(
+        {"signal_time": F.lit(None).cast("timestamp"), "reason": F.lit(None).cast("string")}
+    )
+    return named.unionByName(nameless).select(
         "delay_time",
         F.col("delayed_order").alias("order_id"),
         "channel",

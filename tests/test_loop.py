@@ -105,3 +105,37 @@ def test_event_names_count_on_every_table(raw):
     assert rows(rules.rule_log(t, book), "rule", "evaluated", "hits") == [("action.a", 1, 1), ("agent.other", 1, 1)]
     nested = [{**rule("agent_events", "recommendation_id", "agent.other"), "condition": {"all": [{"field": "payload.recommendation_id", "operator": "==", "value": "R1"}]}}]
     assert rows(rules.rule_hits(t, nested)) == []
+
+
+def test_rules_on_a_stream_equal_batch_and_follow_their_file(spark, raw, folder):
+    """A book with event rules and windows, micro-batch by micro-batch; a bucket fills over two of them."""
+    import json
+
+    from opsight.plans.rulebook import DEFAULT_RULES, load_rules
+    from opsight.plans.tables import OpsTables
+    from opsight.sources import events
+    from opsight.streaming.rules import stream_rules
+
+    path, root, checkpoint = f"{folder}/rules.json", f"{folder}/tables", f"{folder}/checkpoint"
+    parts = [
+        [late_delivery(10, "a"), late_delivery(20, "b"), event("agent.recommendation", 25, payload={"recommendation_id": "R1", "priority": 1})],
+        [late_delivery(30, "c"), late_delivery(40, "d"), event("agent.recommendation", 50, payload={"recommendation_id": "R2", "priority": 1})],
+        [late_delivery(15, "late")],
+    ]
+    urgent = {"name": "Urgent", "source": {"table": "agent_events", "eventName": "agent.recommendation"}, "keyField": "recommendation_id",
+              "condition": {"all": [{"field": "priority", "operator": "==", "value": 1}]}, "action": {"eventName": "action.x"}}
+
+    def run(part, book):
+        with open(path, "w", encoding="utf-8") as out:
+            json.dump(book, out)
+        events.write_json(raw(*part).coalesce(1), f"{folder}/in")
+        stream_rules(events.stream_raw(spark, f"{folder}/in"), root, checkpoint, lambda: load_rules(path)).awaitTermination()
+        return rows(loop.reported_hits(spark, root), "rule", "key", "occurrences")
+
+    assert run(parts[0], DEFAULT_RULES) == [("DelayedOrderHighQueue", k, 1) for k in "ab"]
+    second = run(parts[1], [*DEFAULT_RULES, urgent])
+    assert ("DeliveryChannelSaturation", "delivery", 4) in second and ("Urgent", "R2", 1) in second
+    found = run(parts[2], [*DEFAULT_RULES, urgent])
+    batch = rules.rule_hits(OpsTables.from_raw(raw(*parts[0], *parts[1], *parts[2])), DEFAULT_RULES)
+    assert [r for r in found if r[0] != "Urgent"] == rows(batch, "rule", "key", "occurrences")
+    assert ("DeliveryChannelSaturation", "delivery", 5) in found

@@ -7,9 +7,9 @@ from conftest import NOON, event, rows
 from shift import evening_shift
 
 from opsight.functions import latest_by
-from opsight.operators import dashboard, operational, routing, rules
+from opsight.operators import dashboard, operational, rollups, routing, rules
 from opsight.plans.tables import OpsTables
-from opsight.schemas import QUARANTINE
+from opsight.schemas import QUARANTINE, ROLLUP
 from opsight.sources import events, manifest, tables
 from opsight.streaming import open_orders, routes, runner, windows
 
@@ -222,3 +222,42 @@ def test_current_orders_stay_few_files(spark, raw, folder):
     assert rows(current, "order_id", "event_id") == rows(expected, "order_id", "event_id")
     parts, _ = manifest.state(spark, folder).parts("order_states")
     assert max(p.level for p in parts) >= 1 and all(sum(q.cell == p.cell and q.level == p.level for q in parts) < 8 for p in parts)
+
+
+def test_rollup_follows_the_stream_and_corrections(spark, raw, folder):
+    shift = evening_shift()
+    path = _feed(raw, folder, shift[:9], shift[9:])
+    routes.stream_route(_stream(spark, path), folder, f"{folder}/checkpoint", rollup=True).awaitTermination()
+    as_of = NOON + dt.timedelta(minutes=5)
+
+    def same(events_):
+        rolled, whole = tables.read_table(spark, folder, ROLLUP), raw(*events_)
+        assert rows(rollups.throughput(rolled)) == rows(dashboard.throughput(whole))
+        orders = routing.route_orders(whole)
+        assert rows(rollups.station_pressure(rolled, as_of)) == rows(dashboard.station_pressure(orders, as_of))
+        assert rollups.orders_today(rolled, as_of).first()[0] == dashboard.orders_today(orders, as_of).first()[0]
+        return rolled
+
+    same(shift)
+    # another load, then its correction: old counts go with it, and merging changes nothing
+    more = [event("order.created", 30 + i, order=f"x{i}", station="grill") for i in range(5)]
+    routing.fan_out(raw(*more), folder, "late", also={ROLLUP: rollups.minute_rollup})
+    routing.fan_out(raw(*more[:2]), folder, "late", also={ROLLUP: rollups.minute_rollup})
+    same(shift + more[:2])
+    tables.merge_days(spark, folder, "2024-01-02", (ROLLUP,))
+    rolled = same(shift + more[:2])
+    # a refresh reads the rollup only
+    scans = [f for f in rollups.station_pressure(rolled, as_of).inputFiles()]
+    assert scans and all(f"/{ROLLUP}/" in f for f in scans)
+
+
+def test_delays_without_an_order_go_past_the_join(spark, raw, folder):
+    def delay(at, order):
+        return event("order.prep.delayed", at, order=order, payload={"delay_minutes": 9, "queue_size": 9})
+
+    def signal(at, order):
+        return event("customer.sentiment.signal", at, order=order, payload={"sentiment": "negative", "reason": "r"})
+
+    path = _feed(raw, folder, [delay(0, ""), delay(1, ""), signal(2, ""), signal(3, ""), delay(4, "a"), signal(5, "a")], _closing())
+    found = runner.appended(spark, windows.stream_delay_sentiment(_stream(spark, path)), folder).where("order_id <> 'end'")
+    assert rows(found, "order_id", "reason") == [("", None), ("", None), ("a", "r")]
