@@ -201,7 +201,7 @@ def _merge(
     if masked:
         rows = rows.where(F.col(LOADED_AS).isNull() | ~F.col(LOADED_AS).isin(masked))
     rows = rows.withColumn(LOADED_AS, F.coalesce(LOADED_AS, "batch_id")).withColumn("place", F.coalesce(F.col(cell).cast("string"), F.lit(manifest.NULL_CELL)))
-    rows = rows.join(F.broadcast(moves), ["place", "batch_id"]).drop("place", "batch_id")  # a row for each folder merged
+    rows = rows.join(moves, ["place", "batch_id"]).drop("place", "batch_id")  # a row for each folder merged
     rows = reduced(rows.withColumnRenamed("made", "batch_id")).repartition(cell, "batch_id")
     rows.sortWithinPartitions(cell, "batch_id", "event_time").write.mode("append").partitionBy(cell, "batch_id").parquet(f"{root}/{name}")
     generations = []
