@@ -14,6 +14,7 @@ from functools import reduce
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -225,6 +226,18 @@ def is_member(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bitmap[slot >> np.uint64(5)] >> (slot & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
 
 
+def split_by(df: DataFrame, bitmap: np.ndarray, column: str) -> tuple[DataFrame, DataFrame]:
+    """(the rows whose 64-bit value may be in a bitmap, all others), so that only the former need an exact join."""
+    shared = df.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def found(values: pd.Series) -> pd.Series:
+        return pd.Series(is_member(shared.value, values.to_numpy(np.int64).view(np.uint64)))
+
+    hit = found(column)
+    return df.where(hit), df.where(~hit)
+
+
 def components(edges: DataFrame, label: str, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of an edge: root is the smallest node that its links reach.
 

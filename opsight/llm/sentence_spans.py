@@ -6,8 +6,12 @@ cut as elsewhere. Every run of at least `sentences` consecutive sentences with a
 such run from each start) is hashed. Runs found more than once keep their first place, by (doc_id, text digest,
 position); the sentences of all other places go.
 
-Two passes: the first counts hashes only, the second sends just the runs whose hash repeats (through a bitmap of fixed
-size, then an exact join), so texts and places of unique runs are never shuffled for counting.
+Texts are cut and hashed once; their run hashes are stored as numbers beside them. A bitmap of fixed size then picks the
+places of runs that repeat, so unique runs are not sent a second time (its false finds are counted as unique later), and
+a bitmap of the documents with spans picks the texts that are joined and cut: all others pass as they are.
+
+A run that is found very often is no hot key: at most `HOT_RUNS` runs can hold more than that part of all places, and the
+first places of those are broadcast. All other runs are joined by hash.
 
 Null and empty texts have no sentences and stay as they are. Rows that repeat id and text are one document: they get
 the same result. A null doc_id comes first. A run that repeats inside one document counts like any other. Extra columns
@@ -23,11 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsight.llm.common import WHITE, in_slices, is_member, membership, mixed, null_safe_join, separators, stored, text_key, word_hashes
+from opsight.llm.common import (
+    WHITE, in_slices, is_member, membership, mixed, null_safe_join, separators, split_by, stored, text_key, text_slices,
+    word_hashes,
+)
 
 SENTENCES = 3
 MIN_WORDS = 16
 CUT_EVERY = 6
+HOT_RUNS = 1000
 ENDS = separators(b".!?")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -68,46 +76,60 @@ def runs(sizes: np.ndarray, hashes: np.ndarray, least: int = SENTENCES, min_word
     return mixed(out), start, last
 
 
-def _arrow(**columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], names=list(columns))
-
-
-def run_hashes(docs: DataFrame, least: int, min_words: int) -> DataFrame:
-    """The hash of every run of every document."""
+def hashed(docs: DataFrame, least: int, min_words: int) -> DataFrame:
+    """doc_id, key, text, doc (a hash of id and key), n_sentences, runs, lasts: the runs start at sentences 0, 1, ..."""
+    schema = "doc_id long, key string, text string, doc long, n_sentences long, runs array<long>, lasts array<int>"
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_slices(batches):
-            found = [np.empty(0, np.uint64)]
-            for value in batch.column(0):
+        for batch in text_slices(batches, 2):
+            totals, found, lasts = [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            for value in batch.column(2):
                 _, sizes, hashes = sentences((value.as_py() or "").encode())
-                found.append(runs(sizes, hashes, least, min_words)[0])
-            yield _arrow(run=(np.concatenate(found).view(np.int64), pa.int64()))
+                run, _, last = runs(sizes, hashes, least, min_words)
+                totals.append(len(sizes))
+                found.append(run)
+                lasts.append(last)
+            offsets = pa.array(np.cumsum([len(x) for x in found]), pa.int32())
+            lists = [np.concatenate(found).view(np.int64), np.concatenate(lasts).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(totals, pa.int64()), *[pa.ListArray.from_arrays(offsets, pa.array(x)) for x in lists]],
+                names=[*batch.schema.names, "n_sentences", "runs", "lasts"],
+            )
 
-    return docs.select("text").mapInArrow(emit, "run long")
+    return docs.select("doc_id", "key", "text", F.xxhash64("doc_id", "key").alias("doc")).mapInArrow(emit, schema)
 
 
-def places(docs: DataFrame, wanted: np.ndarray, least: int, min_words: int) -> DataFrame:
+def places(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
     """run, doc_id, key, first, last for the runs in a bitmap."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    shared = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
-            parts, row = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))], [np.empty(0, np.int64)]
-            for i, value in enumerate(batch.column(2)):
-                _, sizes, hashes = sentences((value.as_py() or "").encode())
-                found = runs(sizes, hashes, least, min_words)
-                hit = is_member(shared.value, found[0])
-                parts.append(tuple(x[hit] for x in found))
-                row.append(np.full(int(hit.sum()), i))
-            hashes, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
-            at = pa.array(np.concatenate(row), pa.int64())
+            lists = batch.column(2)
+            hashes, last = lists.flatten().to_numpy(), batch.column(3).flatten().to_numpy()
+            sizes = np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            first = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            hit = is_member(shared.value, hashes.view(np.uint64))
+            at = pa.array(row[hit], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at),
-                 pa.array(first, pa.int32()), pa.array(last, pa.int32())],
+                [pa.array(hashes[hit], pa.int64()), batch.column(0).take(at), batch.column(1).take(at),
+                 pa.array(first[hit], pa.int32()), pa.array(last[hit], pa.int32())],
                 names=["run", "doc_id", "key", "first", "last"],
             )
 
-    return docs.select("doc_id", "key", "text").mapInArrow(emit, "run long, doc_id long, key string, first int, last int")
+    return texts.select("doc_id", "key", "runs", "lasts").mapInArrow(emit, "run long, doc_id long, key string, first int, last int")
+
+
+def not_first(found: DataFrame) -> DataFrame:
+    """The places of runs that are found more than once, without the first one of each."""
+    here = F.struct("doc_id", "key", "first")
+    firsts = found.groupBy("run").agg(F.min(here).alias("kept"), F.count("*").alias("n")).where("n > 1")
+    firsts = stored(firsts, "firsts")
+    total = firsts.agg(F.sum("n")).first()[0] or 0
+    hot = firsts.where(F.col("n") * HOT_RUNS > total).select("run", "kept")  # fewer than HOT_RUNS rows
+    usual = found.join(F.broadcast(hot.select("run")), "run", "left_anti").join(firsts.drop("n"), "run")
+    return usual.unionByName(found.join(F.broadcast(hot), "run")).where(here != F.col("kept"))
 
 
 def without(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -128,29 +150,27 @@ def deduplicated(
 ) -> DataFrame:
     """doc_id, text, n_sentences, n_removed for every row."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(text).alias("key"), F.col(text).alias("text"))
-    counts = run_hashes(docs, least, min_words).groupBy("run").agg(F.count("*").alias("n"))
-    repeated = stored(counts.where("n > 1").select("run"), "repeated")
-    found = places(docs, membership(repeated, "run"), least, min_words).join(repeated, "run", "left_semi")
-    found = stored(found.distinct(), "places")
-    here = F.struct("doc_id", "key", "first")
-    firsts = found.groupBy("run").agg(F.min(here).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # one row per hash on the right; the adaptive skew join splits a hash that a third of all rows hold
-    gone = found.join(firsts, "run").where(here != F.col("kept"))
-    spans = stored(gone.groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans")
+    texts = stored(hashed(docs, least, min_words), "runs")
+    counts = texts.select(F.explode("runs").alias("run")).groupBy("run").agg(F.count("*").alias("n"))
+    found = stored(places(texts, membership(counts.where("n > 1"), "run")), "places")
+    spans = not_first(found).groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    spans = stored(spans, "spans")
+    marked = membership(spans.select(F.xxhash64("doc_id", "key").alias("doc")), "doc")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_slices(batches):
-            texts, totals, removed = [], [], []
-            for value, found in zip(batch.column(1), batch.column(2), strict=True):
-                whole, marked = value.as_py(), found.as_py() or []
-                raw, n, k = without((whole or "").encode(), [(s["first"], s["last"]) for s in marked])
-                texts.append(raw.decode() if k else whole)
-                totals.append(n)
+        for batch in text_slices(batches, 1):
+            made, removed = [], []
+            for value, found in zip(batch.column(1), batch.column(3), strict=True):
+                whole = value.as_py()
+                raw, _, k = without((whole or "").encode(), [(s["first"], s["last"]) for s in found.as_py() or []])
+                made.append(raw.decode() if k else whole)
                 removed.append(k)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(removed, pa.int64())],
+                [batch.column(0), pa.array(made, pa.string()), batch.column(2), pa.array(removed, pa.int64())],
                 names=["doc_id", "text", "n_sentences", "n_removed"],
             )
 
-    both = null_safe_join(docs, spans, ["doc_id", "key"], "left").select("doc_id", "text", "spans")
-    return both.mapInArrow(cut, "doc_id long, text string, n_sentences long, n_removed long")
+    maybe, others = split_by(texts.select("doc_id", "key", "text", "doc", "n_sentences"), marked, "doc")
+    both = null_safe_join(maybe, spans, ["doc_id", "key"], "left").select("doc_id", "text", "n_sentences", "spans")
+    out = both.mapInArrow(cut, "doc_id long, text string, n_sentences long, n_removed long")
+    return out.unionByName(others.select("doc_id", "text", "n_sentences", F.lit(0).cast("long").alias("n_removed")))

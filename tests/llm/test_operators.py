@@ -1,6 +1,7 @@
 """Operators against brute force, and their results for nulls, empty and long texts, ties, repeats, extra columns."""
 
 import glob
+import hashlib
 import math
 import os
 import zlib
@@ -177,6 +178,32 @@ def test_repeated_passages_go(odd):
     assert len(out[9, True]) < 40
 
 
+def test_spans_against_all_runs(spark, texts):
+    """Every run of every text in a dictionary; repeated rows, runs of a third of the rows and of two rows."""
+    hot = "Every third text holds this line. It is long enough to be a run of its own here. Nothing else in it is of any use at all."
+    rows = [(i, f"{t}\n{hot}" if i % 3 == 0 else t) for i, t in enumerate(list(texts.values())[:300])]
+    pairs = [" ".join(f"w{(k * 31 + j * 17) % 9973}x{k}" for j in range(40)) for k in range(1200)]
+    rows += [(1000 + k, f"{a} first. {p}") for k, p in enumerate(pairs) for a in ("one", "another")]
+    rows += [(5, rows[5][1]), (None, hot), (None, None), (7000, ""), (7001, "\n \n")]
+    keys = {r: ((r[0] is not None, r[0] or 0), hashlib.md5((r[1] or "").encode()).hexdigest()) for r in rows}
+    held = {}
+    for r in set(rows):
+        _, sizes, hashes = sentence_spans.sentences((r[1] or "").encode())
+        for run, first, last in zip(*(x.tolist() for x in sentence_spans.runs(sizes, hashes)), strict=True):
+            held.setdefault(run, []).append((keys[r], first, last, r))
+    spans = {}
+    for found in held.values():
+        for _, first, last, r in sorted(found, key=lambda x: x[:3])[1:]:
+            spans.setdefault(r, []).append((first, last))
+    expected = []
+    for r in rows:
+        raw, n, k = sentence_spans.without((r[1] or "").encode(), spans.get(r, []))
+        expected.append((r[0], raw.decode() if k else r[1], n, k))
+    got = sentence_spans.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected))
+    assert sum(k > 0 for *_, k in expected) > 1200
+
+
 def test_context_mixing_base_and_bits(docs, texts, odd):
     train = Counter()
     for i, t in texts.items():
