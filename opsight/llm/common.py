@@ -56,11 +56,11 @@ def ship(spark: SparkSession) -> None:
     context._opsight = True
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """The frame written to the shared folder and read back: a cut in the lineage that outlives executors."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -78,7 +78,7 @@ def runs(sizes: np.ndarray, hashes: np.ndarray, least: int = SENTENCES, min_word
 
 def hashed(docs: DataFrame, least: int, min_words: int) -> DataFrame:
     """doc_id, key, text, doc (a hash of id and key), n_sentences, runs, lasts: the runs start at sentences 0, 1, ..."""
-    schema = "doc_id long, key string, text string, doc long, n_sentences long, runs array<long>, lasts array<int>"
+    schema = "doc_id long, key binary, text string, doc long, n_sentences long, runs array<long>, lasts array<int>"
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, 2):
@@ -118,7 +118,7 @@ def places(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
                 names=["run", "doc_id", "key", "first", "last"],
             )
 
-    return texts.select("doc_id", "key", "runs", "lasts").mapInArrow(emit, "run long, doc_id long, key string, first int, last int")
+    return texts.select("doc_id", "key", "runs", "lasts").mapInArrow(emit, "run long, doc_id long, key binary, first int, last int")
 
 
 def not_first(found: DataFrame) -> DataFrame:
@@ -149,8 +149,9 @@ def deduplicated(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, least: int = SENTENCES, min_words: int = MIN_WORDS
 ) -> DataFrame:
     """doc_id, text, n_sentences, n_removed for every row."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(text).alias("key"), F.col(text).alias("text"))
-    texts = stored(hashed(docs, least, min_words), "runs")
+    key = F.unhex(text_key(text))  # 16 bytes in the order of the digest
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), key.alias("key"), F.col(text).alias("text"))
+    texts = stored(hashed(docs, least, min_words), "runs", "zstd")
     counts = texts.select(F.explode("runs").alias("run")).groupBy("run").agg(F.count("*").alias("n"))
     found = stored(places(texts, membership(counts.where("n > 1"), "run")), "places")
     spans = not_first(found).groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
