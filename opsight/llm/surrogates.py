@@ -7,10 +7,15 @@ digits, valid check digits valid; the spelling is then put back. Names are built
 ending for the gender of the title.
 
 Collision checks keep entities distinct: all entities of the corpus are compared, and where a surrogate is taken twice
-or is itself an entity of the corpus, all but one of the holders get another attempt until none collides (an error if that does not end). Compared is what
-shows in the text, so the same made-up word is not given to two people of different titles; names get longer with the
-attempt. The first
-attempt needs no table, so only exceptions are joined back (as a broadcast where they are few, else by text).
+or is itself an entity of the corpus, all but one of the holders get another attempt. Compared is what shows in the text,
+so the same made-up word is not given to two people of different titles; names get longer with the attempt. Where that
+does not end, the corpus holds most values of a format, and no surrogate can be new: all entities of such a format then
+get one keyed permutation without fixed points, which keeps them distinct by itself, and all others keep clear of those.
+The first attempt needs no table, so only exceptions are joined back (as a broadcast where they are few, else by text).
+
+A full name found with a title is also replaced where the same text repeats it without one. A month and year (05/2023)
+is not a telephone number. Letters of other alphabets than those below stay in addresses and credentials; an entity
+without any letter or digit of them stays as it is.
 
 Null texts stay null, empty ones empty. Repeated rows get the same text. Overlapping finds: the earlier, then the longer
 one counts. Extra columns pass through; `n_chars` follows the new text where the table has it. Empty table: no rows.
@@ -32,7 +37,10 @@ from opsight.llm.common import in_slices, stored
 
 KEY = "surrogates"
 FEW = 100_000
-ROUNDS = 100
+#: Attempts before the formats that still collide are permuted as a whole.
+ROUNDS = 12
+#: The attempt number of such a permutation.
+WHOLE = -1
 
 PATTERNS = {
     "email": r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+",
@@ -40,7 +48,7 @@ PATTERNS = {
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w.]*\d)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"
     # national forms: (555) 123-4567, 555-123-4567, 0171 5557713, 030 123 45 67
-    r"|(?<![\w+.-])(?<!\d )(?:\(\d{2,5}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\d{3}[ .-]\d{3}[ .-]\d{4}|0\d{1,4}[ /-]\d{3,8}(?:[ -]\d{2,4}){0,3})(?![ .-]?\d|\w)",
+    r"|(?<![\w+.-])(?<!\d )(?:\(\d{2,5}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\d{3}[ .-]\d{3}[ .-]\d{4}|(?!0[1-9](?:/(?:1[5-9]|20)\d\d(?!\d)|[ -](?:1[5-9]|20)\d\d(?![ -]?\d)))0\d{1,4}[ /-]\d{3,8}(?:[ -]\d{2,4}){0,3})(?![ .-]?\d|\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w+])\d(?:[ -]?\d){12,18}(?![\w])",
     "name": r"(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Sra|Sr|Monsieur|Madame|Mme|г-н|г-жа)\.? [^\W\d_a-zа-я][^\W\d_]+(?: [^\W\d_a-zа-я][^\W\d_]+)?",
@@ -61,6 +69,7 @@ _HEX = "0123456789abcdef"
 SYLLABLES = {
     "latin": (["ba", "de", "li", "mo", "nu", "ra", "se", "ti", "vo", "ka", "ne", "lo", "mi", "ru", "sa", "te"], {"f": "a", "m": "o", "": "i"}),
     "cyrillic": (["ба", "де", "ли", "мо", "ну", "ра", "се", "ти", "во", "ка", "не", "ло", "ми", "ру", "са", "те"], {"f": "на", "m": "н", "": "й"}),
+    "greek": (["βα", "δε", "λι", "μο", "νυ", "ρα", "σε", "τι", "φο", "κα", "νε", "λο", "μι", "ρυ", "σα", "τε"], {"f": "να", "m": "νο", "": "νι"}),
 }
 
 
@@ -69,25 +78,44 @@ def _draw(key: str, *parts: object) -> int:
     return int.from_bytes(digest, "big")
 
 
-def permuted(value: str, tweak: str, key: str, alphabets: list[str] | None = None) -> str:
-    """A bijection on strings of one format: unbalanced Feistel rounds over the two halves as mixed-radix numbers."""
+def _rounds(numbers: list[int], sizes: list[int], key: str, tweak: object, back: bool = False) -> None:
+    """Unbalanced Feistel rounds over two numbers below `sizes`, in place, or the same rounds undone."""
+    for r in reversed(range(8)) if back else range(8):
+        side = (r + 1) % 2
+        drawn = _draw(key, tweak, r, numbers[1 - side])
+        numbers[side] = (numbers[side] + (-drawn if back else drawn)) % sizes[side]
+
+
+def _moved(numbers: list[int], sizes: list[int], key: str, tweak: object, whole: bool) -> None:
+    """A bijection on pairs of numbers; with `whole` one without fixed points: a step on the cycle that the rounds define."""
+    _rounds(numbers, sizes, key, tweak)
+    if whole:
+        step = (numbers[0] * sizes[1] + numbers[1] + 1) % (sizes[0] * sizes[1])
+        numbers[:] = divmod(step, sizes[1])
+        _rounds(numbers, sizes, key, tweak, back=True)
+
+
+def _kinds(value: str, alphabets: list[str] | None = None) -> tuple[list[str], str]:
+    """The alphabet of each character, and the format that they make with the characters that stay."""
     kinds = alphabets or [_CLASS.get(c, "") for c in value]
+    return kinds, "".join(k[0] if k else c for k, c in zip(kinds, value, strict=True))
+
+
+def permuted(value: str, tweak: str, key: str, alphabets: list[str] | None = None, whole: bool = False) -> str:
+    """A bijection on strings of one format: the two halves are moved as mixed-radix numbers."""
+    kinds, mask = _kinds(value, alphabets)
     at = [i for i, k in enumerate(kinds) if k]
     if not at:
         return value
     halves = at[: len(at) // 2], at[len(at) // 2 :]
-    mask = "".join(k[0] if k else value[i] for i, k in enumerate(kinds))
     sizes, numbers = [], []
     for half in halves:
-        size = number = 0
-        size = 1
+        number, size = 0, 1
         for i in half:
             number, size = number * len(kinds[i]) + kinds[i].index(value[i]), size * len(kinds[i])
         sizes.append(size)
         numbers.append(number)
-    for r in range(8):
-        side = (r + 1) % 2
-        numbers[side] = (numbers[side] + _draw(key, tweak, mask, r, numbers[1 - side])) % sizes[side]
+    _moved(numbers, sizes, key, f"{tweak}\x1f{mask}", whole)
     out = list(value)
     for half, number in zip(halves, numbers, strict=True):
         for i in reversed(half):
@@ -103,7 +131,8 @@ def luhn(digits: str) -> str:
 
 
 def _script(word: str) -> str:
-    return "cyrillic" if any("а" <= c <= "я" for c in word.lower()) else "latin"
+    word = word.lower()
+    return "cyrillic" if any("а" <= c <= "я" for c in word) else "greek" if any("α" <= c <= "ω" for c in word) else "latin"
 
 
 def _gender(title: str) -> str:
@@ -142,38 +171,52 @@ def find(text: str | None) -> list[tuple[str, int, int, str]]:
         elif kind == "email":
             value = value.lower()
         out.append((kind, start, end, value))
-    return out
+    return _with_repeats(text, out)
+
+
+def _with_repeats(text: str, found: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
+    """The finds, and the places where the text repeats a full name of them without its title."""
+    names = {text[start:end]: value for kind, start, end, value in reversed(found) if kind == "name" and " " in value}
+    if not names:
+        return found
+    out, n = [], 0
+    repeats = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")(?!\w)")
+    for m in repeats.finditer(text):
+        while n < len(found) and found[n][2] <= m.start():
+            out.append(found[n])
+            n += 1
+        if n == len(found) or found[n][1] >= m.end():
+            out.append(("name", m.start(), m.end(), names[m.group()]))
+    return out + found[n:]
 
 
 @functools.lru_cache(maxsize=50_000)
 def surrogate(kind: str, canonical: str, attempt: int, key: str) -> str:
     """The canonical form of the surrogate."""
-    tweak = f"{kind}/{attempt}"
+    tweak, whole = f"{kind}/{attempt}", attempt == WHOLE
     if kind == "email":
         local, _, domain = canonical.partition("@")
         labels, dot, top = domain.rpartition(".")
-        return permuted(local, tweak, key) + "@" + permuted(labels, "domain", key) + dot + top
+        # a local part without letters to change leaves the change to the domain
+        fixed = whole and not any(_kinds(local)[0])
+        return permuted(local, tweak, key, whole=whole) + "@" + permuted(labels, "domain", key, whole=fixed) + dot + top
     if kind == "ip":
         a, b, c, d = map(int, canonical.split("."))
         halves = [a * 256 + b, c * 256 + d]
-        for r in range(8):
-            halves[r % 2] = (halves[r % 2] + _draw(key, tweak, r, halves[1 - r % 2])) % 65536
+        _moved(halves, [65536, 65536], key, tweak, whole)
         return ".".join(str(x) for h in halves for x in divmod(h, 256))
     if kind == "phone":
         head, _, digits = canonical.rpartition("|")
         n = min(int(head[0]), len(digits) - 4)
-        return f"{head}|{digits[:n]}{permuted(digits[n:], tweak, key)}"
+        return f"{head}|{digits[:n]}{permuted(digits[n:], f'{tweak}/{digits[:n]}', key, whole=whole)}"
     if kind == "card":
-        if luhn(canonical[:-1]) == canonical[-1]:
-            body = canonical[0] + permuted(canonical[1:-1], tweak, key)
-            return body + luhn(body)
         # an invalid number stays invalid: the check digit keeps its distance from the valid one
-        body = canonical[0] + permuted(canonical[1:-1], tweak, key)
-        return body + str((int(luhn(body)) + int(canonical[-1]) - int(luhn(canonical[:-1]))) % 10)
+        apart = int(canonical[-1]) - int(luhn(canonical[:-1]))
+        body = canonical[0] + permuted(canonical[1:-1], tweak, key, whole=whole)
+        return body + str((int(luhn(body)) + apart) % 10)
     if kind == "secret":
         lower = canonical.lower()
-        hexadecimal = [_HEX] * len(lower) if set(lower) <= set(_HEX) else None
-        return permuted(lower, tweak, key, hexadecimal)
+        return permuted(lower, tweak, key, _secret_alphabets(lower), whole)
     if kind == "name":
         gender, _, words = canonical.partition("|")
         made = []
@@ -184,7 +227,31 @@ def surrogate(kind: str, canonical: str, attempt: int, key: str) -> str:
             stem = "".join(parts[(number >> (4 * k)) % 16] for k in range(min(3 + attempt + (number >> 64) % 2, 30)))
             made.append(stem + (endings[gender] if i == 0 and " " in words else endings[""] if " " in words else "s"))
         return gender + "|" + " ".join(made)
-    return permuted(canonical, tweak, key)
+    return permuted(canonical, tweak, key, whole=whole)
+
+
+def _secret_alphabets(lower: str) -> list[str] | None:
+    return [_HEX] * len(lower) if set(lower) <= set(_HEX) else None
+
+
+def format_of(kind: str, canonical: str) -> str | None:
+    """The set of values within which an entity's surrogates stay; None for names, which can always get longer."""
+    if kind == "name":
+        return None
+    if kind == "ip":
+        return kind
+    if kind == "email":
+        local, _, domain = canonical.partition("@")
+        labels, dot, top = domain.rpartition(".")
+        own = _kinds(local)[1]
+        return f"{kind}|{own}@{labels if any(_kinds(local)[0]) else _kinds(labels)[1]}{dot}{top}"
+    if kind == "phone":
+        head, _, digits = canonical.rpartition("|")
+        n = min(int(head[0]), len(digits) - 4)
+        return f"{kind}|{head}|{digits[:n]}|{len(digits)}"
+    if kind == "card":
+        return f"{kind}|{canonical[0]}|{len(canonical)}|{(int(canonical[-1]) - int(luhn(canonical[:-1]))) % 10}"
+    return f"{kind}|{_kinds(canonical.lower(), _secret_alphabets(canonical.lower()) if kind == 'secret' else None)[1]}"
 
 
 def spelled(kind: str, original: str, made: str) -> str:
@@ -236,35 +303,41 @@ def _with_surrogates(table: DataFrame, key: str) -> DataFrame:
             made = [surrogate(k, c, a, key) for k, c, a in rows]
             shown = [_written(r[0], m) for r, m in zip(rows, made, strict=True)]
             real = [_written(k, c) for k, c, _ in rows]
+            forms = [format_of(k, c) for k, c, _ in rows]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *[pa.array(x, pa.string()) for x in (made, shown, real)]],
-                names=[*batch.schema.names, "made", "shown", "written"],
+                [*batch.columns, *[pa.array(x, pa.string()) for x in (made, shown, real, forms)]],
+                names=[*batch.schema.names, "made", "shown", "written", "form"],
             )
 
-    schema = "kind string, canonical string, attempt int, made string, shown string, written string"
+    schema = "kind string, canonical string, attempt int, made string, shown string, written string, form string"
     return table.select("kind", "canonical", "attempt").mapInArrow(run, schema)
 
 
 def assigned(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """kind, canonical, attempt, made for every entity, without collisions."""
     now = stored(_with_surrogates(entities(docs, text).withColumn("attempt", F.lit(0)), key), "entities")
-    for _ in range(ROUNDS):
-        # one holder keeps a surrogate: the one of the fewest attempts, then the smallest
+    rounds = 0
+    while True:
+        # one holder keeps a surrogate: a format permuted as a whole, then the one of the fewest attempts, then the smallest
         holders = now.groupBy("kind", "shown").agg(F.min(F.struct("attempt", "canonical"))["canonical"].alias("holder"))
         real = now.select("kind", F.col("written").alias("shown"), F.lit(True).alias("real")).distinct()
         checked = now.join(holders, ["kind", "shown"]).join(real, ["kind", "shown"], "left")
-        clash = (F.col("holder") != F.col("canonical")) | F.col("real").isNotNull()
+        clash = (F.col("attempt") != WHOLE) & ((F.col("holder") != F.col("canonical")) | F.col("real").isNotNull())
         checked = stored(checked.withColumn("clash", clash), "clashes")
         if not checked.where("clash").limit(1).count():
             return now.select("kind", "canonical", "attempt", "made")
+        rounds += 1
         again = checked.withColumn("attempt", F.col("attempt") + F.col("clash").cast("int"))
+        if rounds % ROUNDS == 0:
+            # every time at least one more format is settled for good, or only names are left, which get longer
+            full = checked.where("clash AND form IS NOT NULL").select("form", F.lit(True).alias("full")).distinct()
+            again = again.join(full, "form", "left").withColumn("attempt", F.when(F.col("full"), WHOLE).otherwise(F.col("attempt")))
         now = stored(_with_surrogates(again, key), "entities")
-    raise RuntimeError("surrogates still collide")
 
 
 def replace_all(docs: DataFrame, text: str = "text", key: str = KEY, few: int = FEW) -> DataFrame:
     """All rows and columns with replaced texts, and the number of entities as `__entities`."""
-    again = assigned(docs, text, key).where("attempt > 0").select("kind", "canonical", "attempt")
+    again = assigned(docs, text, key).where("attempt <> 0").select("kind", "canonical", "attempt")
     kind = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("canonical", T.StringType()), T.StructField("attempt", T.IntegerType())]))
     table: dict[tuple[str, str], int] = {}
     if again.limit(few + 1).count() <= few:

@@ -136,6 +136,36 @@ def test_telephone_spellings_agree():
     assert national[0][3] == national[1][3]
 
 
+def test_full_formats_are_permuted(spark):
+    """Every number of a format, every one-letter address of a domain, and an address without a letter to change."""
+    rows = [(k, f"call 0{k // 1000}-{k % 1000:03d}, then go") for k in range(10_000)]
+    rows += [(20_000 + k, f"write to {c}@one.org now") for k, c in enumerate("abcdefghijklmnopqrstuvwxyz")] + [(30_000, "and é@b.c too")]
+    out = {r.doc_id: r.text for r in surrogates.replace_all(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    before, after = [x[1] for x in rows], [out[x[0]] for x in rows]
+    assert len(set(after)) == len(rows) and not any(a == b for a, b in zip(before, after, strict=True))
+    assert set(after[:10_000]) == set(before[:10_000])
+    kinds = [surrogates.find(t)[0][0] for t in after]
+    assert kinds == ["phone"] * 10_000 + ["email"] * 27
+
+
+@pytest.mark.parametrize("text", ["12345678", "abc-12", "00", "7"])
+def test_permutation_without_fixed_points(text):
+    digits = [f"{k:0{len(text)}d}" for k in range(10 ** min(len(text), 4))] if text.isdigit() and len(text) < 5 else [text]
+    made = [surrogates.permuted(d, "t", "key", whole=True) for d in digits]
+    assert len(set(made)) == len(digits) and not any(a == b for a, b in zip(made, digits, strict=True))
+    assert all(surrogates.format_of("ssn", a) == surrogates.format_of("ssn", b) for a, b in zip(made, digits, strict=True))
+
+
+def test_dates_scripts_and_untitled_names():
+    for text in ("born 05/2023 here", "from 01/1999 to 12/2004", "05-2023 and 07 2021"):
+        assert surrogates.replaced(text, {}, "key") == (text, 0)
+    made, n = surrogates.replaced("Dr. Ελένη Παπαδόπουλου rang", {}, "key")
+    assert n == 1 and "Παπαδ" not in made and all("α" <= c.lower() <= "ω" for w in made.split()[1:3] for c in w)
+    made, n = surrogates.replaced("John Smith, Mr. John Smith; then John Smithson and JOHN, John Smith", {}, "key")
+    name = " ".join(made.split(";")[0].split()[-2:])
+    assert n == 3 and made == f"{name}, Mr. {name}; then John Smithson and JOHN, {name}" and name != "John Smith"
+
+
 def test_many_surnames_stay_distinct(spark):
     letters = "abcdefghijklmnopqrstuvwxyz"
     made_up = ["".join(letters[(k // 26**p) % 26] for p in range(4)).capitalize() for k in range(25_000)]
