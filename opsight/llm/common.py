@@ -10,6 +10,7 @@ import os
 import shutil
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from pathlib import Path
 
@@ -61,9 +62,47 @@ def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.mode("overwrite").parquet(path, compression=compression)
+    if _held:
+        _held[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_held: list[list] = []  # what the blocks of `released` have made so far
+
+
+def broadcasted(context, value):
+    """A broadcast that leaves the executors with the block of `released` that it is made in."""
+    shared = context.broadcast(value)
+    if _held:
+        _held[-1].append(shared)
+    return shared
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Stored tables and broadcasts made inside go when the block ends; its results must be stored before (`kept`)."""
+    _held.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+        for made in _held.pop():
+            if isinstance(made, str):
+                path = jvm.org.apache.hadoop.fs.Path(made)
+                path.getFileSystem(conf).delete(path, True)
+            else:
+                made.unpersist()
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """`stored`, for the results of a block of `released`: they belong to the block around it."""
+    inner = _held.pop()
+    try:
+        return stored(df, label)
+    finally:
+        _held.append(inner)
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
     """An equi-join on columns of the same names in which null equals null; the left side's columns stay."""
     right = right.withColumnsRenamed({n: f"__right_{n}" for n in names})
@@ -228,7 +267,7 @@ def is_member(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def split_by(df: DataFrame, bitmap: np.ndarray, column: str) -> tuple[DataFrame, DataFrame]:
     """(the rows whose 64-bit value may be in a bitmap, all others), so that only the former need an exact join."""
-    shared = df.sparkSession.sparkContext.broadcast(bitmap)
+    shared = broadcasted(df.sparkSession.sparkContext, bitmap)
 
     @F.pandas_udf("boolean")
     def found(values: pd.Series) -> pd.Series:

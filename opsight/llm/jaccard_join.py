@@ -5,10 +5,14 @@ documents, come last; the rest by hash), and two sets with a Jaccard similarity
 n - ceil(percent * n / 100) + 1 of each. Only documents that meet on such a shingle are candidates; length, positional
 and suffix filters thin them out, and each pair is verified once, with integers, on whole sets.
 
-Groups of copies stay linear. Equal sets are one node. Of each shingle's list every node is first compared with a few
-pivots only; those links make components, and only pairs of different components are enumerated after that, leaving
-out the largest component of each list on one side. No link between different components is lost, because such a pair
-still meets in some list; a link inside a component changes nothing.
+Groups of copies stay linear. Equal sets are one node. Shingles with the same nodes, as those of a passage that many
+documents share, are one list. Of each list every node is first compared with a few pivots only; those links make
+components. Then nodes outside the largest component of a long list meet one member of it, another one each turn (both
+times those with the fewest rarer shingles before the list's own: an original links with more of its copies than they
+do with each other), and
+only pairs of components that are still different are enumerated after that, leaving out the largest component of each
+list on one side. No link between different components is lost, because such a pair still meets in some list; a link
+inside a component changes nothing.
 
 Null or wordless texts have an empty set and are linked with nothing: their component is their own id. Fewer words than
 a shingle: the whole sequence is one shingle. Ties and repeated rows: each row is answered, and equal texts are always
@@ -27,13 +31,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsight.llm.common import (
-    components, flat_words, in_slices, is_member, membership, shingle_hashes, stored, text_key, text_slices,
+    broadcasted, components, flat_words, in_slices, is_member, membership, shingle_hashes, stored, text_key, text_slices,
 )
 
 FREQUENT = 262_144
 LOCAL_FREQUENT = 32_768
 FLUSH = 2_000_000
 PIVOTS = 4
+TURNS = 3
+CROWD = 8  # shorter lists are enumerated at once: at most so many pairs a row
 BUCKETS = 128
 
 
@@ -148,7 +154,7 @@ def frequent_shingles(counted: DataFrame) -> tuple:
 def prefixes(docs: DataFrame, size: int, percent: int, frequent, wanted=None) -> DataFrame:
     """shingle and half, or with `wanted` (a bitmap of shingles) shingle, node, half, n, pos: one row per prefix shingle."""
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast((frequent, wanted))
+    shared = broadcasted(context, (frequent, wanted))
 
     def emit(batch: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
         order, bitmap = shared.value
@@ -180,7 +186,7 @@ def shared_shingles(docs: DataFrame, size: int, percent: int, frequent: tuple) -
 
 def node_sets(docs: DataFrame, size: int, wanted: np.ndarray) -> DataFrame:
     """node, hashes of the nodes in a bitmap (by the first half of their digest), one row for each."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    shared = broadcasted(docs.sparkSession.sparkContext, wanted)
 
     def emit(batch: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
         full = [s for s in sets if len(s)]
@@ -209,12 +215,15 @@ def promising(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     return both.where(bound >= needed(percent)).select("a", "b")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, size: int, percent: int, label: str) -> DataFrame:
-    """The pairs a, b of nodes that are similar; whole sets are made again for promising pairs only."""
-    pairs = stored(promising(pairs, sizes, percent), f"{label}-pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = membership(ends.join(sizes.select("node", "half"), "node"), "half")
-    sets = stored(node_sets(docs, size, wanted).join(ends, "node", "left_semi"), f"{label}-sets")
+def sets_of(docs: DataFrame, nodes: DataFrame, size: int, label: str) -> DataFrame:
+    """node, hashes of the given nodes (node, half), made again from their texts."""
+    nodes = stored(nodes, f"{label}-ends")
+    wanted = membership(nodes, "half")
+    return stored(node_sets(docs, size, wanted).join(nodes, "node", "left_semi"), f"{label}-sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> DataFrame:
+    """The pairs a, b of nodes whose whole sets are similar."""
     whole = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b"
     )
@@ -233,11 +242,68 @@ def verified(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, size: int, per
     return stored(whole.select("a", "b", "ha", "hb").mapInArrow(run, "a binary, b binary"), label)
 
 
-def pivot_pairs(active: DataFrame, pivots: int = PIVOTS) -> DataFrame:
+def ends_of(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sizes.select("node", "half"), "node")
+
+
+def merged_lists(active: DataFrame) -> DataFrame:
+    """list, node, half, n, pos: shingles that have the same nodes are one list, with each node's first place in any.
+
+    A list's name is a hash of its nodes; lists that share a name by chance become one, which only adds candidates.
+    """
+    signs = [F.bit_xor(F.xxhash64(F.lit(seed), "node")) for seed in (1, 2)]
+    names = active.groupBy("shingle").agg(F.xxhash64(F.count("*"), *signs).alias("list"))
+    named = active.join(names, "shingle")
+    return named.groupBy("list", "node").agg(F.first("half").alias("half"), F.first("n").alias("n"), F.min("pos").alias("pos"))
+
+
+def with_roots(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of lists with more than one component: with root, the list's largest component, its number of nodes."""
+    known = lists.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    per_root = known.groupBy("list", "root").agg(F.count("*").alias("k"))
+    mains = per_root.groupBy("list").agg(
+        F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("roots"), F.sum("k").alias("nodes")
+    )
+    return known.join(mains.where("roots > 1").drop("roots"), "list")
+
+
+def central(turn: int, turns: int) -> Column:
+    """A rank of a list's nodes by the rarer shingles before the list's own: an original has fewer than its changed copies.
+
+    Another part of the nodes comes first each turn.
+    """
+    other = F.pmod(F.xxhash64("node"), F.lit(turns)) != turn
+    return F.struct(other.alias("other"), F.col("pos"), F.col("node").alias("pivot"))
+
+
+def bridge_pairs(crowded: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Every node outside the largest component of a list with one member of that component."""
+    rows = with_roots(crowded, labels)
+    picks = rows.where("root = main").groupBy("list").agg(F.min(central(turn, TURNS)).alias("pick"))
+    met = rows.where("root <> main").select("list", "node").join(picks, "list").groupBy("node").agg(F.min("pick").alias("pick"))
+    return met.select(F.least("node", "pick.pivot").alias("a"), F.greatest("node", "pick.pivot").alias("b"))
+
+
+def joined_labels(labels: DataFrame, links: DataFrame, label: str) -> DataFrame:
+    """(node, root) after links between components: the links are contracted to roots first."""
+    roots = labels.withColumnRenamed("root", "r")
+    ends = links.join(roots.withColumnsRenamed({"node": "a", "r": "ra"}), "a", "left").join(
+        roots.withColumnsRenamed({"node": "b", "r": "rb"}), "b", "left"
+    )
+    ends = ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    merged = stored(components(ends, f"{label}-stars"), f"{label}-merged").withColumnsRenamed({"node": "first", "root": "last"})
+    nodes = labels.unionByName(
+        merged.join(labels.select(F.col("node").alias("first")), "first", "left_anti").select(F.col("first").alias("node"), F.col("first").alias("root"))
+    )
+    after = nodes.withColumnRenamed("root", "first").join(merged, "first", "left")
+    return stored(after.select("node", F.coalesce("last", "first").alias("root")), f"{label}-labels")
+
+
+def pivot_pairs(lists: DataFrame, pivots: int = PIVOTS) -> DataFrame:
     """Every node with a few nodes of its lists, the same ones for all nodes that share a list."""
-    ranks = [F.struct(F.xxhash64(F.lit(r), "node").alias("rank"), F.col("node").alias("pivot")) for r in range(pivots)]
-    chosen = active.groupBy("shingle").agg(*[F.min(x).alias(f"p{r}") for r, x in enumerate(ranks)])
-    best = active.select("shingle", "node").join(chosen, "shingle").groupBy("node").agg(
+    ranks = [central(r, pivots) for r in range(pivots)]
+    chosen = lists.groupBy("list").agg(*[F.min(x).alias(f"p{r}") for r, x in enumerate(ranks)])
+    best = lists.select("list", "node").join(chosen, "list").groupBy("node").agg(
         *[F.min(f"p{r}").alias(f"p{r}") for r in range(pivots)]
     )
     both = best.select("node", F.explode(F.array_distinct(F.array(*[F.col(f"p{r}")["pivot"] for r in range(pivots)]))).alias("pivot"))
@@ -245,30 +311,24 @@ def pivot_pairs(active: DataFrame, pivots: int = PIVOTS) -> DataFrame:
     return both.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
-def cross_pairs(active: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def cross_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of nodes in different components, after the length and positional filters."""
-    known = active.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    per_root = known.groupBy("shingle", "root").agg(F.count("*").alias("k"))
-    lists = per_root.groupBy("shingle").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("roots"))
     # the smaller set of a similar pair meets the larger one in a still shorter prefix
     short = F.col("pos") < F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent) - 1e-9) + 1
-    open_lists = known.join(lists.where("roots > 1").drop("roots"), "shingle").withColumn("short", short)
-    left = open_lists.where("root <> main").select("shingle", *[F.col(c).alias(f"{c}_l") for c in ("node", "n", "pos", "root", "short")])
-    right = open_lists.select("shingle", *[F.col(c).alias(f"{c}_r") for c in ("node", "n", "pos", "root", "short", "main")])
-    met = left.join(right, "shingle").where(
+    rows = with_roots(lists, labels).withColumn("short", short)
+    left = rows.where("root <> main").select("list", *[F.col(c).alias(f"{c}_l") for c in ("node", "n", "pos", "root", "short")])
+    right = rows.select("list", *[F.col(c).alias(f"{c}_r") for c in ("node", "n", "pos", "root", "short", "main")])
+    # positional filter: at the first shingle that two sets share, what follows it bounds the overlap, and later ones
+    # pass it only where the first does
+    rest = F.least(F.col("n_l") - F.col("pos_l"), F.col("n_r") - F.col("pos_r"))
+    met = left.join(right, "list").where(
         (F.col("root_l") != F.col("root_r"))
         & ((F.col("root_r") == F.col("main_r")) | (F.col("node_l") < F.col("node_r")))
         & (F.least("n_l", "n_r") * 100 >= F.greatest("n_l", "n_r") * percent)
         & ((F.col("short_l") & (F.col("n_l") <= F.col("n_r"))) | (F.col("short_r") & (F.col("n_r") <= F.col("n_l"))))
+        & (rest >= needed(percent, "n_l", "n_r"))
     )
-    met = met.select(
-        F.least("node_l", "node_r").alias("a"), F.greatest("node_l", "node_r").alias("b"),
-        F.col("n_l").alias("na"), F.col("n_r").alias("nb"), F.col("pos_l").alias("ia"), F.col("pos_r").alias("ib"),
-    )
-    pairs = met.groupBy("a", "b").agg(*[F.min(c).alias(c) for c in ("na", "nb", "ia", "ib")])
-    # positional filter at the first shingle the two share: what follows it bounds the overlap
-    rest = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    return pairs.where(rest >= needed(percent)).select("a", "b")
+    return met.select(F.least("node_l", "node_r").alias("a"), F.greatest("node_l", "node_r").alias("b")).distinct()
 
 
 def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, size: int = 5, percent: int = 80) -> DataFrame:
@@ -284,23 +344,27 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, size:
     frequent = (*frequent[:3], membership(shared_shingles(docs, size, percent, frequent), "shingle"))
     shared = stored(shared_shingles(docs, size, percent, frequent), "shared")
     active = prefixes(docs, size, percent, frequent, membership(shared, "shingle")).dropDuplicates(["shingle", "node"])
-    active = stored(active.join(shared, "shingle", "left_semi"), "active")
-    halves = active.select("node", "half").distinct()
+    lists = stored(merged_lists(stored(active.join(shared, "shingle", "left_semi"), "active")), "lists")
+    halves = lists.select("node", "half").distinct()
     sizes = each.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("buckets").alias("buckets"))
     sizes = stored(sizes.join(halves, "node"), "sizes")
-    near = verified(docs, pivot_pairs(active), sizes, size, percent, "near")
-    labels = stored(components(near, "near-stars"), "labels")
-    more = verified(docs, cross_pairs(active, labels, percent), sizes, size, percent, "far")
-    roots = labels.withColumnRenamed("root", "r")
-    joined = more.join(roots.withColumnsRenamed({"node": "a", "r": "ra"}), "a", "left").join(
-        roots.withColumnsRenamed({"node": "b", "r": "rb"}), "b", "left"
-    )
-    merged = stored(components(joined.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), "far-stars"), "merged")
-    merged = merged.withColumnsRenamed({"node": "first", "root": "last"})
-    rooted = (
-        each.join(labels, "node", "left").withColumn("first", F.coalesce("root", "node"))
-        .join(merged, "first", "left").select("doc_id", "key", "n", F.coalesce("last", "first").alias("root"))
-    )
+    # nodes of long lists keep their sets for the turns below
+    long_lists = lists.groupBy("list").count().where(F.col("count") > CROWD).select("list")
+    crowded = stored(lists.join(long_lists, "list", "left_semi"), "crowded")
+    pairs = stored(promising(pivot_pairs(lists), sizes, percent), "near-pairs")
+    ends = ends_of(pairs, sizes).unionByName(crowded.select("node", "half")).distinct()
+    sets = sets_of(docs, ends, size, "near")
+    labels = stored(components(verified(pairs, sets, percent, "near"), "near-stars"), "labels")
+    for turn in range(TURNS):
+        pairs = stored(promising(bridge_pairs(crowded, labels, turn), sizes, percent), "bridge-pairs")
+        links = verified(pairs, sets, percent, "bridges")
+        if links.isEmpty():
+            break
+        labels = joined_labels(labels, links, "bridge")
+    pairs = stored(promising(cross_pairs(lists, labels, percent), sizes, percent), "far-pairs")
+    far = verified(pairs, sets_of(docs, ends_of(pairs, sizes), size, "far"), percent, "far")
+    labels = joined_labels(labels, far, "far")
+    rooted = each.join(labels, "node", "left").select("doc_id", "key", "n", F.coalesce("root", "node").alias("root"))
     rooted = stored(rooted, "rooted")
     least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rooted.join(least, "root", "left").select(
