@@ -13,16 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsight.llm import jaccard_join, langid, latent_leaks, packing, surrogates
-from opsight.llm.common import null_safe_join, ship, stored, text_key
+from opsight.llm.common import kept, membership, null_safe_join, released, ship, split_by, stored, text_key
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows whose id and text are not in `gone` (doc_id, key)."""
-    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__key": text_key("text")})
+    """The rows whose id and text are not in `gone` (doc_id, key); only rows that may be in it are shuffled."""
+    row = F.xxhash64("__id", "__key")
+    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__key": text_key("text")}).withColumn("__row", row)
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
-    return null_safe_join(keyed, gone, ["__id", "__key"], "left_anti").select(*docs.columns)
+    maybe, others = split_by(keyed, membership(gone.withColumn("__row", row), "__row"), "__row")
+    maybe = null_safe_join(maybe, gone, ["__id", "__key"], "left_anti")
+    return others.unionByName(maybe).select(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -34,21 +37,24 @@ def language_id(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of similar ones stays: the smallest by id, then by digest of the text."""
     ship(spark)
-    groups = stored(jaccard_join.linked(docs, size=5, percent=80).select("doc_id", "key", "root"), "groups")
+    with released(spark):
+        groups = kept(jaccard_join.linked(docs, size=5, percent=80).select("doc_id", "key", "root"), "groups")
     here = F.struct("doc_id", "key")
     first = groups.where("root IS NOT NULL").groupBy("root").agg(F.min(here).alias("kept"))
     gone = stored(groups.join(first, "root").where(here != F.col("kept")).select("doc_id", "key"), "gone")
-    kept = _without(docs, gone)
+    rest = _without(docs, gone)
     if groups.groupBy("doc_id", "key").count().where("count > 1").limit(1).count():
-        kept = kept.withColumn("__key", text_key("text")).dropDuplicates(["doc_id", "__key"]).drop("__key")
-    return kept
+        rest = rest.withColumn("__key", text_key("text")).dropDuplicates(["doc_id", "__key"]).drop("__key")
+    return rest
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
     ship(spark)
-    found = latent_leaks.leaks(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
-    return _without(docs, stored(found.select("doc_id", "key"), "leaks"))
+    with released(spark):
+        found = latent_leaks.leaks(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
+        gone = kept(found.select("doc_id", "key"), "leaks")
+    return _without(docs, gone)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
