@@ -3,6 +3,8 @@
 import datetime as dt
 from pathlib import Path
 
+import pytest
+
 from conftest import NOON, event, rows
 from shift import evening_shift
 
@@ -160,6 +162,29 @@ def test_overdue_orders_by_timers(spark, raw, folder):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
 
 
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_overdue_orders_share_a_bucket(spark, raw, folder, buckets):
+    """Many orders in one state: joined, paid, reported in several batches and opened again, with one timer at a time."""
+
+    def steps(batch):
+        out = []
+        for k in range(60):
+            at = 7000 * batch + 11 * k
+            out.append(event("order.created", at, order=f"o{k}"))
+            out.append(event("order.prep.delayed", at + 800 * (k % 5), order=f"o{k}"))
+            if (k + batch) % 4 == 0:
+                out.append(event("payment.completed", at + 1200, order=f"o{k}"))
+        return out
+
+    path = _feed(raw, folder, steps(0), steps(1), steps(2), steps(1)[:9], steps(4), _closing())
+    names = ["order_id", "opened_at", "overdue_at", "opened", "delays"]
+    with runner.rocksdb_state(spark):
+        found = open_orders.stream_overdue_orders(_stream(spark, path), late="5h", buckets=buckets)
+        timers = rows(runner.appended(spark, found, f"{folder}/timers"), *names)
+    sessions = rows(runner.appended(spark, windows.stream_open_orders(_stream(spark, path), late="5h"), f"{folder}/sessions"), *names)
+    assert timers == sessions and len(timers) > 100
+
+
 def _lines(folder, name, lines):
     Path(f"{folder}/in").mkdir(exist_ok=True)
     Path(f"{folder}/in/{name}.json").write_text("\n".join(lines), encoding="utf-8")
