@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from opsight.llm import (
-    chat, context_mixing, fertility, jaccard_join, langid, latent_leaks, packing, sentence_spans, surrogates, url_rules,
+    chat, common, context_mixing, fertility, jaccard_join, langid, latent_leaks, packing, sentence_spans, surrogates, url_rules,
 )
 from opsight.llm.queries import LLM_ORACLES, LLM_QUERIES
 
@@ -361,6 +361,30 @@ def test_leaks_of_short_and_long_items(spark, docs, texts, size):
     assert sum((10**6 + k, k) in found for k, _ in pasted) >= 18
 
 
+def test_leaks_basis_is_fitted_on_all_passages(spark):
+    """Against dense matrices over every passage of more documents than the earlier sample of 2,000 held."""
+    rows = [(" ".join(f"v{(i * 31 + j * j) % 211}" for j in range(i % 70)),) for i in range(6000)] + [("",), (None,), (" ,. ",)]
+    frame = spark.createDataFrame(rows, "text string")
+    frequency, n_docs = latent_leaks.document_frequencies(frame)
+    idf = np.log((n_docs + 1) / (frequency + 1)).astype(np.float32)
+    passages = [p for t, in rows for h in latent_leaks.words_in([t]) for p in latent_leaks._passages(h)]
+    row, slot, value = latent_leaks._rows(passages, idf, np.ones(len(passages)))
+    words, at = np.unique(slot, return_inverse=True)
+    used = words[::2]
+    dense = np.zeros((len(passages), len(words)))
+    dense[row, at] = value
+    sketch = latent_leaks._sketched(np.arange(len(words)), words, np.ones(len(words)), 32)
+    y = dense @ sketch
+    gram, cross = latent_leaks.document_products(frame, used, idf, 32)
+    assert len(rows) == n_docs and len(passages) > 10_000
+    assert np.allclose(gram, y.T @ y, rtol=1e-3, atol=1e-2) and np.allclose(cross, dense[:, ::2].T @ y, rtol=1e-3, atol=1e-2)
+
+
+def test_distinct_words_hash_as_before():
+    values = np.array([5, 3, 5, 1, 3], np.uint64)
+    assert common.distinct(values).tolist() == [1, 3, 5] and len(common.distinct(values[:0])) == 0
+
+
 def test_packing_is_a_round_trip(docs, texts, odd):
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     found = packing.pack_documents(docs).collect()
