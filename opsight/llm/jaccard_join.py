@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsight.llm.common import (
-    broadcasted, components, flat_words, in_slices, is_member, membership, shingle_hashes, stored, text_key, text_slices,
+    broadcasted, components, distinct, flat_words, in_slices, is_member, membership, shingle_hashes, stored, text_key, text_slices,
 )
 
 FREQUENT = 262_144
@@ -49,7 +49,7 @@ def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
     runs = shingle_hashes(words, size)
     out, at = [], 0
     for n in counts.tolist():
-        out.append(np.unique(runs[at : at + n - size + 1] if n >= size else shingle_hashes(words[at : at + n], size)))
+        out.append(distinct(runs[at : at + n - size + 1] if n >= size else shingle_hashes(words[at : at + n], size)))
         at += n
     return out
 
@@ -337,20 +337,20 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, size:
     key is the text's digest, root the component's smallest set digest, null for an empty set.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(text).alias("key"), F.col(text).alias("text"))
-    counted = stored(members(docs, size), "members")
+    counted = stored(members(docs, size), "members", "zstd")
     each = counted.where("key IS NOT NULL")
     frequent = frequent_shingles(counted)
     # twice: what the first prefixes find shared moves to the end of the order, so the second ones meet far less often
     frequent = (*frequent[:3], membership(shared_shingles(docs, size, percent, frequent), "shingle"))
     shared = stored(shared_shingles(docs, size, percent, frequent), "shared")
     active = prefixes(docs, size, percent, frequent, membership(shared, "shingle")).dropDuplicates(["shingle", "node"])
-    lists = stored(merged_lists(stored(active.join(shared, "shingle", "left_semi"), "active")), "lists")
+    lists = stored(merged_lists(stored(active.join(shared, "shingle", "left_semi"), "active", "zstd")), "lists", "zstd")
     halves = lists.select("node", "half").distinct()
     sizes = each.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("buckets").alias("buckets"))
     sizes = stored(sizes.join(halves, "node"), "sizes")
     # nodes of long lists keep their sets for the turns below
     long_lists = lists.groupBy("list").count().where(F.col("count") > CROWD).select("list")
-    crowded = stored(lists.join(long_lists, "list", "left_semi"), "crowded")
+    crowded = stored(lists.join(long_lists, "list", "left_semi"), "crowded", "zstd")
     pairs = stored(promising(pivot_pairs(lists), sizes, percent), "near-pairs")
     ends = ends_of(pairs, sizes).unionByName(crowded.select("node", "half")).distinct()
     sets = sets_of(docs, ends, size, "near")
