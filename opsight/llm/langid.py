@@ -4,9 +4,9 @@ A word that the model knows counts with its log frequency in each language. An u
 character n-grams that are known at all, then to shorter ones. The sum over the words of the whole text decides; the
 score is the winner's share after exponentiation.
 
-The classifier is fitted on a bounded sample: at most about `train_docs` labelled rows for each language, chosen by a
-hash of the id, at most `languages` languages, and the `vocabulary` most frequent words and n-grams of each order and
-language. The model is therefore of bounded size and is broadcast.
+The classifier is fitted on all labelled rows of at most `languages` languages: words are counted over whole texts,
+n-grams over the distinct words. It keeps the `vocabulary` most frequent words and n-grams of each order and language,
+so it is of bounded size whatever the number of rows, and is broadcast.
 
 Null, empty or letterless texts: `und` with score 0. A table without a labelled row: every text with a letter is `und`.
 Ties: the language first in order of name. Repeated rows: each row is answered. Extra columns are not read.
@@ -14,7 +14,6 @@ Ties: the language first in order of name. Repeated rows: each row is answered.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,15 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsight.llm.common import text_slices
+from opsight.llm.common import released, stored, text_slices
 
 UNKNOWN = "und"
-TRAIN_DOCS = 4000
 VOCABULARY = 40_000
 LANGUAGES = 200
 ORDERS = (4, 3, 2, 1)
 SMOOTHING = 0.3
 MEMO_WORDS = 50_000
+COUNTED = 200_000  # counts that a task holds before it sends them
 _RUNS = re.compile(r"[^\W\d_]+")
 
 
@@ -53,29 +52,46 @@ def gram_key(order: int, gram: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{order}{gram}".encode())
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, order (0: words), gram, n for each batch of labelled texts."""
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, word, n of labelled texts; a word may come several times."""
+    counts: dict[str, Counter] = {}
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        for lang, words in counts.items():
+            columns = [pa.array([lang] * len(words), pa.string()), pa.array(words, pa.string()), pa.array(words.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "word", "n"])
+        counts.clear()
+
     for batch in text_slices(batches, 1):
-        counts: dict[str, Counter] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             counts.setdefault(lang, Counter()).update(letters(text.as_py()))
-        out: Counter = Counter()
-        for lang, words in counts.items():
-            for word, n in words.items():
-                out[lang, 0, word] += n
-                for order in ORDERS:
-                    for gram in grams(word, order):
-                        out[lang, order, gram] += n
-        keys = list(out)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([k[0] for k in keys], pa.string()),
-                pa.array([k[1] for k in keys], pa.int32()),
-                pa.array([k[2] for k in keys], pa.string()),
-                pa.array(out.values(), pa.int64()),
-            ],
-            names=["lang", "order", "gram", "n"],
-        )
+        if sum(map(len, counts.values())) > COUNTED:
+            yield from sent()
+    yield from sent()
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, order (0: words), gram, n of counted words; an n-gram may come several times."""
+    counts: dict[tuple[str, int], dict[str, int]] = {}
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        for (lang, order), found in counts.items():
+            columns = [
+                pa.array([lang] * len(found), pa.string()), pa.array([order] * len(found), pa.int32()),
+                pa.array(found, pa.string()), pa.array(found.values(), pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "order", "gram", "n"])
+        counts.clear()
+
+    for batch in batches:
+        for lang, word, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for order in (0, *ORDERS):
+                own = counts.setdefault((lang, order), {})
+                for gram in grams(word, order) if order else (word,):
+                    own[gram] = own.get(gram, 0) + n
+        if sum(map(len, counts.values())) > COUNTED:
+            yield from sent()
+    yield from sent()
 
 
 class Backoff:
@@ -150,25 +166,31 @@ class Scorer:
 
 
 def fit(
-    labelled: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", *,
-    train_docs: int = TRAIN_DOCS, vocabulary: int = VOCABULARY, languages: int = LANGUAGES,
+    labelled: DataFrame, lang: str = "lang", text: str = "text", *, vocabulary: int = VOCABULARY, languages: int = LANGUAGES,
 ) -> Backoff:
-    """The model of a bounded sample of rows with a language and a text."""
-    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"))
-    rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
+    """The model of all rows with a language and a text."""
+    spark = labelled.sparkSession
+    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
     if not sizes:
         return Backoff([])
-    space = 1 << 30
-    rate = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], math.ceil(min(1, train_docs / r["count"]) * space))])
-    drawn = rows.where(F.pmod(F.xxhash64("key"), F.lit(space)) < F.coalesce(F.element_at(rate, F.col("lang")), F.lit(0)))
+    words = (
+        rows.where(F.col("lang").isin([r["lang"] for r in sizes])).mapInArrow(_words, "lang string, word string, n long")
+        .groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    )
     counts = (
-        drawn.select("lang", "text").mapInArrow(_counted, "lang string, order int, gram string, n long")
+        words.mapInArrow(_grams, "lang string, order int, gram string, n long")
         .groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
     )
-    top = Window.partitionBy("lang", "order").orderBy(F.desc("n"), "gram")
-    kept = counts.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= vocabulary).drop("rank")
-    table = kept.toArrow()
+    with released(spark):
+        counts = stored(counts, "grams")
+        # the count of the last one kept, so that only these and their ties are ranked
+        down = Window.partitionBy("lang", "order").orderBy(F.desc("n"))
+        same = counts.groupBy("lang", "order", "n").agg(F.count("*").alias("same")).withColumn("upto", F.sum("same").over(down))
+        least = same.where(F.col("upto") - F.col("same") < vocabulary).groupBy("lang", "order").agg(F.min("n").alias("least"))
+        often = counts.join(F.broadcast(least), ["lang", "order"]).where("n >= least").drop("least")
+        top = Window.partitionBy("lang", "order").orderBy(F.desc("n"), "gram")
+        table = often.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= vocabulary).drop("rank").toArrow()
     return Backoff(list(zip(*[c.to_pylist() for c in table.columns], strict=True)))
 
 

@@ -185,6 +185,28 @@ def test_language(docs, odd):
     assert langid.predict(odd, langid.Backoff([])).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_model_is_fitted_on_all_rows(spark):
+    """Against counts over every row of more rows than the earlier sample of about 4,000 a language held."""
+    rare = ["".join("abcdefghij"[int(c)] for c in str(10_000 + k)) for k in range(9000)]
+    rows = [(None if k % 3 else k, f"The {w} -- came, {w}x{k % 2}", "en") for k, w in enumerate(rare[:6000])]
+    rows += [(k, f"und {w} \u00dcber", "de") for k, w in enumerate(rare[3000:])] + [(1, None, "en"), (2, "kein", None), (3, " 1 ", "fr")]
+    counts = Counter()
+    for _, text, lang in rows:
+        for word in langid.letters(text) if lang else []:
+            counts.update((lang, o, g) for o in (0, *langid.ORDERS) for g in (langid.grams(word, o) if o else [word]))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    for vocabulary in (100_000, 700):  # all of them; cut among words that come equally often
+        taken, kept = Counter(), []
+        for (lang, order, gram), n in sorted(counts.items(), key=lambda c: (-c[1], c[0])):
+            taken[lang, order] += 1
+            if taken[lang, order] <= vocabulary:
+                kept.append((lang, order, gram, n))
+        expected, found = langid.Backoff(kept), langid.fit(frame, vocabulary=vocabulary)
+        assert found.langs == expected.langs == ["de", "en"] and np.array_equal(found.keys, expected.keys)
+        assert np.array_equal(found.logs, expected.logs)
+    assert len(kept) < len(counts)
+
+
 def test_chat_edges(spark):
     rows = [
         (1, 0, "u", "a"), (1, 1, "v", "b"), (2, 0, "u", "a"), (3, 0, "u", "a"), (3, 1, "v", "b"), (3, 1, "v", "b"),
